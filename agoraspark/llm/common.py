@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +83,16 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a context, unless their path has it already."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_agoraspark", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="agoraspark-")) / "agoraspark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.glob("agoraspark/**/*.py")):
+            out.write(source, source.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._agoraspark = True

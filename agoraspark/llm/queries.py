@@ -5,6 +5,8 @@ from __future__ import annotations
 from agoraspark.llm.decontamination import op2
 from agoraspark.llm.line_dedup import op1
 from agoraspark.llm.mixing import op6
+from agoraspark.llm.neardup import op9
+from agoraspark.llm.repeats import op10
 from agoraspark.llm.sharding import op4
 from agoraspark.llm.url_filters import op7
 
@@ -14,6 +16,8 @@ QUERIES = {
     "op4_sharding": op4,
     "op6_mixing": op6,
     "op7_url_filters": op7,
+    "op9_near_dedup": op9,
+    "op10_repeats": op10,
 }
 
 ORACLES: dict[str, str] = {}
