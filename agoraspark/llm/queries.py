@@ -8,14 +8,18 @@ from agoraspark.llm.mixing import op6
 from agoraspark.llm.neardup import op9
 from agoraspark.llm.repeats import op10
 from agoraspark.llm.sharding import op4
+from agoraspark.llm.topk import op8
+from agoraspark.llm.toxicity import op5
 from agoraspark.llm.url_filters import op7
 
 QUERIES = {
     "op1_line_dedup": op1,
     "op2_decontamination": op2,
     "op4_sharding": op4,
+    "op5_toxicity": op5,
     "op6_mixing": op6,
     "op7_url_filters": op7,
+    "op8_topk_search": op8,
     "op9_near_dedup": op9,
     "op10_repeats": op10,
 }
