@@ -214,10 +214,24 @@ def groups(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame
     group = components(edges)
     joined = nodes.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = joined.join(lowest, "component").select("d1", "d2", "component_id", F.lit(1).alias("words"))
+    known = joined.join(lowest, "component").select("d1", "d2", "component_id", F.col("component").alias("group"), F.lit(1).alias("words"))
     out = signed.withColumn("words", F.when(F.col("n_shingles") > 0, 1)).join(known, ["d1", "d2", "words"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "doc", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return out.select("doc_id", "doc", "n_shingles", "component_id", kept, "group")
+
+
+def deduplicated(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, but of each group only the one with the smallest (key, text hash); all rows without
+    words. Rows that agree in key and text are one."""
+    found = saved(groups(docs, percent, key).where("group is not null").select("doc_id", "doc", "group"))
+    best = found.groupBy("group").agg(F.min(F.struct("doc_id", "doc")).alias("best")).select("group", F.col("best.doc").alias("best"))
+    marked = found.join(best, "group").select(F.col("doc").alias("_doc"), (F.col("doc") == F.col("best")).alias("stays"))
+    marked = saved(marked.groupBy("_doc").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")))
+    rows = docs.withColumn("_doc", F.xxhash64(key, "text"))
+    once = rows.join(small(marked.where("not stays or n > 1").select("_doc")), "_doc", "left_anti")
+    more = rows.join(small(marked.where("stays and n > 1").select("_doc")), "_doc", "left_semi").dropDuplicates(["_doc"])
+    return once.unionByName(more).select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

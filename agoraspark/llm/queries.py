@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from agoraspark.llm.decontamination import op2
 from agoraspark.llm.line_dedup import op1
 from agoraspark.llm.mixing import op6
 from agoraspark.llm.neardup import op9
+from agoraspark.llm.pii import op3
 from agoraspark.llm.repeats import op10
 from agoraspark.llm.sharding import op4
 from agoraspark.llm.topk import op8
@@ -15,6 +17,7 @@ from agoraspark.llm.url_filters import op7
 QUERIES = {
     "op1_line_dedup": op1,
     "op2_decontamination": op2,
+    "op3_pii": op3,
     "op4_sharding": op4,
     "op5_toxicity": op5,
     "op6_mixing": op6,
@@ -22,6 +25,7 @@ QUERIES = {
     "op8_topk_search": op8,
     "op9_near_dedup": op9,
     "op10_repeats": op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}

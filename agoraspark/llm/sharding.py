@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agoraspark.llm.common import table
+from agoraspark.llm.common import small, table
 
 SHARDS = 24
 #: Each shard is numbered in so many runs of hash order, so that no task gets a whole shard.
@@ -57,12 +57,23 @@ def numbered(df: DataFrame, group: str, order: Column, ties: list[Column], name:
     rank = F.row_number().over(Window.partitionBy(group, "_run").orderBy("_order", *ties))
     return (
         df.withColumn("_rank", rank)
-        .join(starts, [group, "_run"])
+        .join(small(starts), [group, "_run"])
         .withColumn(name, F.col("_start") + F.col("_rank") - 1)
         .drop("_order", "_run", "_rank", "_start")
     )
 
 
+def place(key: Column) -> Column:
+    """Where a key stands in its shard: 32 bits of its hash."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
+
+
+def sharded(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame:
+    """docs, all columns, with shard and slot."""
+    rows = docs.withColumn("shard", jump_shard(F.col(key), shards))
+    return numbered(rows, "shard", place(F.col(key)), [F.col(key), F.xxhash64("text")]).select(*docs.columns, "shard", "slot")
+
+
 def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, text: str = "text") -> DataFrame:
     """The narrow table of all rows of docs: key, size, text_crc32, law, shard, slot and grown_shard."""
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
@@ -74,8 +85,7 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, text: str
         jump_shard(F.col(key), shards).alias("shard"),
         jump_shard(F.col(key), shards + 1).alias("grown_shard"),
     )
-    at = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
-    return numbered(rows, "shard", at, [F.col(key), F.col("text_crc32"), F.col("size")])
+    return numbered(rows, "shard", place(F.col(key)), [F.col(key), F.col("text_crc32"), F.col("size")])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
