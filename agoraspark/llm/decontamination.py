@@ -5,6 +5,8 @@ does not hide a match. Every mask is laid over every position of every document
 (document, item, diagonal). Around each hit the item is laid over the document and compared token by token: an overlap
 is confirmed where some `window` consecutive item tokens (the whole item, if shorter) agree in `agree` of all places.
 
+Positions are looked at cheapest first: a seed can match only if all tokens that it reads occur in the benchmark, which a
+bitmap of token hashes tells, of a fixed size whatever the benchmark; most positions end at the masks' common tokens.
 The seeds of the benchmark are broadcast if a count shows them small, else joined by a shuffle; so are the hits.
 
 Edge cases: tokens are runs of letters and digits, lower-cased; null and empty texts have none and are clean; items of
@@ -14,48 +16,70 @@ reported each; an empty benchmark leaves all clean; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoraspark.llm.common import saved, small, table
 
-#: 1: a token that must agree, 0: one that may differ.
-MASKS = ("111010010111", "110110101011", "101100111101")
+#: 1: a token that must agree, 0: one that may differ. All masks read COMMON.
+MASKS = ("110100110111", "111011001011", "110110101011")
+COMMON = (0, 1, 11)
 SPAN = 12
+BITMAP = 1 << 16
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seeds(ids: Column) -> Column:
-    """The hashes of all masks at all positions of an array of token ids: mask after mask, position after position."""
+def hashed(text: Column) -> Column:
+    return F.transform(tokens(text), lambda w: F.xxhash64(w))
+
+
+def vocabulary(bench: DataFrame) -> Column:
+    """A bitmap of BITMAP bits, as an array of longs, of the token hashes in bench (item_ids)."""
+    at = F.col("t").bitwiseAND(F.lit(BITMAP - 1))
+    bits = bench.select(F.explode("item_ids").alias("t")).select(F.floor(at / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit"))
+    known = {r["word"]: r["bits"] for r in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()}
+    return F.array(*[F.lit(known.get(i, 0)).cast("long") for i in range(BITMAP // 64)])
+
+
+def seeds(rows: DataFrame, ids: str, *keep: str) -> DataFrame:
+    """(keep..., at, seed): the hashes of all masks at all positions of the token ids; a null id matches nothing."""
 
     def under(nth: int, mask: str) -> Column:
         read = [i for i, x in enumerate(mask) if x == "1"]
-        at = F.sequence(F.lit(0), F.size(ids) - SPAN)
-        return F.transform(at, lambda p: F.xxhash64(F.lit(nth), *[ids[p + i] for i in read]))
+        whole = lambda p: reduce(and_, [F.col(ids)[p + i].isNotNull() for i in read if i not in COMMON])
+        seed = lambda p: F.struct(p.alias("at"), F.xxhash64(F.lit(nth), *[F.col(ids)[p + i] for i in read]).alias("seed"))
+        return F.transform(F.filter("_starts", whole), seed)
 
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(ids) >= SPAN, F.concat(*[under(n, m) for n, m in enumerate(MASKS)])).otherwise(none)
+    common = lambda p: reduce(and_, [F.col(ids)[p + i].isNotNull() for i in COMMON])
+    starts = F.filter(F.sequence(F.lit(0), F.size(ids) - SPAN), common)
+    starts = F.when(F.size(ids) >= SPAN, starts).otherwise(F.array().cast("array<int>"))
+    # No filter here, and an outer inline, which infers none: pushed down, it would compute the ids anew for each place.
+    found = rows.withColumn("_starts", starts).select(*keep, F.inline_outer(F.concat(*[under(n, m) for n, m in enumerate(MASKS)])))
+    return found
 
 
 def overlaps(
     docs: DataFrame, items: DataFrame, window: int = 20, agree: float = 0.8, key: str = "doc_id", item: str = "item_id"
 ) -> DataFrame:
     """(doc, item, at, tokens_agreeing): the confirmed overlaps; doc is a hash of key and text, at the diagonal."""
-    hashed = lambda t: F.transform(tokens(F.col(t)), lambda w: F.xxhash64(w))
-    bench = saved(items.select(F.col(item).alias("item"), hashed("text").alias("item_ids")))
-    probe = bench.select("item", F.size("item_ids").alias("m"), F.posexplode(seeds(F.col("item_ids"))).alias("i", "seed"))
-    probe = small(probe.select("item", (F.col("i") % (F.col("m") - SPAN + 1)).alias("item_at"), "seed"))
-    ids = docs.select(F.xxhash64(key, "text").alias("doc"), hashed("text").alias("ids"))
-    laid = ids.select("doc", F.size("ids").alias("n"), F.posexplode(seeds(F.col("ids"))).alias("i", "seed"))
-    hits = laid.join(probe, "seed").select("doc", "item", (F.col("i") % (F.col("n") - SPAN + 1) - F.col("item_at")).alias("at"))
-    hits = saved(hits.distinct())
-    both = ids.join(small(hits.select("doc").distinct()), "doc", "left_semi")
-    both = both.dropDuplicates(["doc"]).join(small(hits), "doc").join(small(bench), "item")
+    bench = saved(items.select(F.col(item).alias("item"), hashed(F.col("text")).alias("item_ids")))
+    probe = small(seeds(bench, "item_ids", "item").where("seed is not null").withColumnRenamed("at", "item_at"))
+    known = vocabulary(bench)
+    texts = docs.select(F.xxhash64(key, "text").alias("doc"), "text").where(F.octet_length("text") >= 2 * SPAN - 1)
+    in_bench = lambda t: F.getbit(known[F.shiftright(t.bitwiseAND(F.lit(BITMAP - 1)), 6).cast("int")], t.bitwiseAND(F.lit(63)).cast("int")) == 1
+    marked = F.transform(hashed(F.col("text")), lambda t: F.when(in_bench(t), t))
+    laid = seeds(texts.select("doc", marked.alias("ids")), "ids", "doc")
+    hits = saved(laid.join(probe, "seed").select("doc", "item", (F.col("at") - F.col("item_at")).alias("at")).distinct())
+    found = texts.join(small(hits.select("doc").distinct()), "doc", "left_semi").dropDuplicates(["doc"])
+    both = found.select("doc", hashed(F.col("text")).alias("ids")).join(small(hits), "doc").join(small(bench), "item")
+    same = F.transform("item_ids", lambda t, i: F.when(F.get("ids", i + F.col("at")) == t, 1).otherwise(0))
     m, wide = F.size("item_ids"), F.least(F.lit(window), F.size("item_ids"))
-    same = F.transform("item_ids", lambda t, i: F.when((F.get("ids", i + F.col("at")) == t), 1).otherwise(0))
     both = both.select("doc", "item", "at", same.alias("same"), m.alias("m"), wide.alias("wide"))
     starts = F.sequence(F.lit(1), F.col("m") - F.col("wide") + 1)
     inside = lambda s: F.aggregate(F.slice("same", s, F.col("wide")), F.lit(0), lambda a, x: a + x)
