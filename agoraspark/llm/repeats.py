@@ -4,8 +4,8 @@
    the leftmost of equals. Equal windows have equal anchors, and consecutive windows mostly share theirs, so a text
    gives about one anchor for every 85 bytes. Anchors are counted with partial sums; those that occur once, and with
    them nearly all of an unrepetitive corpus, are done.
-2. Contexts. The windows of one repeated anchor are one piece of text, its context. Equal contexts meet first (counted
-   with partial sums, so thousands of copies cost one), then distinct ones are dealt to buckets by anchor: equal
+2. Contexts. The windows of one repeated anchor are one piece of text, its context. Each task hands on a context once,
+   and a mark if it met it again, so thousands of copies cost one; contexts are dealt to buckets by anchor, so equal
    windows share a bucket.
 3. Run-length index. In each bucket the contexts' suffixes are sorted by prefix doubling, the Burrows-Wheeler transform
    is cut into runs, and the longest common prefixes with the neighbour above (below) are computed at the first (last)
@@ -32,8 +32,8 @@ from agoraspark.llm import bytesets as bs
 from agoraspark.llm.common import saved, ship, small, table
 
 LENGTH = 200
-K = 32
-BUCKET_BYTES = 3_000_000
+K = 64
+BUCKET_BYTES = 1_500_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -60,12 +60,9 @@ def _find_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc = b.column("doc").to_numpy(zero_copy_only=False)
-            for begin, data, ends in _pieces(b.column("text"), length):
-                row, start, windows, anchor = anchors(data, ends[0], length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[begin + row]), pa.array((start + ends[1]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor)],
-                    ["doc", "start", "windows", "anchor"],
-                )
+            for begin, data, (ends, _) in _pieces(b.column("text"), length):
+                row, _, _, anchor = anchors(data, ends, length)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[begin + row]), pa.array(anchor)], ["doc", "anchor"])
 
     return run
 
@@ -82,31 +79,45 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, tu
 
 
 def _cut_contexts(length: int):
+    """(context, anchor, windows, body, news, doc, start) of each run of windows whose anchor is found again; news: the
+    first time, with the body, and the second time that this task meets a context."""
+    types = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.int32())
+    names = ["context", "anchor", "windows", "body", "news", "doc", "start"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("context", "anchor", "windows", "body", "doc", "start")}
-            for doc, text, found in zip(*(b.column(c) for c in ("doc", "text", "found")), strict=True):
-                data, doc = text.as_py().encode(), doc.as_py()
-                for x in found.as_py():
-                    body = data[x["start"] : x["start"] + x["windows"] + length - 1]
-                    name = hashlib.md5(body).digest()
-                    new = name not in seen
-                    seen.add(name)
-                    for k, v in zip(out, (name, x["anchor"], x["windows"], body if new else None, doc, x["start"]), strict=True):
-                        out[k].append(v)
-            types = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+            found, doc = b.column("found"), b.column("doc").to_numpy(zero_copy_only=False)
+            wanted, cut = found.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))])
+            for begin, data, (ends, at) in _pieces(b.column("text"), length):
+                row, start, windows, anchor = anchors(data, ends, length)
+                keep = np.isin(anchor, wanted[cut[begin] : cut[begin + len(ends) - 1]])
+                row, start, windows, anchor = row[keep], start[keep], windows[keep], anchor[keep]
+                low, raw = (ends[row] + start).tolist(), data.tobytes()
+                digest, body, news = [], [], []
+                for i, n in zip(low, windows.tolist(), strict=True):
+                    piece = raw[i : i + n + length - 1]
+                    name = hashlib.md5(piece).digest()
+                    times = seen.get(name, 0)
+                    digest.append(name)
+                    body.append(None if times else piece)
+                    news.append(times < 2)
+                    if times < 2:
+                        seen[name] = times + 1
+                columns = (digest, anchor, windows, body, news, doc[begin + row], start + at)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names)
 
     return run
 
 
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(len(key), np.int64)
-    new = key[order]
-    rank[order] = np.cumsum(np.concatenate([[0], new[1:] != new[:-1]]))
-    return rank, order
+def _ranks(at: np.ndarray, key: np.ndarray, places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks by position (the first place of each run of equal keys), and the places that are shared."""
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    first = places[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    rank = np.zeros(n, np.int64)
+    rank[at] = first
+    alone = new & np.append(new[1:], True)
+    return rank, places[~alone]
 
 
 def longest_elsewhere(symbols: np.ndarray, begins: np.ndarray, depth: int) -> np.ndarray:
@@ -119,12 +130,20 @@ def longest_elsewhere(symbols: np.ndarray, begins: np.ndarray, depth: int) -> np
     key = np.zeros(n, np.int64)
     for j in range(width):
         key = (key << 9) | padded[j : j + n]
-    rank, order = _ranked(key)
+    order = np.argsort(key)
+    rank, open_ = _ranks(order, key[order], np.arange(n), n)
     levels = [(width, rank)]
-    while width < depth and rank[order[-1]] < n - 1:
-        then = np.zeros(n, np.int64)
-        then[: max(0, n - width)] = rank[width:] + 1
-        rank, order = _ranked(rank * np.int64(n + 1) + then)
+    while width < depth and len(open_):
+        # Only suffixes that still share their place are sorted on, by their rank and that of what follows.
+        at = order[open_]
+        then = np.where(at + width < n, rank[np.minimum(at + width, n - 1)] + 1, 0)
+        key = rank[at] * np.int64(n + 1) + then
+        inner = np.argsort(key)
+        order[open_] = at[inner]
+        new, still = _ranks(at[inner], key[inner], open_, n)
+        rank = rank.copy()
+        rank[at[inner]] = new[at[inner]]
+        open_ = still
         width *= 2
         levels.append((width, rank))
 
@@ -137,7 +156,7 @@ def longest_elsewhere(symbols: np.ndarray, begins: np.ndarray, depth: int) -> np
             size += np.where(same, wide, 0)
         for _ in range(levels[0][0] - 1):
             a, b = i + size, j + size
-            size += (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)]) & (size < 2 * depth)
+            size += (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
         return size
 
     bwt = symbols[order - 1]
@@ -180,46 +199,67 @@ def repeated_windows(bodies: list[bytes], windows: list[int], length: int = LENG
 
 def _index(length: int):
     def run(bucket: pa.Table) -> pa.Table:
-        rows = bucket.select(["context", "anchor", "windows", "body", "n"]).to_pylist()
+        times: dict[bytes, int] = {}
+        known: dict[bytes, tuple[int, int, bytes]] = {}
+        for name, anchor, windows, body in zip(*(bucket.column(c).to_pylist() for c in ("context", "anchor", "windows", "body")), strict=True):
+            times[name] = times.get(name, 0) + 1
+            if body is not None:
+                known[name] = (anchor, windows, body)
         shared: dict[int, int] = {}
-        for r in rows:
-            shared[r["anchor"]] = shared.get(r["anchor"], 0) + 1
-        out = [(r["context"], 0, r["windows"]) for r in rows if r["n"] > 1]
-        open_anchors = {r["anchor"] for r in rows if r["n"] == 1 and shared[r["anchor"]] > 1}
-        chosen = sorted((r for r in rows if r["anchor"] in open_anchors), key=lambda r: r["anchor"])
-        group: list[dict] = []
-        for i, r in enumerate(chosen):
-            group.append(r)
-            ends = i + 1 == len(chosen) or chosen[i + 1]["anchor"] != r["anchor"]
-            if ends and (i + 1 == len(chosen) or sum(len(x["body"]) for x in group) > BUCKET_BYTES):
-                marks = repeated_windows([x["body"] for x in group], [x["windows"] for x in group], length)
-                out += [(x["context"], lo, hi) for x, m in zip(group, marks, strict=True) if x["n"] == 1 for lo, hi in m]
-                group = []
+        for anchor, _, _ in known.values():
+            shared[anchor] = shared.get(anchor, 0) + 1
+        out = [(name, 0, known[name][1]) for name, n in times.items() if n > 1]
+        alone = {known[name][0] for name, n in times.items() if n == 1}
+        chosen = sorted((anchor, name) for name, (anchor, _, _) in known.items() if anchor in alone and shared[anchor] > 1)
+        group: list[bytes] = []
+        size = 0
+        for i, (anchor, name) in enumerate(chosen):
+            group.append(name)
+            size += len(known[name][2])
+            last = i + 1 == len(chosen)
+            if last or (chosen[i + 1][0] != anchor and size > BUCKET_BYTES):
+                marks = repeated_windows([known[x][2] for x in group], [known[x][1] for x in group], length)
+                out += [(x, lo, hi) for x, m in zip(group, marks, strict=True) if times[x] == 1 for lo, hi in m]
+                group, size = [], 0
         cols = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table({"context": pa.array(cols[0], pa.binary()), "low": pa.array(cols[1], pa.int32()), "high": pa.array(cols[2], pa.int32())})
 
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans that touch or overlap become one."""
+    for b in batches:
+        out = []
+        for spans in b.column("spans").to_pylist():
+            merged: list[dict] = []
+            for x in sorted(spans, key=lambda x: (x["low"], x["high"])):
+                if merged and x["low"] <= merged[-1]["high"]:
+                    merged[-1]["high"] = max(merged[-1]["high"], x["high"])
+                else:
+                    merged.append(x)
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(out, b.schema.field("spans").type)], ["doc", "spans"])
+
+
 def starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, spans): for each row of docs (doc, text) with repeats, the spans (low, high) of window starts that repeat."""
-    if length < 2 * K:
-        raise ValueError(f"length must be {2 * K} or more")
+    if length <= K:
+        raise ValueError(f"length must be over {K}")
     long = docs.where(F.octet_length("text") >= length)
-    found = saved(long.mapInArrow(_find_anchors(length), "doc long, start int, windows int, anchor long"))
+    found = saved(long.mapInArrow(_find_anchors(length), "doc long, anchor long"))
     again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    by_doc = found.join(again, "anchor").groupBy("doc").agg(F.collect_set(F.struct("anchor", "start", "windows")).alias("found"))
+    by_doc = found.join(again, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("found"))
     cut = long.join(by_doc, "doc").select("doc", "text", "found")
-    uses = saved(cut.mapInArrow(_cut_contexts(length), "context binary, anchor long, windows int, body binary, doc long, start int"))
+    uses = saved(cut.mapInArrow(_cut_contexts(length), "context binary, anchor long, windows int, body binary, news boolean, doc long, start int"))
     bulk = uses.agg(F.sum(F.length("body"))).first()[0] or 0
-    contexts = uses.groupBy("context").agg(
-        F.first("anchor").alias("anchor"), F.first("windows").alias("windows"), F.first("body", ignorenulls=True).alias("body"), F.count("*").alias("n")
-    )
-    bucket = F.pmod("anchor", F.lit(max(12, int(bulk) // BUCKET_BYTES)))
-    marks = contexts.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_index(length), "context binary, low int, high int")
+    bucket = F.pmod("anchor", F.lit(max(12, int(bulk) // (4 * BUCKET_BYTES))))
+    marks = uses.where("news").select("context", "anchor", "windows", "body", bucket.alias("bucket"))
+    marks = marks.groupBy("bucket").applyInArrow(_index(length), "context binary, low int, high int")
     spans = uses.select("context", "doc", "start").join(marks, "context")
     span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    return saved(spans.groupBy("doc").agg(F.collect_set(span).alias("spans")))
+    by_doc = spans.groupBy("doc").agg(F.collect_set(span).alias("spans"))
+    return saved(by_doc.mapInArrow(_joined, "doc long, spans array<struct<low: int, high: int>>"))
 
 
 def _remove(length: int):
