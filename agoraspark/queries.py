@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from agoraspark.functions import names, text  # noqa: F401
+from agoraspark.operators import aggregates, filters, joins, ordering, sets, windows  # noqa: F401
+from agoraspark.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
