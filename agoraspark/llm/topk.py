@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from agoraspark.llm.common import saved, ship, table
 
-BLOCK, CHUNK = 16_384, 256
+BLOCK, CHUNK = 16_384, 1024
 LEVEL = 32
 #: Parts of the segments after which the bounds are looked at; possible members that are few enough for exact scores.
-LOOKS, FEW = (0.4, 0.5, 0.6, 0.75), 512
+LOOKS, FEW = (0.28, 0.34, 0.4, 0.5, 0.6, 0.75), 2048
 
 
 class ImpactIndex:
@@ -35,7 +35,7 @@ class ImpactIndex:
         self.vectors, (rows, dims) = vectors, vectors.shape
         self.order = np.argsort(-vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.order, axis=0)
-        self.rank = np.argsort(self.order, axis=0, kind="stable").astype(np.int32)
+        self.rank = np.argsort(self.order, axis=0, kind="stable").astype(np.int16)
         self.postings = [(np.ascontiguousarray(self.order[:, d]), self.values[:, d].astype(np.float64)) for d in range(dims)]
         level = np.floor_divide(self.values, LEVEL)
         dim, low = [], []
@@ -67,6 +67,7 @@ class ImpactIndex:
         gained = np.zeros(rows)
         down, factor = query > 0, query.tolist()
         passed = np.zeros(len(query), np.int64)  # how many rows of a component are through, from its better end
+        alive: np.ndarray | None = None
         looks = {int(x * len(order)) for x in LOOKS}
         for i, s in enumerate(order):
             d, low, high = self.dim[s], self.low[s], self.high[s]
@@ -75,22 +76,25 @@ class ImpactIndex:
             passed[d] = high if down[d] else rows - low
             bound[d] = impact[order[after[i]]] if after[i] >= 0 else 0
             if i in looks:
-                still = (self.rank >= np.where(down, passed, 0)) & (self.rank < np.where(down, rows, rows - passed))
-                upper = gained + still.astype(np.float32) @ bound.astype(np.float32)
+                # Bounds only fall and the threshold only rises: a row that is out stays out.
+                rank = self.rank if alive is None else self.rank[alive]
+                still = (rank >= np.where(down, passed, 0).astype(np.int16)) & (rank < np.where(down, rows, rows - passed).astype(np.int16))
+                upper = (gained if alive is None else gained[alive]) + still.astype(np.float32) @ bound.astype(np.float32)
+                alive = np.arange(rows) if alive is None else alive
                 if own >= 0:
-                    upper[own] = -np.inf
-                lead = np.argpartition(-upper, 4 * k)[: 4 * k]
+                    upper[alive == own] = -np.inf
+                lead = alive[np.argpartition(-upper, 4 * k)[: 4 * k]]
                 threshold = np.sort(self.vectors[lead[lead != own]] @ query)[-k]
-                left = np.flatnonzero(upper >= threshold - 0.5)
-                if len(left) <= FEW:
-                    return left
+                alive = alive[upper >= threshold - 0.5]
+                if len(alive) <= FEW:
+                    return alive
         return np.setdiff1d(np.arange(rows), [own])
 
 
 def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    sizes = lists.value_lengths().to_numpy()
     out = np.zeros((len(lists), dims), np.int64)
-    for i, x in enumerate(lists.to_pylist()):
-        out[i, : len(x)] = x
+    out[np.arange(dims)[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
     return out
 
 
@@ -101,7 +105,7 @@ def _search(k: int):
         out: tuple[list, ...] = ([], [], [], [])
         if block.num_rows and chunk.num_rows:
             held, asked = (t.column("v").combine_chunks() for t in (block, chunk))
-            dims = max(max(map(len, held.to_pylist())), max(map(len, asked.to_pylist())), 1)
+            dims = max(1, *(int(x.value_lengths().to_numpy().max()) for x in (held, asked)))
             vectors, queries = _matrix(held, dims), _matrix(asked, dims)
             ids, copies = block.column("vec_id").to_numpy(), block.column("copy").to_numpy()
             place = {x: i for i, x in enumerate(zip(ids.tolist(), copies.tolist(), strict=True))}
