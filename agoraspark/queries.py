@@ -6,5 +6,6 @@ from agoraspark.functions import names, text  # noqa: F401
 from agoraspark.operators import aggregates, filters, joins, ordering, sets, windows  # noqa: F401
 from agoraspark.plans import attention, quality, statistics  # noqa: F401
 from agoraspark.registry import ORACLES, QUERIES
+from agoraspark.sources import html, tables  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
