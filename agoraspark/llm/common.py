@@ -2,38 +2,27 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agoraspark.session import new_folder, ship
+
 #: A side of at most this many narrow rows is broadcast; beyond it the join is left to a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: The ASCII white space that separates words in all contracts.
-WORD = r"[^\x20\x09-\x0D]+"
 GAPS = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["components", "saved", "ship", "small", "table", "words"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where none is named (tests) is one made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows, written to the shared folder and read again. Survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "llm")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -84,15 +73,3 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once a context, unless their path has it already."""
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_agoraspark", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="agoraspark-")) / "agoraspark.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(root.glob("agoraspark/**/*.py")):
-            out.write(source, source.relative_to(root))
-    spark.sparkContext.addPyFile(str(archive))
-    spark.sparkContext._agoraspark = True

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from agoraspark.llm import oracles
 from agoraspark.llm.decontamination import op2
 from agoraspark.llm.line_dedup import op1
 from agoraspark.llm.mixing import op6
@@ -28,4 +29,11 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": oracles.OP1,
+    "op2_decontamination": oracles.OP2,
+    "op6_mixing": oracles.OP6,
+    "op7_url_filters": oracles.OP7,
+    "op8_topk_search": oracles.OP8,
+    "op9_near_dedup": oracles.OP9,
+}
