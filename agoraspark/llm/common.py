@@ -13,7 +13,7 @@ BROADCAST_ROWS = 1_000_000
 GAPS = r"[\x20\x09-\x0D]+"
 
 
-__all__ = ["components", "saved", "ship", "small", "table", "words"]
+__all__ = ["components", "packed", "saved", "ship", "small", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def packed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(row, _doc): the rows with all columns in a struct, where no name of theirs can clash, and a hash of key and text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(key, "text").alias("_doc"))
+
+
 def words(text: Column) -> Column:
     """The words of a text; none of null or blank."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAPS), lambda w: w != "")

@@ -22,7 +22,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraspark.llm.common import saved, small, table
+from agoraspark.llm.common import packed, saved, small, table
 
 #: 1: a token that must agree, 0: one that may differ. All masks read COMMON.
 MASKS = ("110100110111", "111011001011", "110110101011")
@@ -97,7 +97,7 @@ def contaminated(docs: DataFrame, items: DataFrame, **options: object) -> DataFr
 def decontaminate(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
     """The rows of docs, all columns, that hold no passage of items."""
     found = small(saved(contaminated(docs, items, **options).select(F.col("doc").alias("_doc"))))
-    return docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(found, "_doc", "left_anti").drop("_doc")
+    return packed(docs).join(found, "_doc", "left_anti").select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

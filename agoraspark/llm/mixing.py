@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agoraspark.llm.common import saved, small, table, words
+from agoraspark.llm.common import packed, saved, small, table, words
 
 WEIGHTS = (5, 2, 1)
 RUNS = 1024
@@ -187,14 +187,13 @@ def taken(docs: DataFrame, **options: object) -> DataFrame:
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of docs, all columns, once for each pass that takes any of their words."""
-    rows = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    out = draws(rows, key="_doc", **options)
-    times = out.groupBy("_doc").agg(F.count_if(F.col("taken") > 0).alias("_times"), F.countDistinct("row_no").alias("_rows"))
-    times = saved(times.where("_times > 0"))
-    once = rows.join(small(times.where("_rows = 1")), "_doc")
-    more = rows.join(small(times.where("_rows > 1")), "_doc").dropDuplicates(["_doc"])
-    repeated = once.unionByName(more).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return repeated.select(*docs.columns)
+    narrow = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "source", "text")
+    out = draws(narrow, key="_doc", **options)
+    times = out.groupBy("_doc").agg(F.count_if(F.col("taken") > 0).cast("int").alias("times"), F.countDistinct("row_no").alias("rows"))
+    times = saved(times.where("times > 0"))
+    once = packed(docs).join(small(times.where("rows = 1")), "_doc")
+    more = packed(docs).join(small(times.where("rows > 1")), "_doc").dropDuplicates(["_doc"])
+    return once.unionByName(more).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoraspark.llm import bytesets as bs
-from agoraspark.llm.common import components, saved, ship, small, table
+from agoraspark.llm.common import components, packed, saved, ship, small, table
 
 WORDS, HASHES, CHUNK = 5, 32, 4
 #: Nodes of a group that meet in one task.
@@ -228,10 +228,10 @@ def deduplicated(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> Dat
     best = found.groupBy("group").agg(F.min(F.struct("doc_id", "doc")).alias("best")).select("group", F.col("best.doc").alias("best"))
     marked = found.join(best, "group").select(F.col("doc").alias("_doc"), (F.col("doc") == F.col("best")).alias("stays"))
     marked = saved(marked.groupBy("_doc").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")))
-    rows = docs.withColumn("_doc", F.xxhash64(key, "text"))
+    rows = packed(docs, key)
     once = rows.join(small(marked.where("not stays or n > 1").select("_doc")), "_doc", "left_anti")
     more = rows.join(small(marked.where("stays and n > 1").select("_doc")), "_doc", "left_semi").dropDuplicates(["_doc"])
-    return once.unionByName(more).select(*docs.columns)
+    return once.unionByName(more).select("row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

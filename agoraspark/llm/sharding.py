@@ -69,9 +69,10 @@ def place(key: Column) -> Column:
 
 
 def sharded(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame:
-    """docs, all columns, with shard and slot."""
-    rows = docs.withColumn("shard", jump_shard(F.col(key), shards))
-    return numbered(rows, "shard", place(F.col(key)), [F.col(key), F.xxhash64("text")]).select(*docs.columns, "shard", "slot")
+    """docs, all columns, with shard and slot; columns of these names give way."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    rows = docs.select(F.struct(*kept).alias("row"), F.xxhash64("text").alias("_text"), jump_shard(F.col(key), shards).alias("shard"))
+    return numbered(rows, "shard", place(F.col(f"row.{key}")), [F.col(f"row.{key}"), F.col("_text")]).select("row.*", "shard", "slot")
 
 
 def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, text: str = "text") -> DataFrame:
