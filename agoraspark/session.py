@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_made: dict[str, str] = {}
+
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     """For tests and benchmarks on one machine."""
@@ -23,12 +25,14 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where none is named (tests) is one made."""
+    """The cluster's shared folder, spark.checkpoint.dir. Only where none is named (tests) is one made, once a session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _made[app]
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
