@@ -86,7 +86,7 @@ class ImpactIndex:
                 lead = alive[np.argpartition(-upper, 4 * k)[: 4 * k]]
                 threshold = np.sort(self.vectors[lead[lead != own]] @ query)[-k]
                 alive = alive[upper >= threshold - 0.5]
-                if len(alive) <= FEW:
+                if len(alive) <= max(FEW, 4 * k):
                     return alive
         return np.setdiff1d(np.arange(rows), [own])
 
