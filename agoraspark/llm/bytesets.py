@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 19
 _rng = np.random.default_rng(20_11)
 #: A random number for every byte; powers of an odd base and of its inverse modulo 2**64.
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
