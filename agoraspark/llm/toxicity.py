@@ -8,8 +8,8 @@ log-likelihood ratio. A text's ratios are normalised by length: over the whole t
 stretches that stand out most. A logistic curve turns these into a score; it is fitted on about FIT_ROWS labelled rows at most,
 each measured by models that have not seen its own half of the labels.
 
-Counts come from all labelled training texts, in Spark; the number of distinct strings counted is bounded by SLOTS hash
-slots, whatever the corpus, which is also the bound of what is gathered and broadcast.
+Counts come from all labelled training texts, in Spark, by the exact string with partial sums. All distinct strings are
+gathered and broadcast, so the table grows with the corpus; it has up to 24 bytes a string.
 
 Edge cases: null and empty texts, and an empty label table, score by the curve's value for no evidence; repeated labels
 of a document count each; rows with a null label or doc_id are not learned from; extra columns are ignored.
@@ -28,8 +28,6 @@ from agoraspark.llm import bytesets as bs
 from agoraspark.llm.common import ship, small, table
 
 ORDER = 4
-#: Slots of the count table; a slot and 12 check bits name a string of 4 bytes.
-SLOTS = 1 << 20
 FIT_ROWS = 20_000
 LABEL_ROWS = 5_000_000
 THRESHOLD = 0.3
@@ -50,10 +48,9 @@ def grams(data: np.ndarray) -> np.ndarray:
     return code
 
 
-def slot(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and check bits; together they tell all codes apart."""
-    h = code.astype(np.uint32, copy=False) * np.uint32(0x9E3779B1)
-    return h >> np.uint32(12), (h & np.uint32(0xFFF)).astype(np.uint16)
+def hashed(code: np.ndarray) -> np.ndarray:
+    """One to one: different codes have different hashes."""
+    return code.astype(np.uint32, copy=False) * np.uint32(0x9E3779B1)
 
 
 def _broken(ends: np.ndarray, n: int) -> np.ndarray:
@@ -71,11 +68,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of[_broken(ends, len(data))] = -1
             for s in range(4):
                 found, n = np.unique(code[of == s], return_counts=True)
-                at, _ = slot(found)
                 counts = [pa.array(n if k == s else np.zeros_like(n)) for k in range(4)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at.astype(np.int64)), pa.array(found.astype(np.int64)), *counts], ["slot", "code", "n0", "n1", "n2", "n3"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), *counts], ["code", "n0", "n1", "n2", "n3"])
 
 
 def _grouped(names: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -110,23 +104,40 @@ def ratios(codes: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> np.ndarra
     return np.log(smoothed(toxic, shared)) - np.log(smoothed(plain, shared))
 
 
-def lookup_table(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and check bits by slot."""
-    at, check = slot(codes)
-    held, checks = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.uint16)
-    held[at], checks[at] = values, check
-    return held, checks
+def lookup_table(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all codes in order, their values, and where each slot of hashes begins; 2 slots a code or more."""
+    h = hashed(codes)
+    order = np.argsort(h)
+    h = h[order]
+    bits = min(32, max(10, int(2 * len(codes)).bit_length()))
+    begins = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.int32)
+    # Behind the last: no slot's first code, so that every place that begins names can be read.
+    return np.append(h, np.uint32(0)), np.append(values[order], 0).astype(np.float32), begins
+
+
+def looked_up(codes: np.ndarray, model: tuple) -> np.ndarray:
+    """The value of each code; 0 of a code that the table does not hold."""
+    held, values, begins = model
+    h, last = hashed(codes), len(held) - 1
+    out = np.zeros(len(h), np.float32)
+    shift = np.uint32(33 - len(begins).bit_length())
+    at, open_ = begins[h >> shift], np.arange(len(h))
+    # Codes of a slot lie in order: go on while the one that is there is less.
+    while len(open_):
+        there = held[at]
+        hit = (there == h) & (at < last)
+        out[open_[hit]] = values[at[hit]]
+        on = (there < h) & (at < last)
+        h, at, open_ = h[on], at[on] + 1, open_[on]
+    return out
 
 
 def measured(data: np.ndarray, ends: np.ndarray, model: tuple) -> np.ndarray:
     """For each row: the mean ratio of its bytes, the means of its 1, 3 and 8 most toxic words, and log length."""
-    held, checks = model
     out = np.zeros((len(ends) - 1, 5))
     if not len(data):
         return out
-    at, check = slot(grams(data))
-    value = held[at]
-    value[checks[at] != check] = 0
+    value = looked_up(grams(data), model)
     value[_broken(ends, len(data))] = 0
     sums = np.zeros(len(data) + 1)
     np.cumsum(value, dtype=np.float64, out=sums[1:])
@@ -177,11 +188,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     spark = docs.sparkSession
     ship(spark)
     rows = training(docs, labels)
-    counted = rows.mapInArrow(_count, "slot long, code long, n0 long, n1 long, n2 long, n3 long")
+    counted = rows.mapInArrow(_count, "code long, n0 long, n1 long, n2 long, n3 long")
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]
-    held = counted.groupBy("slot").agg(F.min("code").alias("code"), *sums).drop("slot").toPandas()
-    held = held.sort_values("code")
-    codes, n = held["code"].to_numpy().astype(np.uint32), held[["n0", "n1", "n2", "n3"]].to_numpy(np.float64)
+    held = counted.groupBy("code").agg(*sums).toArrow().sort_by("code")
+    codes = held["code"].to_numpy().astype(np.uint32)
+    n = np.column_stack([held[f"n{k}"].to_numpy().astype(np.float64) for k in range(4)])
 
     def model(halves: tuple[int, ...]) -> tuple:
         plain, toxic = sum(n[:, h] for h in halves), sum(n[:, 2 + h] for h in halves)

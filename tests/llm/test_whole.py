@@ -1,0 +1,35 @@
+"""Cases in which an operator once did less than the whole job."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from agoraspark.llm import toxicity
+
+
+def test_op5_table_holds_every_string():
+    codes = np.unique(np.random.default_rng(5).integers(0, 1 << 32, 1_500_000, dtype=np.uint64).astype(np.uint32))
+    values = np.arange(1, len(codes) + 1)
+    rest = np.setdiff1d(np.arange(0, 1 << 32, 40_009, dtype=np.uint64).astype(np.uint32), codes)
+    model = toxicity.lookup_table(codes, values)
+    data = np.concatenate([codes[::7], rest]).astype(">u4").view(np.uint8)
+    data = data[~np.isin(data, np.arange(65, 91))]  # no capitals, which are lower-cased
+    got = toxicity.looked_up(toxicity.grams(data), model)
+    want = dict(zip(codes.tolist(), values.tolist(), strict=True))
+    assert got.tolist() == [want.get(c, 0) for c in toxicity.grams(data).tolist()]
+    assert (toxicity.looked_up(codes, model) == values).all() and not toxicity.looked_up(rest, model).any()
+    assert not toxicity.looked_up(rest, toxicity.lookup_table(codes[:0], values[:0])).any()
+
+
+def test_op5_strings_keep_their_own_counts(spark):
+    """A toxic and an ordinary string whose hashes agree in 20 bits: each is scored by its own counts."""
+    inverse = pow(0x9E3779B1, -1, 1 << 32)
+    letters = set(b"abcdefghijklmnopqrstuvwxyz")
+    same = ([(((s << 12) | low) * inverse) % (1 << 32) for low in range(4096)] for s in range(1 << 20))
+    pair = next(p for x in same if len(p := [c.to_bytes(4, "big") for c in x if set(c.to_bytes(4, "big")) <= letters]) > 1)
+    bad, good = pair[0].decode(), pair[1].decode()
+    docs = spark.createDataFrame([(i, f"{bad} {good[:3]}#" if i % 2 else f"{good} {bad[:3]}#") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    learned = toxicity.learn(docs, labels)
+    value = toxicity.looked_up(np.array([int.from_bytes(x, "big") for x in pair[:2]], np.uint32), learned["model"])
+    assert value[0] > 0.5 and value[1] < -0.5
