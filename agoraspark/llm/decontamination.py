@@ -1,17 +1,19 @@
-"""Operator 2, benchmark decontamination by spaced-seed hashing, DataFrame functions only.
-
-A seed is a mask of SPAN tokens that reads some and ignores the others, so a substituted token at an ignored position
-does not hide a match. Every mask is laid over every position of every document and item; equal hashes give hits
-(document, item, diagonal). Around each hit the item is laid over the document and compared token by token: an overlap
-is confirmed where some `window` consecutive item tokens (the whole item, if shorter) agree in `agree` of all places.
-
-Positions are looked at cheapest first: a seed can match only if all tokens that it reads occur in the benchmark, which a
-bitmap of token hashes tells, of a fixed size whatever the benchmark; most positions end at the masks' common tokens.
-The seeds of the benchmark are broadcast if a count shows them small, else joined by a shuffle; so are the hits.
-
-Edge cases: tokens are runs of letters and digits, lower-cased; null and empty texts have none and are clean; items of
-fewer than SPAN tokens are too short to tell and give no seeds; repeated rows are judged alike; equal items are
-reported each; an empty benchmark leaves all clean; extra columns are ignored.
+"""Operator 2, benchmark decontamination by lossless seeds, DataFrame functions only.
+
+An overlap is confirmed where some `window` consecutive item tokens (the whole item, if shorter) agree in `agree` of all
+places. Items of fewer than WHOLE tokens are left out, as in the SQL, unless `shortest` admits them; they must agree in all
+places. Of w places of which k may differ, cut into k + 1 pieces, one
+piece has no difference: so every overlap holds a seed of w // (k + 1) consecutive tokens that agree, wherever the
+differences lie. Seeds of an item's length are laid over every position of every document and item; equal hashes give
+hits (document, item, diagonal). Around each hit the item is laid over the document and compared token by token.
+
+Positions are looked at cheapest first: a seed can match only if all its tokens occur in the benchmark, which a bitmap of
+token hashes tells, of a fixed size whatever the benchmark; most positions end at their first tokens. The seeds of the
+benchmark are broadcast if a count shows them small, else joined by a shuffle; so are the hits.
+
+Edge cases: tokens are runs of letters and digits, lower-cased; null and empty texts have none and are clean; items
+without tokens match nothing; repeated rows are judged alike; equal items are reported each; an empty benchmark leaves all
+clean; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 
 from agoraspark.llm.common import packed, saved, small, table
 
-#: 1: a token that must agree, 0: one that may differ. All masks read COMMON.
-MASKS = ("110100110111", "111011001011", "110110101011")
-COMMON = (0, 1, 11)
-SPAN = 12
+#: Items of fewer tokens are left out by default; where they are not, they must agree whole.
+WHOLE = 12
+#: Tokens of the longest seed.
+LONGEST = 4
 BITMAP = 1 << 16
 
 
@@ -47,44 +49,57 @@ def vocabulary(bench: DataFrame) -> Column:
     return F.array(*[F.lit(known.get(i, 0)).cast("long") for i in range(BITMAP // 64)])
 
 
-def seeds(rows: DataFrame, ids: str, *keep: str) -> DataFrame:
-    """(keep..., at, seed): the hashes of all masks at all positions of the token ids; a null id matches nothing."""
+def seed_length(m: Column, window: int = 20, agree: float = 0.8) -> Column:
+    """The tokens of the seeds of an item of m tokens."""
+    wide = F.least(F.lit(window), m)
+    differ = F.when(m < WHOLE, 0).otherwise(F.floor(wide - wide * agree + 1e-9))
+    return F.least(F.lit(LONGEST), F.floor(wide / (differ + 1))).cast("int")
+
+
+def seeds(rows: DataFrame, ids: str, lengths: list[int], *keep: str) -> DataFrame:
+    """(keep..., at, seed_length, seed): the hashes of the token ids at all positions; a null id matches nothing."""
+    there = lambda p, places: reduce(and_, [F.get(ids, p + i).isNotNull() for i in places])
+    least = min(lengths)
 
-    def under(nth: int, mask: str) -> Column:
-        read = [i for i, x in enumerate(mask) if x == "1"]
-        whole = lambda p: reduce(and_, [F.col(ids)[p + i].isNotNull() for i in read if i not in COMMON])
-        seed = lambda p: F.struct(p.alias("at"), F.xxhash64(F.lit(nth), *[F.col(ids)[p + i] for i in read]).alias("seed"))
-        return F.transform(F.filter("_starts", whole), seed)
+    def of(n: int) -> Column:
+        starts = F.filter("_starts", lambda p: there(p, range(least, n))) if n > least else F.col("_starts")
+        seed = lambda p: F.xxhash64(F.lit(n), *[F.get(ids, p + i) for i in range(n)])
+        return F.transform(starts, lambda p: F.struct(p.alias("at"), F.lit(n).alias("seed_length"), seed(p).alias("seed")))
 
-    common = lambda p: reduce(and_, [F.col(ids)[p + i].isNotNull() for i in COMMON])
-    starts = F.filter(F.sequence(F.lit(0), F.size(ids) - SPAN), common)
-    starts = F.when(F.size(ids) >= SPAN, starts).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(F.sequence(F.lit(0), F.size(ids) - least), lambda p: there(p, range(least)))
+    starts = F.when(F.size(ids) >= least, starts).otherwise(F.array().cast("array<int>"))
     # No filter here, and an outer inline, which infers none: pushed down, it would compute the ids anew for each place.
-    found = rows.withColumn("_starts", starts).select(*keep, F.inline_outer(F.concat(*[under(n, m) for n, m in enumerate(MASKS)])))
-    return found
+    return rows.withColumn("_starts", starts).select(*keep, F.inline_outer(F.concat(*[of(n) for n in lengths])))
 
 
 def overlaps(
-    docs: DataFrame, items: DataFrame, window: int = 20, agree: float = 0.8, key: str = "doc_id", item: str = "item_id"
+    docs: DataFrame, items: DataFrame, window: int = 20, agree: float = 0.8, key: str = "doc_id", item: str = "item_id", shortest: int = WHOLE
 ) -> DataFrame:
     """(doc, item, at, tokens_agreeing): the confirmed overlaps; doc is a hash of key and text, at the diagonal."""
-    bench = saved(items.select(F.col(item).alias("item"), hashed(F.col("text")).alias("item_ids")))
-    probe = small(seeds(bench, "item_ids", "item").where("seed is not null").withColumnRenamed("at", "item_at"))
+    bench = items.select(F.col(item).alias("item"), hashed(F.col("text")).alias("item_ids")).where(F.size("item_ids") >= max(1, shortest))
+    bench = saved(bench.withColumn("own_length", seed_length(F.size("item_ids"), window, agree)))
+    lengths = sorted(r[0] for r in bench.select("own_length").distinct().collect()) or [LONGEST]
+    first = F.when(F.size("item_ids") < WHOLE, 0)  # an item that agrees whole does so from its first token
+    probe = seeds(bench.withColumn("only", first), "item_ids", lengths, "item", "own_length", "only")
+    probe = probe.where("seed_length = own_length and at = coalesce(only, at)").select("item", F.col("at").alias("item_at"), "seed")
+    probe, bench = small(probe), bench.drop("own_length")
     known = vocabulary(bench)
-    texts = docs.select(F.xxhash64(key, "text").alias("doc"), "text").where(F.octet_length("text") >= 2 * SPAN - 1)
+    texts = docs.select(F.xxhash64(key, "text").alias("doc"), "text").where("text <> ''")
     in_bench = lambda t: F.getbit(known[F.shiftright(t.bitwiseAND(F.lit(BITMAP - 1)), 6).cast("int")], t.bitwiseAND(F.lit(63)).cast("int")) == 1
     marked = F.transform(hashed(F.col("text")), lambda t: F.when(in_bench(t), t))
-    laid = seeds(texts.select("doc", marked.alias("ids")), "ids", "doc")
+    laid = seeds(texts.select("doc", marked.alias("ids")), "ids", lengths, "doc")
     hits = saved(laid.join(probe, "seed").select("doc", "item", (F.col("at") - F.col("item_at")).alias("at")).distinct())
     found = texts.join(small(hits.select("doc").distinct()), "doc", "left_semi").dropDuplicates(["doc"])
     both = found.select("doc", hashed(F.col("text")).alias("ids")).join(small(hits), "doc").join(small(bench), "item")
     same = F.transform("item_ids", lambda t, i: F.when(F.get("ids", i + F.col("at")) == t, 1).otherwise(0))
     m, wide = F.size("item_ids"), F.least(F.lit(window), F.size("item_ids"))
-    both = both.select("doc", "item", "at", same.alias("same"), m.alias("m"), wide.alias("wide"))
+    need = F.when(m < WHOLE, m).otherwise(wide * agree)
+    both = both.select("doc", "item", "at", same.alias("same"), m.alias("m"), wide.alias("wide"), need.alias("need"))
+    both = both.where(F.aggregate("same", F.lit(0), lambda a, x: a + x) >= F.col("need"))
     starts = F.sequence(F.lit(1), F.col("m") - F.col("wide") + 1)
     inside = lambda s: F.aggregate(F.slice("same", s, F.col("wide")), F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(starts, inside))
-    return both.withColumn("tokens_agreeing", best).where(best >= F.col("wide") * agree).drop("same", "m", "wide")
+    return both.withColumn("tokens_agreeing", best).where(best >= F.col("need")).drop("same", "m", "wide", "need")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from agoraspark.llm import toxicity
+from agoraspark.llm import decontamination, toxicity
 
 
 def test_op5_table_holds_every_string():
@@ -33,3 +37,35 @@ def test_op5_strings_keep_their_own_counts(spark):
     learned = toxicity.learn(docs, labels)
     value = toxicity.looked_up(np.array([int.from_bytes(x, "big") for x in pair[:2]], np.uint32), learned["model"])
     assert value[0] > 0.5 and value[1] < -0.5
+
+
+def test_op2_seeds_cover_every_pattern(spark):
+    """Every way to differ in as many places as are allowed leaves a whole seed."""
+    sizes = range(decontamination.WHOLE, 31)
+    found = spark.createDataFrame([(m,) for m in sizes], "m int").select("m", decontamination.seed_length(F.col("m"))).collect()
+    for m, n in found:
+        wide = min(m, 20)
+        for differ in combinations(range(wide), wide - -(-wide * 8 // 10)):
+            cuts = [-1, *differ, wide]
+            assert max(b - a - 1 for a, b in zip(cuts, cuts[1:], strict=False)) >= n, (m, differ)
+
+
+@pytest.mark.parametrize("m", [12, 15, 16])
+def test_op2_finds_overlaps_whatever_tokens_differ(spark, m):
+    item = [f"item{i}" for i in range(m)]
+    rows = []
+    for differ in combinations(range(m), m - -(-m * 8 // 10)):
+        rows.append((len(rows), "before " + " ".join("other" if i in differ else w for i, w in enumerate(item)) + " after"))
+    wrong = (len(rows), " ".join(["other"] * (m - -(-m * 8 // 10) + 1) + item[m - -(-m * 8 // 10) + 1 :]))
+    docs = spark.createDataFrame([*rows, wrong], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()] == [wrong[0]]
+
+
+def test_op2_finds_short_items_whole(spark):
+    items = [(m, " ".join(f"w{m}x{i}" for i in range(m))) for m in range(1, 12)]
+    docs = [(m, f"Before, {t} after") for m, t in items] + [(20 + m, t) for m, t in items]
+    docs += [(40 + m, t.rsplit(" ", 1)[0] + " other") for m, t in items if m > 1] + [(60, None), (61, ""), (62, "w1")]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (30, None), (31, " ")], "item_id long, text string")
+    found = decontamination.overlaps(docs, bench, shortest=1).join(docs.withColumn("doc", F.xxhash64("doc_id", "text")), "doc")
+    assert sorted(tuple(r) for r in found.select("doc_id", "item").collect()) == [(k + m, m) for k in (0, 20) for m in range(1, 12)]
