@@ -6,7 +6,8 @@
    them nearly all of an unrepetitive corpus, are done.
 2. Contexts. The windows of one repeated anchor are one piece of text, its context. Each task hands on a context once,
    and a mark if it met it again, so thousands of copies cost one; contexts are dealt to buckets by anchor, so equal
-   windows share a bucket.
+   windows share a bucket. Contexts of an anchor that has more than HOT_BYTES of them go to no bucket: their windows are
+   counted one by one, by 128 bits of their bytes, with partial sums.
 3. Run-length index. In each bucket the contexts' suffixes are sorted by prefix doubling, the Burrows-Wheeler transform
    is cut into runs, and the longest common prefixes with the neighbour above (below) are computed at the first (last)
    suffix of each run alone: at all others they are one less than at the text position before. Streaming over the text
@@ -34,6 +35,8 @@ from agoraspark.llm.common import saved, ship, small, table
 LENGTH = 200
 K = 64
 BUCKET_BYTES = 1_500_000
+#: An anchor with more bytes of contexts is not left to one task.
+HOT_BYTES = 1_500_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -227,6 +230,48 @@ def _index(length: int):
     return run
 
 
+def _windows(length: int):
+    """(context, at, window): the name of each window of a context. The anchor lies elsewhere in each, so they all differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 256):
+                part = b.slice(first, 256)
+                name, at, window = [], [], []
+                for context, n, body in zip(*(part.column(c).to_pylist() for c in ("context", "windows", "body")), strict=True):
+                    name += [context] * n
+                    at += range(n)
+                    window += [hashlib.md5(body[i : i + length]).digest() for i in range(n)]
+                arrays = [pa.array(name, pa.binary()), pa.array(at, pa.int32()), pa.array(window, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["context", "at", "window"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, low, high): the runs of consecutive places of each context."""
+    for b in batches:
+        out = []
+        for context, places in zip(b.column("context").to_pylist(), b.column("places").to_pylist(), strict=True):
+            at = np.unique(places)
+            cut = np.flatnonzero(np.diff(at) > 1)
+            out += [(context, int(lo), int(hi) + 1) for lo, hi in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)], strict=True)]
+        cols = list(zip(*out, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["context", "low", "high"])
+
+
+def hot_marks(news: DataFrame, length: int) -> DataFrame:
+    """(context, low, high) of the repeated windows of news (context, windows, body), whatever the size of an anchor."""
+    once = news.groupBy("context").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.max("body").alias("body"))
+    once = saved(once)
+    windows = once.select("context", "windows", "body").mapInArrow(_windows(length), "context binary, at int, window binary")
+    again = saved(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"))
+    places = windows.join(small(again), "window").groupBy("context").agg(F.collect_list("at").alias("places"))
+    whole = once.where("n > 1").select("context", F.lit(0).alias("low"), F.col("windows").alias("high"))
+    alone = places.join(once.where("n = 1").select("context"), "context", "left_semi")
+    return whole.union(alone.mapInArrow(_runs, "context binary, low int, high int"))
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans that touch or overlap become one."""
     for b in batches:
@@ -254,8 +299,13 @@ def starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     uses = saved(cut.mapInArrow(_cut_contexts(length), "context binary, anchor long, windows int, body binary, news boolean, doc long, start int"))
     bulk = uses.agg(F.sum(F.length("body"))).first()[0] or 0
     bucket = F.pmod("anchor", F.lit(max(12, int(bulk) // (4 * BUCKET_BYTES))))
-    marks = uses.where("news").select("context", "anchor", "windows", "body", bucket.alias("bucket"))
+    news = uses.where("news").select("context", "anchor", "windows", "body")
+    hot = saved(news.groupBy("anchor").agg(F.sum(F.length("body")).alias("n")).where(F.col("n") > HOT_BYTES).select("anchor"))
+    crowded = not hot.isEmpty()
+    marks = (news.join(small(hot), "anchor", "left_anti") if crowded else news).withColumn("bucket", bucket)
     marks = marks.groupBy("bucket").applyInArrow(_index(length), "context binary, low int, high int")
+    if crowded:
+        marks = marks.union(hot_marks(news.join(small(hot), "anchor", "left_semi"), length))
     spans = uses.select("context", "doc", "start").join(marks, "context")
     span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     by_doc = spans.groupBy("doc").agg(F.collect_set(span).alias("spans"))

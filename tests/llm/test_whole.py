@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import collections
+import random
 from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from agoraspark.llm import decontamination, toxicity
+from agoraspark.llm import decontamination, repeats, toxicity
 
 
 def test_op5_table_holds_every_string():
@@ -69,3 +71,39 @@ def test_op2_finds_short_items_whole(spark):
     docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (30, None), (31, " ")], "item_id long, text string")
     found = decontamination.overlaps(docs, bench, shortest=1).join(docs.withColumn("doc", F.xxhash64("doc_id", "text")), "doc")
     assert sorted(tuple(r) for r in found.select("doc_id", "item").collect()) == [(k + m, m) for k in (0, 20) for m in range(1, 12)]
+
+
+def test_op10_leaves_no_crowded_anchor_to_one_group(spark, monkeypatch):
+    """A passage in many texts, whose surroundings differ: no group holds all contexts of its anchors."""
+    bound, length, index = 20_000, 200, repeats._index
+    monkeypatch.setattr(repeats, "HOT_BYTES", bound, raising=False)
+
+    def guarded(n):
+        run = index(n)
+
+        def check(bucket):
+            size = collections.Counter()
+            for anchor, body in zip(bucket.column("anchor").to_pylist(), bucket.column("body").to_pylist(), strict=True):
+                size[anchor] += len(body or b"")
+            assert not size or max(size.values()) <= bound
+            return run(bucket)
+
+        return check
+
+    monkeypatch.setattr(repeats, "_index", guarded)
+    rnd = random.Random(10)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, near = noise(330), noise(150)
+    texts = [noise(rnd.randrange(80, 300)) + passage + noise(rnd.randrange(80, 300)) for _ in range(300)]
+    texts += [near + passage + noise(200), near[20:] + passage + noise(90), texts[0], texts[1][:-50], noise(400)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    times = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    want = {}
+    for k, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if times[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        want[k] = sum(gone)
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.dedup(docs, length).collect()}
+    assert got == want and sum(want.values()) > 300 * 330
