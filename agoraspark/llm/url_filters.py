@@ -2,7 +2,7 @@
 
 A page's url is judged by the longest rule whose host is the url's or a parent domain of it and whose path the url's
 path starts with. Pages without a rule of their own follow their aliases: urls joined by redirects (a meta refresh) or
-canonical links, found over any distance by connected components. One explicitly allowed alias allows, else one
+canonical links, resolved against the page's own url, found over any distance by connected components. One explicitly allowed alias allows, else one
 blocked alias blocks, else the page is allowed. Urls that differ by scheme, fragment or tracking parameters alone are
 one node.
 
@@ -27,7 +27,8 @@ RULES = [
 ]
 LINK = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""
+REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
 def host(url: Column) -> Column:
@@ -47,6 +48,33 @@ def node(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), whole)
 
 
+def resolved(to: Column, base: Column) -> Column:
+    """The target of a link on the page at base, an absolute url; "" of none, or of another scheme without a host."""
+    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    whole = F.concat(origin, path(base))
+    folder = F.concat(origin, F.when(path(base) == "", "/").otherwise(F.regexp_replace(path(base), "[^/]*$", "")))
+    query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    full = (
+        F.when(to == "", "").when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), "")
+        .when(F.startswith(to, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(origin, to))
+        .when(F.startswith(to, F.lit("?")), F.concat(whole, to))
+        .when(F.startswith(to, F.lit("#")), F.concat(whole, query, to))
+        .otherwise(F.concat(folder, to))
+    )
+    # Steps "." and ".." of the path, one after the other.
+    at = F.regexp_extract(full, r"(?s)^.*?://[^/?#]*", 0)
+    rest = F.regexp_extract(full, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
+    steps = F.split(path(full), "/")
+    last = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    step = lambda done, x: (
+        F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.lit(1), F.size(done) - 1))).otherwise(F.concat(done, F.array(x)))
+    )
+    clean = F.array_join(F.concat(F.aggregate(steps, F.array().cast("array<string>"), step), last), "/")
+    return F.when(path(full).rlike(r"(^|/)\.\.?(/|$)"), F.concat(at, clean, rest)).otherwise(full)
+
+
 def ruled(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """urls (url, host, path), distinct, with the rule that fits best and its action; null where none fits."""
     spark = urls.sparkSession
@@ -68,8 +96,8 @@ def ruled(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 def links(pages: DataFrame) -> DataFrame:
     """(url, to): the redirect and canonical links of pages whose html has any."""
     canonical = F.regexp_extract(F.regexp_extract("html", LINK, 0), HREF, 1)
-    refresh = F.regexp_extract("html", REFRESH, 1)
-    found = F.filter(F.array(canonical, refresh), lambda x: F.contains(x, F.lit("://")))
+    refresh = F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1)
+    found = F.filter(F.array(*[resolved(x, F.col("url")) for x in (canonical, refresh)]), lambda x: F.contains(x, F.lit("://")))
     marked = pages.where(F.col("html").rlike(r"(?i)\b(canonical|refresh)\b") & F.contains("url", F.lit("://")))
     return marked.select("url", F.explode(found).alias("to"))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import collections
 import random
 from itertools import combinations
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from agoraspark.llm import decontamination, repeats, toxicity
+from agoraspark.llm import decontamination, repeats, toxicity, url_filters
 
 
 def test_op5_table_holds_every_string():
@@ -107,3 +108,22 @@ def test_op10_leaves_no_crowded_anchor_to_one_group(spark, monkeypatch):
         want[k] = sum(gone)
     got = {r["doc_id"]: r["n_removed"] for r in repeats.dedup(docs, length).collect()}
     assert got == want and sum(want.values()) > 300 * 330
+
+
+def test_op7_resolves_links(spark):
+    bases = ["http://a.io/b/c?q=1#f", "https://a.io", "http://a.io/b/"]
+    targets = ["/en/7", "//x.com/y", "z", "z/w?k=1", "?p=2", "#g", "../u", "./v", "/a/../b/./c", "..", "http://o.net/p", "HTTPS://o.net", "../../../r"]
+    pairs = spark.createDataFrame([(b, t) for b in bases for t in targets], "base string, target string")
+    for b, t, got in pairs.select("base", "target", url_filters.resolved(F.col("target"), F.col("base"))).collect():
+        assert got.rstrip("/").lower() == urljoin(b, t).rstrip("/").lower(), (b, t)
+    none = spark.createDataFrame([("",), ("mailto:a@b.c",), ("javascript:x",)], "target string")
+    assert {r[0] for r in none.select(url_filters.resolved(F.col("target"), F.lit("http://a.io/b"))).collect()} == {""}
+
+
+def test_op7_follows_relative_links_and_any_order(spark):
+    pages = [
+        (1, "http://x.com/q/1", '<link rel=canonical href="/en/7">'), (2, "http://y.io/", "<link href=//x.com/en/8 rel=canonical>"),
+        (3, "http://z.io/", '<meta content="0;url=http://x.com/en/9" http-equiv=refresh>'), (4, "http://free.io/", '<link rel=canonical href="/en/7">'),
+    ]
+    out = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sorted((r["page_id"], r["verdict"]) for r in out.collect()) == [(1, "block"), (2, "block"), (3, "block"), (4, "allow")]
