@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _made: dict[str, str] = {}
+_folders: dict[str, list[str]] = {}
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
@@ -25,10 +26,13 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir. Only where none is named (tests) is one made, once a session."""
+    """The cluster's shared folder, spark.checkpoint.dir. Only where none is named and all runs in one process (tests) is
+    one made, once a session: a cluster's executors could not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -36,7 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the folders that new_folder has named, all or those after the first `since`: for use once the results that
+    are read from them have been written or collected."""
+    made = _folders.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in made[since:]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    del made[since:]
+
+
+def folders(spark: SparkSession) -> int:
+    """How many folders there are to release."""
+    return len(_folders.get(spark.sparkContext.applicationId, []))
 
 
 def ship(spark: SparkSession) -> None:
