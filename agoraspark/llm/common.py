@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
+
 from agoraspark.session import new_folder, ship
 
-#: A side of at most this many narrow rows is broadcast; beyond it the join is left to a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most this many bytes, with ROW_BYTES for every row, is broadcast; beyond it the join is left to a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 16
 #: The ASCII white space that separates words in all contracts.
 GAPS = r"[\x20\x09-\x0D]+"
 
 
-__all__ = ["components", "packed", "saved", "ship", "small", "table", "words"]
+__all__ = ["components", "fingerprint", "packed", "saved", "ship", "small", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +29,35 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most so many rows, else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(name: str, kind: DataType) -> Column:
+    """The bytes of a column's value, about."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.octet_length(f"`{name}`")
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.octet_length(F.to_json(F.struct(F.col(f"`{name}`"))))
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is measured to hold at most so many bytes, else df as it is.
+
+    The limit keeps the measurement itself from growing: a table of more rows than could fit is not read to its end.
+    """
+    rows = most // ROW_BYTES
+    width = sum((F.coalesce(_width(f.name, f.dataType), F.lit(0)) for f in df.schema.fields), F.lit(ROW_BYTES))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= most else df
+
+
+def fingerprint(*names: str) -> Column:
+    """128 bits of a row's values in the named columns; null is a value of its own."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("")) for n in names]
+    return F.unhex(F.md5(F.concat_ws("\x00", *parts)))
 
 
 def packed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(row, _doc): the rows with all columns in a struct, where no name of theirs can clash, and a hash of key and text."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(key, "text").alias("_doc"))
+    """(row, _doc): the rows with all columns in a struct, where no name of theirs can clash, and 128 bits of key and text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), fingerprint(key, "text").alias("_doc"))
 
 
 def words(text: Column) -> Column:
