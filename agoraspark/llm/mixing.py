@@ -2,17 +2,18 @@
 
 1. Each source gets a target in words: its weight's part of all words, but at most `cap` times its own; what is over
    goes to the others by weight until none is above (water-filling in closed form).
-2. A source's documents are laid out in a permuted order, pass after pass, up to its target: floor(target / size) whole
-   passes, and of the last pass as many words as are missing. The document at the end is taken in part, so a source's
-   words meet its target to the word.
-3. The line of each source is cut into blocks of `block_words`. A binary tree over the output shards splits the exact
-   block counts: at each node the left half draws its number of blocks of each source from the multivariate
-   hypergeometric law, source after source (one row a node, an array over sources). A shard then owns disjoint
-   intervals of blocks of the permuted lines, and its rows are shuffled by a hash.
+2. A source's target is a number of blocks of `block_words`, the last one short: its quota. A binary tree over the output
+   shards splits the exact quotas: at each node the left half draws its number of blocks of each source from the
+   multivariate hypergeometric law, source after source (one row a node, an array over sources).
+3. A source's documents are laid out in a permuted order, once for each pass that the target needs. A shard draws its
+   blocks from this line: the whole passes are dealt without gaps; of the last pass, of which only a part is wanted, each
+   shard has a stretch of its own in proportion to the blocks drawn before it, and takes the first words there. So shards
+   draw disjoint words, the tree decides which words of the last pass are taken, and a source meets its target to the
+   word. A document is in a shard as far as the shard's words cover it; within a shard documents are shuffled by a hash.
 
 Edge cases: a null source is a source of its own, the last; null and blank texts have size 0 and are taken 0 times;
 repeated rows count each; an empty table gives no rows; extra columns are ignored. Reruns agree: all draws come from
-md5 of the seed.
+md5 of the seed. Sources and shards are few (one row a source holds its shards), documents any number.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agoraspark.llm.common import packed, saved, small, table, words
+from agoraspark.llm.common import fingerprint, packed, saved, small, table
 
 WEIGHTS = (5, 2, 1)
-RUNS = 1024
+WORD = r"[^\x20\x09-\x0D]+"
+#: A source's line is summed in so many runs of hash order, so that no task gets a whole source.
+RUNS = 4096
 
 
 def _unit(*parts: Column) -> Column:
@@ -139,62 +142,92 @@ def split_quotas(blocks: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     return ends.groupBy((F.col("i") + 1).alias("nth")).agg(F.array_sort(F.collect_list("end")).alias("cuts"))
 
 
-def draws(
+def stretches(quotas: DataFrame, block_words: int) -> DataFrame:
+    """(nth, stretches): where on a source's line each shard takes its words, as (shard, low, high), in the line's order.
+
+    quotas: (nth, source_size, goal, cuts). A shard between cuts a and b owns the words [a, b) of the goal. Those of whole
+    passes lie on the line as they are; those of the part `rest` of a last pass are moved on by a gap that grows with the
+    place, so that all of the pass can be reached.
+    """
+    size, goal = F.col("source_size"), F.col("goal")
+    whole = F.floor(goal / F.greatest(size, F.lit(1))) * size
+    rest = goal - whole
+
+    def of(i: Column) -> Column:
+        low = F.least(goal, F.when(i == 0, F.lit(0)).otherwise(F.get("cuts", i - 1)) * block_words)
+        high = F.least(goal, F.get("cuts", i) * block_words)
+        at = F.greatest(low, whole) - whole
+        gap = F.least(size - rest, F.floor((size - rest).cast("double") * at.cast("double") / F.greatest(rest, F.lit(1)).cast("double")))
+        begin = whole + at + gap
+        piece = lambda a, b: F.struct(i.alias("shard"), a.cast("long").alias("low"), b.cast("long").alias("high"))
+        return F.array(piece(low, F.least(high, whole)), piece(begin, begin + high - F.greatest(low, whole)))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 1), of))
+    found = F.filter(every, lambda x: x["high"] > x["low"])
+    return quotas.select("nth", F.array_sort(F.transform(found, lambda x: F.struct(x["low"], x["high"], x["shard"]))).alias("stretches"))
+
+
+def drawn(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, shards: int = 8, block_words: int = 4096,
     seed: int = 17, key: str = "doc_id",
 ) -> DataFrame:
-    """One row for every document and pass: key, src, row_no, size, source_size, target, pass, taken, block, shard and
-    spot (the place within the shard's shuffled order). A document that is not taken keeps one row with taken 0."""
-    size = F.size(words(F.col("text"))).cast("long")
-    rows = docs.select(F.col(key), F.col("source").alias("src"), size.alias("size"), F.xxhash64("text").alias("_t"))
-    ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    at = F.conv(F.substring(F.md5(ident), 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("_at", at).withColumn("_run", F.floor(F.col("_at") / (2**32 // RUNS)).cast("int"))
+    """One row for each row of docs: key, src, size, source_size, target and draws, the array of (pass, shard, taken,
+    spot) of the words that shards take of it, by pass and place; spot is the place in the shard's shuffled order."""
+    rows = docs.select(F.col(key), F.col("source").alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("_t"))
+    own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.col("_t").cast("string")))
+    rows = rows.withColumn("_ident", F.concat_ws(":", F.lit(str(seed)), own))
+    rows = rows.withColumn("_at", F.conv(F.substring(F.md5("_ident"), 1, 8), 16, 10).cast("long"))
+    rows = saved(rows.withColumn("_run", F.floor(F.col("_at") / (2**32 // RUNS)).cast("int")))
     runs = rows.groupBy("src", "_run").agg(F.sum("size").alias("_words"))
     sizes = targets(runs.groupBy("src").agg(F.sum("_words").alias("source_size")), weights, cap)
-    sizes = saved(sizes)
+    sizes = saved(sizes.withColumn("goal", F.floor("target").cast("long")))
+    cuts = split_quotas(sizes.select("nth", F.ceil(F.col("goal") / block_words).alias("blocks")), shards, seed)
+    taken_at = stretches(sizes.join(cuts, "nth"), block_words)
+    sources = saved(sizes.join(taken_at, "nth").drop("nth"))
     before = Window.partitionBy("src").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("src", "_run", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
-    runs = runs.join(sizes, runs["src"].eqNullSafe(sizes["src"])).drop(sizes["src"])
-    blocks = sizes.select("nth", F.ceil(F.floor("target") / block_words).alias("blocks"))
-    cuts = split_quotas(blocks, shards, seed)
-    runs = saved(runs.join(cuts, "nth"))
-    within = Window.partitionBy("src", "_run").orderBy("_at", key, "_t")
-    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col("src").alias("_src"), F.col("_run").alias("_r"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
+    earlier = Window.partitionBy("src", "_run").orderBy("_at", key, "_t").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    rows = rows.withColumn("row_no", F.concat_ws(":", F.coalesce(F.col("src"), F.lit("")), F.col("src").isNull().cast("string"), "_run", F.row_number().over(within)))
-    same = rows["src"].eqNullSafe(runs["src"]) & (rows["_run"] == runs["_run"])
-    rows = rows.join(runs, same).drop(runs["src"], runs["_run"])
-    goal = F.floor("target").cast("long")
-    begin = F.col("_start") + F.col("_in")
-    last = F.floor((goal - 1) / F.greatest("source_size", F.lit(1))).cast("int")
-    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), last))))
-    line = begin + F.col("pass") * F.col("source_size")
-    rows = rows.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), goal - line)).cast("long"))
-    rows = rows.withColumn("block", F.floor(line / block_words).cast("long"))
-    rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.size(F.filter("cuts", lambda c: c <= F.col("block")))))
-    spot = F.conv(F.substring(F.md5(F.concat_ws(":", ident, F.lit("spot"), F.col("pass").cast("string"))), 1, 8), 16, 10)
-    return rows.withColumn("spot", spot.cast("long")).drop("cuts", "nth", "blocks", "_start", "_words", "_in", "_run", "_at", "_t")
+    rows = rows.join(small(saved(runs)), F.col("src").eqNullSafe(F.col("_src")) & (F.col("_run") == F.col("_r"))).drop("_src", "_r")
+    rows = rows.join(small(sources.withColumnRenamed("src", "_src")), F.col("src").eqNullSafe(F.col("_src"))).drop("_src")
+    last = F.ceil(F.col("goal") / F.greatest("source_size", F.lit(1))).cast("int") - 1
+
+    def one_pass(p: Column) -> Column:
+        low = F.col("_start") + F.col("_in") + p * F.col("source_size")
+        spot = F.conv(F.substring(F.md5(F.concat_ws(":", "_ident", F.lit("spot"), p.cast("string"))), 1, 8), 16, 10).cast("long")
+        words = lambda x: F.least(x["high"], low + F.col("size")) - F.greatest(x["low"], low)
+        near = F.filter("stretches", lambda x: words(x) > 0)
+        return F.transform(near, lambda x: F.struct(p.alias("pass"), x["shard"].alias("shard"), words(x).cast("long").alias("taken"), spot.alias("spot")))
+
+    found = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), one_pass))
+    return rows.select(key, "src", "size", "source_size", "target", found.alias("draws"))
 
 
 def taken(docs: DataFrame, **options: object) -> DataFrame:
-    """One row for each row of docs: key, src, size, source_size, target and taken, over all passes."""
-    out = draws(docs, **options)
-    key = out.columns[0]
-    own = [F.first(c, ignorenulls=False).alias(c) for c in (key, "src", "size", "source_size", "target")]
-    return out.groupBy("row_no").agg(*own, F.sum("taken").alias("taken")).drop("row_no")
+    """One row for each row of docs: key, src, size, source_size, target, taken (the sum of all shards' draws) and shards
+    (shard:words of each draw, comma-joined)."""
+    out = drawn(docs, **options)
+    words = F.aggregate("draws", F.lit(0).cast("long"), lambda n, x: n + x["taken"])
+    listed = F.array_join(F.transform("draws", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["taken"].cast("string"))), ",")
+    return out.select(*[c for c in out.columns if c != "draws"], words.alias("taken"), listed.alias("shards"))
 
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs, all columns, once for each pass that takes any of their words."""
-    narrow = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "source", "text")
-    out = draws(narrow, key="_doc", **options)
-    times = out.groupBy("_doc").agg(F.count_if(F.col("taken") > 0).cast("int").alias("times"), F.countDistinct("row_no").alias("rows"))
-    times = saved(times.where("times > 0"))
-    once = packed(docs).join(small(times.where("rows = 1")), "_doc")
-    more = packed(docs).join(small(times.where("rows > 1")), "_doc").dropDuplicates(["_doc"])
-    return once.unionByName(more).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    """The rows of docs, all columns, once for each pass that takes any of their words, in the shard that takes the first:
+    shard by shard, and within a shard in its shuffled order."""
+    narrow = docs.select(F.hex(fingerprint("doc_id", "text")).alias("_doc"), "source", "text")
+    # One copy for each pass, at the first of its draws.
+    firsts = F.filter("draws", lambda x, i: (i == 0) | (F.get("draws", i - 1)["pass"] != x["pass"]))
+    copies = drawn(narrow, key="_doc", **options).select(F.unhex("_doc").alias("_doc"), firsts.alias("draws")).where(F.size("draws") > 0)
+    copies = saved(copies.groupBy("_doc").agg(F.count("*").alias("_same"), F.flatten(F.collect_list("draws")).alias("draws")))
+    repeated = small(copies.where("_same > 1").select("_doc"))
+    rows = packed(docs)
+    rows = rows.join(repeated, "_doc", "left_anti").unionByName(rows.join(repeated, "_doc", "left_semi").dropDuplicates(["_doc"]))
+    dealt = rows.join(small(copies.select("_doc", "draws")), "_doc").select("row", "_doc", F.posexplode("draws").alias("_nth", "draw"))
+    dealt = dealt.select("row", F.col("draw.shard").alias("_shard"), F.col("draw.spot").alias("_spot"), "_doc", "_nth")
+    order = ["_shard", "_spot", "_doc", "_nth"]
+    return dealt.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("row.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
