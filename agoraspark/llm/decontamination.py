@@ -1,8 +1,8 @@
 """Operator 2, benchmark decontamination by lossless seeds, DataFrame functions only.
 
 An overlap is confirmed where some `window` consecutive item tokens (the whole item, if shorter) agree in `agree` of all
-places. Items of fewer than WHOLE tokens are left out, as in the SQL, unless `shortest` admits them; they must agree in all
-places. Of w places of which k may differ, cut into k + 1 pieces, one
+places. Items of fewer than WHOLE tokens must agree in all places; `shortest` can leave out items of fewer tokens than it
+says. Of w places of which k may differ, cut into k + 1 pieces, one
 piece has no difference: so every overlap holds a seed of w // (k + 1) consecutive tokens that agree, wherever the
 differences lie. Seeds of an item's length are laid over every position of every document and item; equal hashes give
 hits (document, item, diagonal). Around each hit the item is laid over the document and compared token by token.
@@ -24,9 +24,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraspark.llm.common import packed, saved, small, table
+from agoraspark.llm.common import fingerprint, packed, saved, small, table
 
-#: Items of fewer tokens are left out by default; where they are not, they must agree whole.
+#: Items of fewer tokens must agree whole.
 WHOLE = 12
 #: Tokens of the longest seed.
 LONGEST = 4
@@ -73,9 +73,9 @@ def seeds(rows: DataFrame, ids: str, lengths: list[int], *keep: str) -> DataFram
 
 
 def overlaps(
-    docs: DataFrame, items: DataFrame, window: int = 20, agree: float = 0.8, key: str = "doc_id", item: str = "item_id", shortest: int = WHOLE
+    docs: DataFrame, items: DataFrame, window: int = 20, agree: float = 0.8, key: str = "doc_id", item: str = "item_id", shortest: int = 1
 ) -> DataFrame:
-    """(doc, item, at, tokens_agreeing): the confirmed overlaps; doc is a hash of key and text, at the diagonal."""
+    """(doc, item, at, tokens_agreeing): the confirmed overlaps; doc is 128 bits of key and text, at the diagonal."""
     bench = items.select(F.col(item).alias("item"), hashed(F.col("text")).alias("item_ids")).where(F.size("item_ids") >= max(1, shortest))
     bench = saved(bench.withColumn("own_length", seed_length(F.size("item_ids"), window, agree)))
     lengths = sorted(r[0] for r in bench.select("own_length").distinct().collect()) or [LONGEST]
@@ -84,7 +84,7 @@ def overlaps(
     probe = probe.where("seed_length = own_length and at = coalesce(only, at)").select("item", F.col("at").alias("item_at"), "seed")
     probe, bench = small(probe), bench.drop("own_length")
     known = vocabulary(bench)
-    texts = docs.select(F.xxhash64(key, "text").alias("doc"), "text").where("text <> ''")
+    texts = docs.select(fingerprint(key, "text").alias("doc"), "text").where("text <> ''")
     in_bench = lambda t: F.getbit(known[F.shiftright(t.bitwiseAND(F.lit(BITMAP - 1)), 6).cast("int")], t.bitwiseAND(F.lit(63)).cast("int")) == 1
     marked = F.transform(hashed(F.col("text")), lambda t: F.when(in_bench(t), t))
     laid = seeds(texts.select("doc", marked.alias("ids")), "ids", lengths, "doc")
@@ -118,7 +118,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options: object) -> DataF
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = small(saved(contaminated(docs, items)))
-    out = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc")).join(found, "doc", "left")
+    out = docs.select("doc_id", fingerprint("doc_id", "text").alias("doc")).join(found, "doc", "left")
     return out.select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.lit("")).alias("items"),
