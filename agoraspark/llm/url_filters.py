@@ -25,9 +25,10 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-LINK = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+TAG = r"""(?is)<(?:link|meta)\b[^>]*>"""
+CANONICAL = r"""(?is)\brel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""
 TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
@@ -77,8 +78,9 @@ def resolved(to: Column, base: Column) -> Column:
 
 def ruled(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """urls (url, host, path), distinct, with the rule that fits best and its action; null where none fits."""
-    spark = urls.sparkSession
-    known = spark.createDataFrame([(a, h, p, h + p) for a, h, p in rules], "action string, at string, begins string, rule string")
+    names = ("action", "at", "begins", "rule")
+    rows = [F.struct(*[F.lit(x).alias(n) for n, x in zip(names, (a, h, p, h + p), strict=True)]) for a, h, p in rules]
+    known = urls.sparkSession.range(1).select(F.inline(F.array(*rows))) if rows else urls.selectExpr(*[f"'' as {n}" for n in names]).where("false")
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     fits = (
@@ -94,12 +96,15 @@ def ruled(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(url, to): the redirect and canonical links of pages whose html has any."""
-    canonical = F.regexp_extract(F.regexp_extract("html", LINK, 0), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1)
-    found = F.filter(F.array(*[resolved(x, F.col("url")) for x in (canonical, refresh)]), lambda x: F.contains(x, F.lit("://")))
+    """(url, to): all redirect and canonical links of pages whose html has any."""
+    tags = F.regexp_extract_all("html", F.lit(TAG), F.lit(0))
+    target = lambda t: F.when(t.rlike("(?is)^<link"), F.when(t.rlike(CANONICAL), F.regexp_extract(t, HREF, 1))).otherwise(
+        F.when(t.rlike(REFRESH), F.regexp_extract(t, TARGET, 1))
+    )
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, "(?i)&#(0*38|x0*26);", "&"), "(?i)&amp;", "&")
+    found = F.filter(F.transform(tags, lambda t: resolved(plain(target(t)), F.col("url"))), lambda x: F.contains(x, F.lit("://")))
     marked = pages.where(F.col("html").rlike(r"(?i)\b(canonical|refresh)\b") & F.contains("url", F.lit("://")))
-    return marked.select("url", F.explode(found).alias("to"))
+    return marked.select("url", F.explode(F.array_distinct(found)).alias("to"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, key: str = "page_id") -> DataFrame:
