@@ -5,9 +5,11 @@
 2. Two signatures within 15 differing values have, by pigeonhole, one of 8 chunks of 4 values with at most one error.
    Each chunk is entered under its 4 keys with one value left out, so all pairs within that distance share a key.
 3. The nodes of a key are joined to its least node, the hub. All pairs of a key meet again in the hub's group, but a
-   pair that shares twenty keys is one row. Groups of many nodes are split into blocks, pairs of blocks into tasks.
-4. A task compares its nodes' full shingle sets, all pairs, by sparse-to-dense products in numpy, and gives back only a
-   spanning forest of the links it confirms. No pair is a row.
+   pair that shares twenty keys is one row. Groups of up to BLOCK nodes are compared in one task, all pairs, by
+   sparse-to-dense products of the full shingle sets in numpy; only a spanning forest of the links is given back.
+4. In a larger group all nodes are first compared with a few LEADERS, block by block. What is linked to the leader with
+   most links, or to leaders linked to it, is connected: links within it change nothing more. Only nodes left over are
+   compared with all of the group, in pairs of blocks that hold at least one of them. No pair is a row.
 5. Connected components of the forests are the groups; the smallest doc_id stays.
 
 At a similarity of 0.85 a pair shares no key with probability 0.11**8 = 2e-8 (0.8: 1e-6).
@@ -27,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoraspark.llm import bytesets as bs
-from agoraspark.llm.common import components, packed, saved, ship, small, table
+from agoraspark.llm.common import components, fingerprint, packed, saved, ship, small, table
 
 WORDS, HASHES, CHUNK = 5, 32, 4
-#: Nodes of a group that meet in one task.
-BLOCK = 256
+#: Nodes of a group that meet in one task; those that all nodes of a larger group are compared with first.
+BLOCK, LEADERS = 256, 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
@@ -179,22 +181,82 @@ def forest(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percen
     return out
 
 
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    cols = list(zip(*found, strict=True)) or [[], []]
+    return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+
 def _confirm(percent: int):
+    """The links of a task's nodes, as a forest: all, or, if there are two blocks, those between the blocks."""
+
+    def run(task: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in task.column("shingles").to_pylist()]
+        return _edges(forest(task.column("node").to_numpy(), task.column("block").to_numpy(), sets, percent))
+
+    return run
+
+
+def _follow(percent: int):
+    """(hub, leader, node): the links between a block's nodes and the leaders of their group."""
+
     def run(task: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in task.column("shingles").to_pylist()]
-        nodes, blocks = task.column("node").to_numpy(), task.column("block").to_numpy()
-        cols = list(zip(*forest(nodes, blocks, sets, percent), strict=True)) or [[], []]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+        nodes, leads = task.column("node").to_numpy(), task.column("leads").to_numpy(zero_copy_only=False)
+        shared, sizes = shared_counts(sets), np.array([len(x) for x in sets])
+        linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+        i, j = np.nonzero(linked[leads][:, ~leads])
+        hub = np.full(len(i), task.column("hub")[0].as_py())
+        return pa.table({"hub": pa.array(hub), "leader": pa.array(nodes[leads][i]), "node": pa.array(nodes[~leads][j])})
 
     return run
 
 
-def groups(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame:
-    """doc_id, doc (hash of key and text), n_shingles, component_id and kept of every row of docs."""
+def _by_leaders(stars: DataFrame, sets: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(hub, leader, node), the links to leaders, and (hub, node), the nodes that these leave unconnected, of large groups."""
+    drawn = [F.min_by(F.struct("node", "blocks"), F.xxhash64("node", F.lit(i))) for i in range(LEADERS)]
+    leads = stars.groupBy("hub").agg(F.array_distinct(F.array(*drawn)).alias("leads")).select("hub", F.inline("leads"))
+    led = leads.select("hub", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("leads"))
+    tasks = stars.select("hub", "node", "block", F.lit(False).alias("leads")).union(led).join(sets, "node")
+    links = saved(tasks.groupBy("hub", "block").applyInArrow(_follow(percent), "hub long, leader long, node long"))
+    most = links.groupBy("hub", "leader").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("leader", F.struct("n", "leader")).alias("root"))
+    # A leader counts if it is linked to the root; the root is linked to itself.
+    good = links.join(most, "hub").where("leader = root").select("hub", F.col("node").alias("leader"))
+    good = good.join(leads.select("hub", F.col("node").alias("leader")), ["hub", "leader"], "left_semi").distinct()
+    done = links.join(small(good), ["hub", "leader"], "left_semi").select("hub", "node").distinct()
+    return links.select("hub", "leader", "node"), saved(stars.join(done, ["hub", "node"], "left_anti").select("hub", "node"))
+
+
+def linked_nodes(stars: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): edges that connect just the nodes that links within the groups (hub, node) connect. sets: (node, shingles)."""
+    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    stars = saved(stars.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
+    few = stars.where("blocks = 1").select("hub", "block", "node").join(sets, "node")
+    edges = few.groupBy("hub").applyInArrow(_confirm(percent), "a long, b long")
+    large = stars.where("blocks > 1")
+    if large.isEmpty():
+        return edges
+    links, rest = _by_leaders(large, sets, percent, block)
+    edges = edges.union(links.where("leader <> node").select("leader", "node"))
+    # The nodes left over, in blocks of their own, against each other and against every block of their group.
+    parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    rest = rest.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node", F.lit("rest")), "parts").cast("int"))
+    every = large.join(parts, "hub").join(rest.select("hub", "node", "part"), ["hub", "node"], "left")
+    against = every.where("part is null").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("block"), "node")
+    own = rest.join(sizes, "hub").select("hub", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("block"), "node")
+    crossed = against.union(own).withColumn("kind", F.lit(0))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    pairs = rest.select("hub", "part", "node", other.alias("other"))
+    pairs = pairs.select("hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("part").alias("block"), "node", F.lit(1).alias("kind"))
+    tasks = crossed.select(*pairs.columns).union(pairs).join(sets, "node")
+    return edges.union(tasks.groupBy("hub", "kind", "i", "j").applyInArrow(_confirm(percent), "a long, b long"))
+
+
+def groups(docs: DataFrame, percent: int = 85, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """doc_id, doc (128 bits of key and text), n_shingles, component_id and kept of every row of docs."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, "text").alias("doc"), "text")
+    rows = docs.select(F.col(key).alias("doc_id"), fingerprint(key, "text").alias("doc"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = saved(rows.mapInArrow(_sign, f"doc_id {kind}, doc long, n_shingles long, d1 long, d2 long, sig binary"))
+    signed = saved(rows.mapInArrow(_sign, f"doc_id {kind}, doc binary, n_shingles long, d1 long, d2 long, sig binary"))
     full = signed.where("n_shingles > 0")
     nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("doc").alias("doc"), F.first("sig").alias("sig"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -202,16 +264,9 @@ def groups(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame
     hubs = entered.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     stars = saved(entered.join(hubs.select("key", "hub"), "key").select("hub", "node").distinct())
     wanted = nodes.join(stars.select("node").distinct(), "node").select("doc", "node")
-    texts = rows.select("doc", "text").join(small(wanted), "doc").dropDuplicates(["node"])
+    texts = rows.select("doc", "text").join(small(saved(wanted)), "doc").dropDuplicates(["node"])
     sets = saved(texts.select("node", "text").mapInArrow(_sets, "node long, shingles binary"))
-    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
-    sizes = stars.groupBy("hub").agg(blocks.alias("blocks"))
-    tasks = stars.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
-    tasks = tasks.join(sets, "node")
-    edges = tasks.groupBy("hub", "i", "j").applyInArrow(_confirm(percent), "a long, b long")
-    group = components(edges)
+    group = components(linked_nodes(stars, sets, percent, block))
     joined = nodes.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     known = joined.join(lowest, "component").select("d1", "d2", "component_id", F.col("component").alias("group"), F.lit(1).alias("words"))
@@ -222,7 +277,7 @@ def groups(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame
 
 
 def deduplicated(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, but of each group only the one with the smallest (key, text hash); all rows without
+    """The rows of docs, all columns, but of each group only the one with the smallest (key, fingerprint); all rows without
     words. Rows that agree in key and text are one."""
     found = saved(groups(docs, percent, key).where("group is not null").select("doc_id", "doc", "group"))
     best = found.groupBy("group").agg(F.min(F.struct("doc_id", "doc")).alias("best")).select("group", F.col("best.doc").alias("best"))
