@@ -9,7 +9,7 @@ stretches that stand out most. A logistic curve turns these into a score; it is
 each measured by models that have not seen its own half of the labels.
 
 Counts come from all labelled training texts, in Spark, by the exact string with partial sums. All distinct strings are
-gathered and broadcast, so the table grows with the corpus; it has up to 24 bytes a string.
+gathered and broadcast, so the table grows with the corpus; it has up to 12 bytes a string.
 
 Edge cases: null and empty texts, and an empty label table, score by the curve's value for no evidence; repeated labels
 of a document count each; rows with a null label or doc_id are not learned from; extra columns are ignored.
@@ -29,7 +29,6 @@ from agoraspark.llm.common import ship, small, table
 
 ORDER = 4
 FIT_ROWS = 20_000
-LABEL_ROWS = 5_000_000
 THRESHOLD = 0.3
 DISCOUNT = 0.75
 #: Words below this mean ratio a byte are no evidence.
@@ -104,15 +103,21 @@ def ratios(codes: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> np.ndarra
     return np.log(smoothed(toxic, shared)) - np.log(smoothed(plain, shared))
 
 
-def lookup_table(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of all codes in order, their values, and where each slot of hashes begins; 2 slots a code or more."""
+def lookup_tables(codes: np.ndarray, *values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of values (one a code): the hashes of all codes in order, their values, and where each slot of hashes
+    begins; one or two codes a slot. The tables share all but the values."""
     h = hashed(codes)
     order = np.argsort(h)
     h = h[order]
-    bits = min(32, max(10, int(2 * len(codes)).bit_length()))
+    bits = min(32, max(10, int(len(codes)).bit_length() - 1))
     begins = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.int32)
     # Behind the last: no slot's first code, so that every place that begins names can be read.
-    return np.append(h, np.uint32(0)), np.append(values[order], 0).astype(np.float32), begins
+    h = np.append(h, np.uint32(0))
+    return [(h, np.append(v[order], 0).astype(np.float32), begins) for v in values]
+
+
+def lookup_table(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return lookup_tables(codes, values)[0]
 
 
 def looked_up(codes: np.ndarray, model: tuple) -> np.ndarray:
@@ -180,7 +185,7 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     own = labels.where("toxic in (0, 1) and doc_id is not null").where(part != 2).select("doc_id", F.col("toxic").cast("long").alias("toxic"))
     half = F.pmod(F.xxhash64("text"), F.lit(2))
-    return docs.select("doc_id", "text").join(small(own, LABEL_ROWS), "doc_id").select("text", (2 * F.col("toxic") + half).alias("side"), F.xxhash64("doc_id", "text").alias("pick"))
+    return docs.select("doc_id", "text").join(small(own), "doc_id").select("text", (2 * F.col("toxic") + half).alias("side"), F.xxhash64("doc_id", "text").alias("pick"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
@@ -194,13 +199,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     codes = held["code"].to_numpy().astype(np.uint32)
     n = np.column_stack([held[f"n{k}"].to_numpy().astype(np.float64) for k in range(4)])
 
-    def model(halves: tuple[int, ...]) -> tuple:
-        plain, toxic = sum(n[:, h] for h in halves), sum(n[:, 2 + h] for h in halves)
-        return lookup_table(codes, ratios(codes, toxic, plain))
+    def model(*choices: tuple[int, ...]) -> list[tuple]:
+        """A model for each choice of halves."""
+        sums = [(sum(n[:, 2 + h] for h in halves), sum(n[:, h] for h in halves)) for halves in choices]
+        return lookup_tables(codes, *(ratios(codes, toxic, plain) for toxic, plain in sums))
 
     if not len(codes) or not n[:, :2].sum() or not n[:, 2:].sum():
         return {"model": None, "curve": None, "prior": float(n[:, 2:].sum() > 0)}
-    other = spark.sparkContext.broadcast([model((1,)), model((0,))])
+    other = spark.sparkContext.broadcast(model((1,), (0,)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,7 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     seen = sample.mapInArrow(measure, "y long, a double, b double, c double, d double, e double").toPandas()
     other.unpersist()
     curve = fit_logistic(seen[list("abcde")].to_numpy(), seen["y"].to_numpy(np.float64))
-    return {"model": model((0, 1)), "curve": curve, "prior": 0.0}
+    return {"model": model((0, 1))[0], "curve": curve, "prior": 0.0}
 
 
 def scores(texts: pa.Array, known: dict) -> np.ndarray:
