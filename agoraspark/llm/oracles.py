@@ -4,34 +4,72 @@ from __future__ import annotations
 
 from agoraspark.llm.url_filters import RULES
 
-OP1 = """
+#: At depths 1 and 2 (50 words or more), 3, and 4, 8, ...: the positions whose next lines occur earlier, and where first.
+OP1 = r"""
 WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text <> ''),
-w AS (SELECT doc_id, pos, line, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c, lead(pos, 2) OVER d AS fits FROM x WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
-f AS (SELECT *, fits IS NOT NULL AND row_number() OVER (PARTITION BY line, b, c, fits IS NULL ORDER BY doc_id, pos) > 1 AS later FROM w),
-g AS (SELECT *, max(later::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
-h AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM g),
-s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_runs, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept FROM h GROUP BY doc_id)
+n AS (SELECT doc_id, pos, line, md5(line) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, lead(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY pos) AS more FROM x),
+a AS (SELECT doc_id, list(h ORDER BY pos) AS hs, count(*) AS n FROM n GROUP BY doc_id),
+e AS (SELECT unnest([1, 2, 3] || list_transform(range(2, 20), lambda k: (2 ** k)::BIGINT)) AS depth),
+g AS (SELECT n.doc_id, pos, depth, md5(array_to_string(hs[pos:pos + depth - 1], ' ')) AS name FROM n JOIN a USING (doc_id) JOIN e ON pos + depth - 1 <= n
+  WHERE depth >= 3 OR words + CASE WHEN depth = 2 THEN more ELSE 0 END >= 50),
+f AS (SELECT *, first(doc_id) OVER w AS d1, first(pos) OVER w AS p1 FROM g WINDOW w AS (PARTITION BY depth, name ORDER BY doc_id, pos)),
+b AS (SELECT doc_id, pos, max(depth) AS depth, arg_max(d1, depth) AS d1, arg_max(p1, depth) - pos AS shift FROM f WHERE d1 <> doc_id OR p1 <> pos GROUP BY doc_id, pos),
+o AS (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(depth) OVER w = depth AND lag(d1) OVER w = d1 AND lag(shift) OVER w = shift THEN 0 ELSE 1 END AS opens FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+q AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM o),
+u AS (SELECT doc_id, min(pos) AS low, max(pos) + any_value(depth) AS high FROM q GROUP BY doc_id, run),
+v AS (SELECT *, max(high) OVER (PARTITION BY doc_id ORDER BY low, high DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
+r AS (SELECT doc_id, low, high FROM v WHERE reach IS NULL OR high > reach),
+c AS (SELECT doc_id, count(*) AS n_runs FROM r GROUP BY doc_id),
+l AS (SELECT n.*, EXISTS (SELECT 1 FROM r WHERE r.doc_id = n.doc_id AND n.pos >= r.low AND n.pos < r.high) AS gone FROM n),
+s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept FROM l GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
-md5(coalesce(kept, '')) AS kept_md5 FROM documents d LEFT JOIN s USING (doc_id)"""
+md5(coalesce(kept, '')) AS kept_md5 FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 OP2 = r"""
 WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
 i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
-a AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM t), b AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS q FROM i WHERE len(ws) >= 12),
+a AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM t), b AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS q FROM i),
 m AS (SELECT doc_id, item_id, n, p - q AS d, q FROM a JOIN b USING (w)),
 k AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, d ORDER BY q RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS hits FROM m),
-c AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS x, list_sort(list(DISTINCT item_id)) AS l FROM k WHERE hits >= least(20, n) * 0.8 GROUP BY doc_id)
+c AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS x, list_sort(list(DISTINCT item_id)) AS l FROM k WHERE hits >= CASE WHEN n < 12 THEN n ELSE least(20, n) * 0.8 END GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(array_to_string(l, ','), '') AS items FROM documents LEFT JOIN c USING (doc_id)"""
 
+#: The tree of shards: a row (lo, hi, i) draws source i's part of the left half; once all are drawn, both halves follow.
 OP6 = r"""
-WITH d AS (SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, sum(size)::DOUBLE AS own, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+WITH RECURSIVE d AS (SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS own, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source),
+v AS (SELECT *, [5, 2, 1][(nth - 1) % 3 + 1]::DOUBLE AS w FROM s),
 l AS (SELECT *, (sum(own) OVER () - coalesce(sum(3 * own) OVER (ORDER BY 3 * own / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / sum(w) OVER (ORDER BY 3 * own / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM s),
-g AS (SELECT source, own, least(3 * own, w * (SELECT arg_min(lam, 3 * own / w) FROM l WHERE lam * w <= 3 * own)) AS target FROM l),
-p AS (SELECT d.*, own, target, sum(size) OVER (PARTITION BY d.source ORDER BY substr(md5('17:' || doc_id), 1, 8), doc_id) - size AS begins FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, CAST(own AS BIGINT) AS source_size, target,
-CAST(least(size, greatest(0, floor(target) - begins)) + least(size, greatest(0, floor(target) - begins - own)) + least(size, greatest(0, floor(target) - begins - 2 * own)) AS BIGINT) AS taken FROM p"""
+  / sum(w) OVER (ORDER BY 3 * own / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM v),
+g AS (SELECT source, nth, own::BIGINT AS own, least(3 * own, w * (SELECT arg_min(lam, 3 * own / w) FROM l WHERE lam * w <= 3 * own)) AS target FROM l),
+o AS (SELECT list(ceil(floor(target) / 4096)::DOUBLE ORDER BY nth) AS q FROM g),
+t(lo, hi, i, q, got, rest, need) AS (
+  SELECT 0, 8, 1, q, []::DOUBLE[], list_sum(q), round(list_sum(q) * 4 / 8) FROM o
+  UNION ALL
+  SELECT CASE WHEN c = 1 THEN mid ELSE lo END, CASE WHEN i > len(q) AND c = 0 THEN mid ELSE hi END, CASE WHEN i > len(q) THEN 1 ELSE i + 1 END, nq,
+    CASE WHEN i > len(q) THEN [] ELSE list_append(got, k) END, CASE WHEN i > len(q) THEN list_sum(nq) ELSE rest - q[i] END,
+    CASE WHEN i > len(q) THEN round(list_sum(nq) * ((CASE WHEN c = 1 THEN hi - mid ELSE mid - lo END + 1) // 2) / CASE WHEN c = 1 THEN hi - mid ELSE mid - lo END) ELSE need - k END
+  FROM (SELECT *, CASE WHEN i <= len(q) THEN q WHEN c = 0 THEN got ELSE list_transform(range(1, len(q) + 1), lambda j: q[j] - got[j]) END AS nq,
+      least(high, low + len(list_filter(range(1, len(ws) + 1), lambda j: list_sum(ws[1:j]) < u * list_sum(ws)))) AS k
+    FROM (SELECT *, list_transform(range(low::BIGINT, high::BIGINT + 1), lambda x: coalesce(list_product(list_transform(range(low::BIGINT, x), lambda y: (a - y) * (need - y) / ((y + 1) * (b - need + y + 1)))), 1.0)) AS ws
+      FROM (SELECT *, greatest(0.0, need - b, floor(mean - 12 * sd - 12)) AS low, greatest(greatest(0.0, need - b, floor(mean - 12 * sd - 12)), least(a, need, ceil(mean + 12 * sd + 12))) AS high
+        FROM (SELECT *, need * a / greatest(a + b, 1.0) AS mean, sqrt(need * a / greatest(a + b, 1.0) * (1 - a / greatest(a + b, 1.0)) + 1) AS sd
+          FROM (SELECT t.*, c, lo + (hi - lo + 1) // 2 AS mid, coalesce(q[i], 0.0) AS a, rest - coalesce(q[i], 0.0) AS b,
+              (('0x' || substr(md5('17:' || lo || ':' || hi || ':' || (i - 1)), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u
+            FROM t, (VALUES (0), (1)) x(c) WHERE hi - lo > 1 AND (c = 0 OR i > len(q)))))))),
+e AS (SELECT lo AS shard, unnest(q) AS n, generate_subscripts(q, 1) AS nth FROM t WHERE hi - lo = 1),
+f AS (SELECT shard, nth, sum(n) OVER (PARTITION BY nth ORDER BY shard)::BIGINT AS upto, n::BIGINT AS n FROM e),
+h AS (SELECT g.*, shard, floor(target)::BIGINT AS goal, (floor(target)::BIGINT // greatest(own, 1)) * own AS whole,
+  least(floor(target)::BIGINT, (upto - n) * 4096) AS low, least(floor(target)::BIGINT, upto * 4096) AS high FROM f JOIN g USING (nth)),
+m AS (SELECT *, greatest(low, whole) - whole AS here FROM h),
+r AS (SELECT source, shard, low, least(high, whole) AS high FROM m WHERE low < least(high, whole)
+  UNION ALL SELECT source, shard, whole + here + gap, whole + here + gap + high - greatest(low, whole)
+  FROM (SELECT *, least(own - (goal - whole), floor((own - (goal - whole))::DOUBLE * here::DOUBLE / greatest(goal - whole, 1)::DOUBLE)::BIGINT) AS gap FROM m) WHERE high > greatest(low, whole)),
+p AS (SELECT d.*, own, target, sum(size) OVER (PARTITION BY d.source ORDER BY substr(md5('17:' || doc_id), 1, 8), doc_id) - size AS begins FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+z AS (SELECT p.doc_id, r.shard, y.n AS pass, least(r.high, begins + y.n * own + size) - greatest(r.low, begins + y.n * own) AS words
+  FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source JOIN (VALUES (0), (1), (2)) y(n) ON least(r.high, begins + y.n * own + size) > greatest(r.low, begins + y.n * own)),
+k AS (SELECT doc_id, sum(words) AS taken, string_agg(shard || ':' || words::BIGINT, ',' ORDER BY pass, shard) AS shards FROM z GROUP BY doc_id)
+SELECT doc_id, size, own AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(shards, '') AS shards FROM p LEFT JOIN k USING (doc_id)"""
 
 _RULES = ", ".join(f"('{a}', '{h}', '{p}', '{h}{p}')" for a, h, p in RULES)
 OP7 = rf"""
@@ -44,7 +82,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM b WH
 
 OP8 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id IS DISTINCT FROM c.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 5"""
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agoraspark.llm import decontamination, repeats, toxicity, url_filters
+from agoraspark.llm.common import fingerprint
 
 
 def test_op5_table_holds_every_string():
@@ -70,7 +71,7 @@ def test_op2_finds_short_items_whole(spark):
     docs = [(m, f"Before, {t} after") for m, t in items] + [(20 + m, t) for m, t in items]
     docs += [(40 + m, t.rsplit(" ", 1)[0] + " other") for m, t in items if m > 1] + [(60, None), (61, ""), (62, "w1")]
     docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (30, None), (31, " ")], "item_id long, text string")
-    found = decontamination.overlaps(docs, bench, shortest=1).join(docs.withColumn("doc", F.xxhash64("doc_id", "text")), "doc")
+    found = decontamination.overlaps(docs, bench, shortest=1).join(docs.withColumn("doc", fingerprint("doc_id", "text")), "doc")
     assert sorted(tuple(r) for r in found.select("doc_id", "item").collect()) == [(k + m, m) for k in (0, 20) for m in range(1, 12)]
 
 
