@@ -1,20 +1,22 @@
 """Operator 8, exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Vectors are dealt to blocks of BLOCK rows, queries to chunks of CHUNK; every pair of a block and a chunk is one task.
-A block's index has for each component the rows in order of their value, cut into segments of equal quantised value. For
+Vectors are dealt to blocks of BLOCK rows, a block to a task; all queries stream past it in batches. The block's index,
+built once, has for each component the rows in order of their value, cut into segments of equal quantised value. For
 a query, a segment's impact is the largest product any of its rows can add. Segments are processed by descending
 impact; a row's upper bound is what it has so far plus, for each component still open, the impact of that component's
 next segment. The exact scores of the rows that lead so far give a threshold that the k-th best cannot fall below. Only
 when the bounds leave few possible members is the rest of the postings skipped, and those are rescored exactly. The
 blocks' bests are merged by a ranked window of k rows a block.
 
-Edge cases: vectors that are null, or hold null or non-finite components, and rows without an id take no part; shorter
-vectors count as padded with zeros; rows with the same id are rows of their own, and a query's own row is left out
-alone; an empty table gives no rows; extra columns are ignored.
+Edge cases: vectors that are null, or hold null or non-finite components, take no part; a row without an id is a
+candidate, the last of equals, and never a query; shorter vectors count as padded with zeros; rows with the same id are
+rows of their own, and a query's own row is left out alone; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,10 +24,10 @@ from pyspark.sql import functions as F
 
 from agoraspark.llm.common import saved, ship, table
 
-BLOCK, CHUNK = 16_384, 1024
+BLOCK = 16_384
 LEVEL = 32
-#: Parts of the segments after which the bounds are looked at; possible members that are few enough for exact scores.
-LOOKS, FEW = (0.28, 0.34, 0.4, 0.5, 0.6, 0.75), 2048
+#: Parts of the segments after which the bounds are looked at; the part of a block that is few enough for exact scores.
+LOOKS, FEW = (0.28, 0.34, 0.4, 0.5, 0.6, 0.75), 1 / 8
 
 
 class ImpactIndex:
@@ -35,7 +37,7 @@ class ImpactIndex:
         self.vectors, (rows, dims) = vectors, vectors.shape
         self.order = np.argsort(-vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.order, axis=0)
-        self.rank = np.argsort(self.order, axis=0, kind="stable").astype(np.int16)
+        self.rank = np.argsort(self.order, axis=0, kind="stable").astype(np.int32)
         self.postings = [(np.ascontiguousarray(self.order[:, d]), self.values[:, d].astype(np.float64)) for d in range(dims)]
         level = np.floor_divide(self.values, LEVEL)
         dim, low = [], []
@@ -49,10 +51,11 @@ class ImpactIndex:
         self.most = self.values[self.low, self.dim] if dims and rows else np.zeros(0, np.int64)
         self.least = self.values[self.high - 1, self.dim] if dims and rows else np.zeros(0, np.int64)
 
-    def possible(self, query: np.ndarray, k: int, own: int) -> np.ndarray:
-        """The rows that can be among the k best for query; own: a row that cannot, or -1."""
+    def possible(self, query: np.ndarray, k: int, own: int, few: float = FEW) -> np.ndarray:
+        """The rows that can be among the k best for query; own: a row that cannot, or -1; few: the part of rows at
+        which exact scores of all that are left cost less than more segments."""
         rows = len(self.vectors)
-        if rows <= max(FEW, 4 * k):
+        if rows <= 4 * k:
             return np.setdiff1d(np.arange(rows), [own])
         impact = np.where(query[self.dim] > 0, query[self.dim] * self.most, query[self.dim] * self.least)
         order = np.argsort(-impact, kind="stable")
@@ -78,7 +81,7 @@ class ImpactIndex:
             if i in looks:
                 # Bounds only fall and the threshold only rises: a row that is out stays out.
                 rank = self.rank if alive is None else self.rank[alive]
-                still = (rank >= np.where(down, passed, 0).astype(np.int16)) & (rank < np.where(down, rows, rows - passed).astype(np.int16))
+                still = (rank >= np.where(down, passed, 0).astype(np.int32)) & (rank < np.where(down, rows, rows - passed).astype(np.int32))
                 upper = (gained if alive is None else gained[alive]) + still.astype(np.float32) @ bound.astype(np.float32)
                 alive = np.arange(rows) if alive is None else alive
                 if own >= 0:
@@ -86,7 +89,7 @@ class ImpactIndex:
                 lead = alive[np.argpartition(-upper, 4 * k)[: 4 * k]]
                 threshold = np.sort(self.vectors[lead[lead != own]] @ query)[-k]
                 alive = alive[upper >= threshold - 0.5]
-                if len(alive) <= max(FEW, 4 * k):
+                if len(alive) <= max(few * rows, 4 * k):
                     return alive
         return np.setdiff1d(np.arange(rows), [own])
 
@@ -98,48 +101,68 @@ def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def _search(k: int):
-    names = ("query_id", "query_copy", "vec_id", "score")
-
-    def run(block: pa.Table, chunk: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = ([], [], [], [])
-        if block.num_rows and chunk.num_rows:
-            held, asked = (t.column("v").combine_chunks() for t in (block, chunk))
-            dims = max(1, *(int(x.value_lengths().to_numpy().max()) for x in (held, asked)))
-            vectors, queries = _matrix(held, dims), _matrix(asked, dims)
-            ids, copies = block.column("vec_id").to_numpy(), block.column("copy").to_numpy()
-            place = {x: i for i, x in enumerate(zip(ids.tolist(), copies.tolist(), strict=True))}
-            index = ImpactIndex(vectors)
-            for q, name in enumerate(zip(chunk.column("vec_id").to_pylist(), chunk.column("copy").to_pylist(), strict=True)):
-                rows = index.possible(queries[q], k, place.get(name, -1))
-                score = vectors[rows] @ queries[q]
-                best = np.lexsort((copies[rows], ids[rows], -score))[:k]
-                for column, values in zip(out, ([name[0]] * len(best), [name[1]] * len(best), ids[rows][best].tolist(), score[best].tolist()), strict=True):
-                    column.extend(values)
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, out, strict=True)})
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(block, asks, rows): each batch, cut where the block or the kind of row changes."""
+    for b in batches:
+        if b.num_rows:
+            block, asks = b.column("block").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(block) != 0) | (asks[1:] != asks[:-1])) + 1, [len(block)]])
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield int(block[low]), bool(asks[low]), b.slice(low, high - low)
+
+
+def _search(k: int, few: float):
+    """The k best of a block for each query. Batches come sorted: a block's own rows, then the queries that stream past."""
+    kinds = {"query": pa.int64(), "query_id": pa.int64(), "row": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+
+    def best(held: pa.Table, index: ImpactIndex, asked: pa.RecordBatch) -> pa.RecordBatch:
+        names, ids = held.column("row").to_numpy(), held.column("vec_id").to_numpy()
+        known, nameless = np.nan_to_num(ids).astype(np.int64) if ids.dtype.kind == "f" else ids, held.column("vec_id").is_null().to_numpy()
+        place = {x: i for i, x in enumerate(names.tolist())}
+        dims = index.vectors.shape[1]
+        wide = max(dims, int(asked.column("v").value_lengths().to_numpy().max()))
+        queries = _matrix(asked.column("v"), wide)[:, :dims]  # components that no row has add nothing
+        out: dict[str, list] = {c: [] for c in kinds}
+        for q, (name, query_id) in enumerate(zip(asked.column("row").to_pylist(), asked.column("vec_id").to_pylist(), strict=True)):
+            rows = index.possible(queries[q], k, place.get(name, -1), few)
+            score = index.vectors[rows] @ queries[q]
+            top = np.lexsort((names[rows], known[rows], nameless[rows], -score))[:k]
+            found = ([name] * len(top), [query_id] * len(top), names[rows][top].tolist(), [None if nameless[x] else int(known[x]) for x in rows[top]], score[top].tolist())
+            for column, values in zip(out.values(), found, strict=True):
+                column.extend(values)
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, held, index = -1, [], None, None
+        for block, asks, piece in _pieces(batches):
+            if block != at:
+                at, parts, index = block, [], None
+            if not asks:
+                parts.append(piece)
+            elif parts:
+                if index is None:
+                    held = pa.Table.from_batches(parts)
+                    lists = held.column("v").combine_chunks()
+                    index = ImpactIndex(_matrix(lists, max(1, int(lists.value_lengths().to_numpy().max()))))
+                yield best(held, index, piece)
 
     return run
 
 
-def search(vectors: DataFrame, asked: str, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, asked: str, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, few: float = FEW) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all rows for each row for which the SQL condition `asked` holds."""
     ship(vectors.sparkSession)
     fit = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     whole = F.transform(vector, lambda x: F.floor(256 * x.cast("double")).cast("long"))
-    rows = vectors.where(F.col(key).isNotNull()).where(fit).select(F.col(key).cast("long").alias("vec_id"), whole.alias("v"), F.expr(asked).alias("asked"))
-    rows = saved(rows.withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")).cast("long")))
-    n, n_asked = rows.agg(F.count("*"), F.count_if("asked")).first()
-    blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-n_asked // CHUNK))
-    deal = lambda parts, salt: F.pmod(F.xxhash64("vec_id", "copy", F.lit(salt)), F.lit(parts))
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    held = rows.select("vec_id", "copy", "v", deal(blocks, 0).cast("int").alias("block"), every(chunks).alias("chunk"))
-    wanted = rows.where("asked").select("vec_id", "copy", "v", every(blocks).alias("block"), deal(chunks, 1).cast("int").alias("chunk"))
-    found = (
-        held.groupBy("block", "chunk")
-        .cogroup(wanted.groupBy("block", "chunk"))
-        .applyInArrow(_search(k), "query_id long, query_copy long, vec_id long, score long")
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id", "query_copy").orderBy(F.col("score").desc(), "vec_id"))
+    asks = F.expr(asked) & F.col(key).isNotNull()
+    rows = vectors.where(fit).select(F.col(key).cast("long").alias("vec_id"), whole.alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
+    blocks = max(1, -(-rows.count() // block))
+    held = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "row", "vec_id", "v")
+    past = rows.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "asks", "row", "vec_id", "v")
+    dealt = held.union(past).repartitionById(blocks, "block").sortWithinPartitions("block", "asks")
+    found = dealt.mapInArrow(_search(k, few), "query long, query_id long, row long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
