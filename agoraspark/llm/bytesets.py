@@ -50,8 +50,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def text_groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of consecutive rows of a string column, of about GROUP_BYTES; null is empty."""
+def text_groups(column: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of consecutive rows of a string column, of about `size` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("").cast(pa.large_string())
@@ -62,6 +62,6 @@ def text_groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        last = max(row + 1, int(np.searchsorted(ends, ends[row] + GROUP_BYTES, "right")) - 1)
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
         yield row, data[ends[row] : ends[last]], ends[row : last + 1] - ends[row]
         row = last

@@ -9,10 +9,11 @@
    windows share a bucket. Contexts of an anchor that has more than HOT_BYTES of them go to no bucket: their windows are
    counted one by one, by 128 bits of their bytes, with partial sums.
 3. Run-length index. In each bucket the contexts' suffixes are sorted by prefix doubling, the Burrows-Wheeler transform
-   is cut into runs, and the longest common prefixes with the neighbour above (below) are computed at the first (last)
-   suffix of each run alone: at all others they are one less than at the text position before. Streaming over the text
-   fills in the rest and gives each position its longest match elsewhere. Windows whose match is `length` or more, or
-   whose context occurs more than once, repeat.
+   is cut into runs, and what is kept is run-compressed: the runs' symbols and lengths, and for the first (last) suffix
+   of each run its place in the text and its longest common prefix with the neighbour above (below). At any other suffix
+   that prefix is one less than at the text position before. So contexts are streamed against the samples: each position
+   takes its longest match elsewhere from the sample before it. Windows whose match is `length` or more, or whose
+   context occurs more than once, repeat.
 4. Their bytes are marked on the documents by (document, start) and removed.
 
 Edge cases: null and empty texts, and texts shorter than `length`, lose nothing; repeated rows count as occurrences of
@@ -30,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoraspark.llm import bytesets as bs
-from agoraspark.llm.common import saved, ship, small, table
+from agoraspark.llm.common import fingerprint, saved, ship, small, table
 
 LENGTH = 200
 K = 64
 BUCKET_BYTES = 1_500_000
-#: An anchor with more bytes of contexts is not left to one task.
-HOT_BYTES = 1_500_000
+#: An anchor with more bytes of contexts is not left to one task, nor one with more rows to one side of a shuffled join.
+HOT_BYTES, HOT_ROWS = 1_500_000, 10_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -59,32 +60,32 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     return row, cuts - ends[row], stops - cuts, h[at[cuts]].view(np.int64)
 
 
-def _find_anchors(length: int):
+def _find_anchors(length: int, group_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc = b.column("doc").to_numpy(zero_copy_only=False)
-            for begin, data, (ends, _) in _pieces(b.column("text"), length):
+            for begin, data, (ends, _) in _pieces(b.column("text"), length, group_bytes):
                 row, _, _, anchor = anchors(data, ends, length)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[begin + row]), pa.array(anchor)], ["doc", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[begin + row], pa.binary()), pa.array(anchor)], ["doc", "anchor"])
 
     return run
 
 
-def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, int]]]:
+def _pieces(column: pa.Array, length: int, group_bytes: int) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, int]]]:
     """The groups of rows; a row of more bytes than a group comes in parts that overlap by all but one window."""
-    for begin, data, ends in bs.text_groups(column):
-        if len(data) <= 2 * bs.GROUP_BYTES:
+    for begin, data, ends in bs.text_groups(column, group_bytes):
+        if len(data) <= 2 * group_bytes:
             yield begin, data, (ends, 0)
         else:
-            for at in range(0, len(data) - length + 1, bs.GROUP_BYTES):
-                part = data[at : at + bs.GROUP_BYTES + length - 1]
+            for at in range(0, len(data) - length + 1, group_bytes):
+                part = data[at : at + group_bytes + length - 1]
                 yield begin, part, (np.array([0, len(part)]), at)
 
 
-def _cut_contexts(length: int):
+def _cut_contexts(length: int, group_bytes: int):
     """(context, anchor, windows, body, news, doc, start) of each run of windows whose anchor is found again; news: the
     first time, with the body, and the second time that this task meets a context."""
-    types = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.int32())
+    types = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.int32())
     names = ["context", "anchor", "windows", "body", "news", "doc", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def _cut_contexts(length: int):
         for b in batches:
             found, doc = b.column("found"), b.column("doc").to_numpy(zero_copy_only=False)
             wanted, cut = found.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))])
-            for begin, data, (ends, at) in _pieces(b.column("text"), length):
+            for begin, data, (ends, at) in _pieces(b.column("text"), length, group_bytes):
                 row, start, windows, anchor = anchors(data, ends, length)
                 keep = np.isin(anchor, wanted[cut[begin] : cut[begin + len(ends) - 1]])
                 row, start, windows, anchor = row[keep], start[keep], windows[keep], anchor[keep]
@@ -123,64 +124,76 @@ def _ranks(at: np.ndarray, key: np.ndarray, places: np.ndarray, n: int) -> tuple
     return rank, places[~alone]
 
 
-def longest_elsewhere(symbols: np.ndarray, begins: np.ndarray, depth: int) -> np.ndarray:
-    """For each position of symbols (0 to 256), its longest match with any other position, exact up to depth.
+class RunIndex:
+    """The run-compressed index of symbols (0 to 256): runs of the Burrows-Wheeler transform and samples at their ends.
 
-    begins: positions at which texts begin; there too, matches are computed rather than carried over.
+    heads, sizes: the symbol and length of each run. sides: for the neighbour above and below, the sampled text positions
+    in order and the longest common prefix of the suffix there with that neighbour. begins: positions at which texts
+    begin, which are sampled too, as nothing is carried over from the text before.
     """
-    n, width = len(symbols), 7
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(width, np.int64)])
-    key = np.zeros(n, np.int64)
-    for j in range(width):
-        key = (key << 9) | padded[j : j + n]
-    order = np.argsort(key)
-    rank, open_ = _ranks(order, key[order], np.arange(n), n)
-    levels = [(width, rank)]
-    while width < depth and len(open_):
-        # Only suffixes that still share their place are sorted on, by their rank and that of what follows.
-        at = order[open_]
-        then = np.where(at + width < n, rank[np.minimum(at + width, n - 1)] + 1, 0)
-        key = rank[at] * np.int64(n + 1) + then
-        inner = np.argsort(key)
-        order[open_] = at[inner]
-        new, still = _ranks(at[inner], key[inner], open_, n)
-        rank = rank.copy()
-        rank[at[inner]] = new[at[inner]]
-        open_ = still
-        width *= 2
-        levels.append((width, rank))
-
-    def common(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        size = np.zeros(len(i), np.int64)
-        for wide, names in reversed(levels):
-            a, b = i + size, j + size
-            inside = (a < n) & (b < n)
-            same = inside & (names[np.minimum(a, n - 1)] == names[np.minimum(b, n - 1)])
-            size += np.where(same, wide, 0)
-        for _ in range(levels[0][0] - 1):
-            a, b = i + size, j + size
-            size += (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
-        return size
-
-    bwt = symbols[order - 1]
-    runs = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    best = np.zeros(n, np.int64)
-    for ends, step in ((runs, -1), (np.append(runs[1:], n) - 1, 1)):
-        ends = np.union1d(ends, place[begins])
-        beside = ends + step
-        there = (beside >= 0) & (beside < n)
-        at = order[ends]
-        value = np.zeros(len(ends), np.int64)
-        value[there] = common(at[there], order[beside[there]])
-        sample = np.full(n, -1, np.int64)
-        sample[at] = at
-        last = np.maximum.accumulate(sample)
-        got = np.zeros(n, np.int64)
-        got[at] = value
-        best = np.maximum(best, np.where(last >= 0, got[np.maximum(last, 0)] - (np.arange(n) - last), 0))
-    return best
+
+    def __init__(self, symbols: np.ndarray, begins: np.ndarray, depth: int) -> None:
+        """depth: matches of more symbols need not be told apart."""
+        n, width = len(symbols), 7
+        padded = np.concatenate([symbols.astype(np.int64), np.zeros(width, np.int64)])
+        key = np.zeros(n, np.int64)
+        for j in range(width):
+            key = (key << 9) | padded[j : j + n]
+        order = np.argsort(key)
+        rank, open_ = _ranks(order, key[order], np.arange(n), n)
+        levels = [(width, rank)]
+        while width < depth and len(open_):
+            # Only suffixes that still share their place are sorted on, by their rank and that of what follows.
+            at = order[open_]
+            then = np.where(at + width < n, rank[np.minimum(at + width, n - 1)] + 1, 0)
+            key = rank[at] * np.int64(n + 1) + then
+            inner = np.argsort(key)
+            order[open_] = at[inner]
+            new, still = _ranks(at[inner], key[inner], open_, n)
+            rank = rank.copy()
+            rank[at[inner]] = new[at[inner]]
+            open_ = still
+            width *= 2
+            levels.append((width, rank))
+
+        def common(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            size = np.zeros(len(i), np.int64)
+            for wide, names in reversed(levels):
+                a, b = i + size, j + size
+                inside = (a < n) & (b < n)
+                same = inside & (names[np.minimum(a, n - 1)] == names[np.minimum(b, n - 1)])
+                size += np.where(same, wide, 0)
+            for _ in range(levels[0][0] - 1):
+                a, b = i + size, j + size
+                size += (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
+            return size
+
+        bwt = symbols[order - 1]
+        runs = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+        self.heads, self.sizes = bwt[runs], np.diff(np.append(runs, n))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.sides = []
+        for ends, step in ((runs, -1), (np.append(runs[1:], n) - 1, 1)):
+            ends = np.union1d(ends, place[begins])
+            beside = ends + step
+            there = (beside >= 0) & (beside < n)
+            at = order[ends]
+            value = np.zeros(len(ends), np.int64)
+            value[there] = common(at[there], order[beside[there]])
+            by_text = np.argsort(at)
+            self.sides.append((at[by_text], value[by_text]))
+
+    def longest_elsewhere(self, low: int, high: int) -> np.ndarray:
+        """Of the positions low to high, exclusive, each one's longest match with any other position, exact up to depth."""
+        at = np.arange(low, high)
+        best = np.zeros(high - low, np.int64)
+        for places, value in self.sides:
+            # The samples within low to high, and the one before: each holds up to the next.
+            first, after = np.searchsorted(places, low, "right") - 1, np.searchsorted(places, high)
+            held = np.diff(np.append(np.maximum(places[first:after], low), high))
+            best = np.maximum(best, np.repeat(value[first:after] + places[first:after], held) - at)
+        return best
 
 
 def repeated_windows(bodies: list[bytes], windows: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -192,10 +205,10 @@ def repeated_windows(bodies: list[bytes], windows: list[int], length: int = LENG
     symbols = np.zeros(int(sizes.sum()), np.int16)
     for at, body in zip(begins, bodies, strict=True):
         symbols[at : at + len(body)] = np.frombuffer(body, np.uint8).astype(np.int16) + 1
-    best = longest_elsewhere(symbols, begins, int(sizes.max()))
+    index = RunIndex(symbols, begins, int(sizes.max()))
     out = []
-    for at, n in zip(begins, windows, strict=True):
-        edge = np.diff(np.concatenate([[0], (best[at : at + n] >= length).astype(np.int8), [0]]))
+    for at, n in zip(begins.tolist(), windows, strict=True):
+        edge = np.diff(np.concatenate([[0], (index.longest_elsewhere(at, at + n) >= length).astype(np.int8), [0]]))
         out.append(list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)))
     return out
 
@@ -287,16 +300,24 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(out, b.schema.field("spans").type)], ["doc", "spans"])
 
 
-def starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_anchors(found: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows of found (doc, anchor) whose anchor occurs more than once. Anchors of more than hot_rows rows, at most one
+    in hot_rows of all rows, come back by a join of their own, so that none fills a task of the shuffled one."""
+    again = saved(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = small(saved(again.where(F.col("n") > hot_rows).select("anchor")))
+    rest = found.join(hot, "anchor", "left_anti").join(again.where(F.col("n") <= hot_rows).select("anchor"), "anchor")
+    return rest.select("doc", "anchor").union(found.join(hot, "anchor").select("doc", "anchor"))
+
+
+def starts(docs: DataFrame, length: int = LENGTH, group_bytes: int = bs.GROUP_BYTES) -> DataFrame:
     """(doc, spans): for each row of docs (doc, text) with repeats, the spans (low, high) of window starts that repeat."""
     if length <= K:
         raise ValueError(f"length must be over {K}")
     long = docs.where(F.octet_length("text") >= length)
-    found = saved(long.mapInArrow(_find_anchors(length), "doc long, anchor long"))
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    by_doc = found.join(again, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("found"))
+    found = saved(long.mapInArrow(_find_anchors(length, group_bytes), "doc binary, anchor long"))
+    by_doc = repeated_anchors(found).groupBy("doc").agg(F.collect_set("anchor").alias("found"))
     cut = long.join(by_doc, "doc").select("doc", "text", "found")
-    uses = saved(cut.mapInArrow(_cut_contexts(length), "context binary, anchor long, windows int, body binary, news boolean, doc long, start int"))
+    uses = saved(cut.mapInArrow(_cut_contexts(length, group_bytes), "context binary, anchor long, windows int, body binary, news boolean, doc binary, start int"))
     bulk = uses.agg(F.sum(F.length("body"))).first()[0] or 0
     bucket = F.pmod("anchor", F.lit(max(12, int(bulk) // (4 * BUCKET_BYTES))))
     news = uses.where("news").select("context", "anchor", "windows", "body")
@@ -306,10 +327,10 @@ def starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marks = marks.groupBy("bucket").applyInArrow(_index(length), "context binary, low int, high int")
     if crowded:
         marks = marks.union(hot_marks(news.join(small(hot), "anchor", "left_semi"), length))
-    spans = uses.select("context", "doc", "start").join(marks, "context")
+    spans = uses.select("context", "doc", "start").join(saved(marks), "context")
     span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     by_doc = spans.groupBy("doc").agg(F.collect_set(span).alias("spans"))
-    return saved(by_doc.mapInArrow(_joined, "doc long, spans array<struct<low: int, high: int>>"))
+    return saved(by_doc.mapInArrow(_joined, "doc binary, spans array<struct<low: int, high: int>>"))
 
 
 def _remove(length: int):
@@ -337,16 +358,18 @@ def _remove(length: int):
 
 
 def keyed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), "text", F.xxhash64(key, "text").alias("doc"))
+    return docs.select(F.col(key).alias("doc_id"), "text", fingerprint(key, "text").alias("doc"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
+def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", group_bytes: int = bs.GROUP_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs. group_bytes: texts are read in groups of about
+    so many bytes, longer ones in parts."""
     ship(docs.sparkSession)
     rows = keyed(docs, key)
-    spans = starts(rows.select("doc", "text"), length)
+    spans = starts(rows.select("doc", "text"), length, group_bytes)
     both = rows.join(small(spans), "doc", "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return both.mapInArrow(_remove(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
