@@ -1,9 +1,11 @@
 """Operator 3, PII: base patterns, and what a character-level BiLSTM-CRF adds to them.
 
-The tagger is trained in numpy from labelled spans (tagger.py) and sent to the tasks, some 30 kB. It reads overlapping
-windows of WINDOW characters around every digit and every @, without which none of the kinds can be written. Each
-position takes its tag from the window in whose middle it is most, so that spans across windows come out whole; runs of one
-kind are the spans, and those that overlap a base span, or hold too few digits for their kind, go.
+The tagger is trained in numpy from labelled spans (tagger.py) and sent to the tasks, some 100 kB. Personal data has a
+digit, an @, or a spelled-out "at" or "dot"; the stretches of text within REACH characters of one are read in overlapping
+windows. The windows' scores are reconciled over the whole stretch: each position takes the mean of the windows that
+cover it, weighted by how far it is from their edges, and one Viterbi pass decodes the stretch, so that no seam can break
+a span. Runs of one kind are the spans. Those that overlap a base span go, and those that can't be of their kind: a card
+must pass Luhn, an address of four numbers stay under 256, an email have its host, a phone 7 to 15 digits.
 
 Edge cases: null and empty texts have no spans; texts of any length are read whole, in batches of windows; repeated rows
 are read alike; an empty table gives no rows; extra columns are ignored.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoraspark.llm.common import ship, table
-from agoraspark.llm.tagger import KINDS, WINDOW, Span, Tagger, encoded, trained
+from agoraspark.llm.tagger import KINDS, TAGS, WINDOW, Span, Tagger, encoded, luhn, stored
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,16 +32,14 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
-BATCH = 2048
-
-
-def luhn(digits: str) -> bool:
-    total = 0
-    for place, d in enumerate(reversed(digits)):
-        n = int(d) * (1 + place % 2)
-        total += n - 9 * (n > 9)
-    return total % 10 == 0
+TRIGGER = re.compile(r"[0-9@]|[(\[{] ?(?:at|dot) ?[)\]}]|\b(?:dot|DOT)\b")
+NUMBER = re.compile(r"[0-9]+")
+#: An email with its host, spelled in any way: in brackets, or with both words bare.
+EMAIL = re.compile(
+    r"(?i)[a-z0-9._%+-]+(?:(?:\s*@\s*|\s*[(\[{]\s*(?:@|at)\s*[)\]}]\s*)[a-z0-9-]+(?:(?:\.|\s*[(\[{]\s*(?:\.|dot)\s*[)\]}]\s*|\s+dot\s+)[a-z0-9-]+)+"
+    r"|\s+at\s+[a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+)"
+)
+REACH, STEP, BATCH = 40, 32, 2048
 
 
 def base_spans(text: str) -> list[Span]:
@@ -70,10 +71,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """The stretches within half a window of a digit or @, joined up."""
+    """The stretches within REACH characters of what personal data cannot be without, joined up."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        low, high = max(0, m.start() - WINDOW // 2), min(len(text), m.end() + WINDOW // 2)
+        low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if out and low <= out[-1][1]:
             out[-1][1] = high
         else:
@@ -81,42 +82,81 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def windows(low: int, high: int) -> list[int]:
-    """Starts of windows over a region, each half over the last."""
-    return list(range(low, max(low + 1, high - WINDOW // 2), WINDOW // 2))
+def windows(size: int) -> list[int]:
+    """Starts of windows over a stretch of so many characters, each half over the last."""
+    return list(range(0, max(1, size - WINDOW + STEP), STEP))
+
+
+#: How much a position of a window counts: the more, the farther it is from the window's edges.
+WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float64)
+
+
+def reconciled(stretches: list[str], tagger: Tagger) -> list[np.ndarray]:
+    """The tags of each stretch: scores of its windows in their weighted mean, then one decoding of all of it."""
+    jobs = [(n, start) for n, s in enumerate(stretches) for start in windows(len(s))]
+    mean = [np.zeros((len(s), TAGS)) for s in stretches]
+    weight = [np.zeros((len(s), 1)) for s in stretches]
+    for at in range(0, len(jobs), BATCH):
+        part = jobs[at : at + BATCH]
+        x = np.stack([encoded(stretches[n][start : start + WINDOW].ljust(WINDOW)) for n, start in part])
+        for (n, start), e in zip(part, tagger.emissions(x).transpose(1, 0, 2), strict=True):
+            size = min(WINDOW, len(stretches[n]) - start)
+            mean[n][start : start + size] += e[:size] * WEIGHT[:size, None]
+            weight[n][start : start + size] += WEIGHT[:size, None]
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(stretches)
+    order = sorted(range(len(stretches)), key=lambda n: len(stretches[n]))
+    while order:
+        # Of like length, padded with what is surely outside; no more cells than a batch of windows has.
+        longest = len(stretches[order[-1]])
+        group = order[-max(1, BATCH * WINDOW // max(1, longest)) :]
+        del order[-len(group) :]
+        e = np.full((longest, len(group), TAGS), -1e4)
+        e[:, :, 0] = 0
+        for k, n in enumerate(group):
+            e[: len(stretches[n]), k] = mean[n] / weight[n]
+        for n, tags in zip(group, tagger.best_tags(e), strict=True):
+            out[n] = tags[: len(stretches[n])]
+    return out
 
 
 def plausible(kind: str, text: str) -> bool:
-    digits = sum(c in "0123456789" for c in text)
-    return "@" in text and "." in text if kind == "email" else digits >= {"ip": 4, "card": 12, "phone": 7}[kind]
+    numbers = NUMBER.findall(text)
+    digits = "".join(numbers)
+    if kind == "email":
+        return EMAIL.fullmatch(text) is not None
+    if kind == "ip":
+        return len(numbers) == 4 and all(int(x) <= 255 for x in numbers)
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 7 <= len(digits) <= 15
 
 
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     """What the tagger finds in each text."""
-    jobs = [(row, low, high, start) for row, t in enumerate(texts) for low, high in regions(t) for start in windows(low, high)]
+    where = [(row, low, high) for row, t in enumerate(texts) for low, high in regions(t)]
     out: list[list[Span]] = [[] for _ in texts]
-    tags: dict[tuple[int, int, int], np.ndarray] = {}
-    for at in range(0, len(jobs), BATCH):
-        part = jobs[at : at + BATCH]
-        x = np.stack([encoded(texts[row][start : min(high, start + WINDOW)].ljust(WINDOW)) for row, _, high, start in part])
-        for (row, low, high, start), got in zip(part, tagger.decode(x), strict=True):
-            whole = tags.setdefault((row, low, high), np.zeros(high - low, np.int64))
-            begin = start if start == low else start + WINDOW // 4
-            whole[begin - low :] = 0
-            end = min(high, start + WINDOW)
-            whole[begin - low : end - low] = got[begin - start : end - start]
-    for (row, low, _), whole in tags.items():
-        kind = (whole + 1) // 2
-        cut = np.flatnonzero((kind[1:] != kind[:-1]) | ((whole[1:] % 2 == 1) & (whole[1:] > 0))) + 1
-        for a, b in zip(np.append(0, cut), np.append(cut, len(whole)), strict=True):
+    for (row, low, high), tags in zip(where, reconciled([texts[row][low:high] for row, low, high in where], tagger), strict=True):
+        kind = (tags + 1) // 2
+        cut = np.flatnonzero((kind[1:] != kind[:-1]) | (tags[1:] % 2 == 1)) + 1
+        for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(tags)).tolist(), strict=True):
             if kind[a]:
                 name, piece = KINDS[kind[a] - 1], texts[row][low + a : low + b]
-                a, b = int(low + a + len(piece) - len(piece.lstrip())), int(low + b - len(piece) + len(piece.rstrip()))
+                a, b = low + a + len(piece) - len(piece.lstrip()), low + b - len(piece) + len(piece.rstrip())
                 if b > a and plausible(name, texts[row][a:b]):
                     out[row].append((name, a, b))
     return out
 
 
+def apart(new: list[Span], base: list[Span]) -> list[Span]:
+    """Those of new that overlap none of base: one pass over both in order."""
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    begins = [a for a, _ in taken]
+    return [s for s in new if not ((at := bisect_left(begins, s[2])) and taken[at - 1][1] > s[1])]
+
+
 def find_all(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """For each text the base spans and all spans, by start, then kind."""
     place = {k: n for n, k in enumerate(KINDS)}
@@ -124,7 +164,7 @@ def find_all(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Sp
     out = []
     for text, more in zip(texts, model_spans(texts, tagger), strict=True):
         base = base_spans(text)
-        new = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
+        new = apart(more, base)
         out.append((sorted(base, key=order), sorted(base + new, key=order)))
     return out
 
@@ -136,7 +176,7 @@ def written(spans: list[Span]) -> str:
 def detect(docs: DataFrame, key: str = "doc_id", tagger: Tagger | None = None) -> DataFrame:
     """key, counts by kind of the base spans, their digest, and all spans, of every row of docs."""
     ship(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(tagger or trained())
+    model = docs.sparkSession.sparkContext.broadcast(tagger or stored(docs.sparkSession))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
