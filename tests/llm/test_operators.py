@@ -10,9 +10,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from agoraspark.llm import bytesets, decontamination, line_dedup, mixing, neardup, pii, repeats, sharding, tagger, topk, toxicity, url_filters
+from agoraspark.llm import decontamination, line_dedup, mixing, neardup, pii, repeats, sharding, tagger, topk, toxicity, url_filters
 from agoraspark.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc string, shard int, rank int, row string"
@@ -252,29 +253,36 @@ def test_op7_rules_and_aliases(spark):
     assert set(blocked.values()) == {"block"} and url_filters.judge(pages.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("few", [4, 2048])
-def test_op8_is_exact(spark, monkeypatch, few):
-    monkeypatch.setattr(topk, "FEW", few)
+@pytest.mark.parametrize("few, block", [(0.0, 100), (1.0, 16_384), (0.1, 300)])
+def test_op8_is_exact(spark, few, block):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 12)).round(2))]
-    rows += [(400, None), (401, [1.0, None]), (402, [float("nan")]), (403, [float("inf")]), (None, [1.0]), (404, [1.0, 2.0]), (450, []), (0, rows[0][1]), (0, rows[0][1])]
-    got = sorted(map(tuple, topk.search(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int"), "vec_id % 50 = 0", 5).collect()))
-    fit = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    rows += [(400, None), (401, [1.0, None]), (402, [float("nan")]), (403, [float("inf")]), (None, [3.0] * 12), (404, [1.0, 2.0]), (450, []), (0, rows[0][1]), (0, rows[0][1])]
+    got = sorted(map(str, topk.search(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int"), "vec_id % 50 = 0", 5, block=block, few=few).select("query_id", "rank", "vec_id", "score").collect()))
+    fit = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     wide = np.zeros((len(fit), 12), int)
     for n, (_, v) in enumerate(fit):
         wide[n, : len(v)] = v
     want = []
     for n, (q, _) in enumerate(fit):
-        if q % 50 == 0:
-            order = sorted((-int(wide[n] @ wide[m]), fit[m][0]) for m in range(len(fit)) if m != n)[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
-    assert got == sorted(want)
-    index = topk.ImpactIndex(np.floor(64 * rng.normal(size=(3000, 16))).astype(np.int64))
+        if q is not None and q % 50 == 0:
+            order = sorted((-int(wide[n] @ wide[m]), fit[m][0] is None, fit[m][0] or 0) for m in range(len(fit)) if m != n)[:5]
+            want += [str(Row(query_id=q, rank=k + 1, vec_id=None if none else i, score=-s)) for k, (s, none, i) in enumerate(order)]
+    assert got == sorted(want) and any("vec_id=None" in x for x in want)
+
+
+@pytest.mark.parametrize("size", [300, 3000])
+def test_op8_index_proves_most_rows_out(size):
+    rng = np.random.default_rng(8)
+    index = topk.ImpactIndex(np.floor(64 * rng.normal(size=(size, 16))).astype(np.int64))
+    left = 0
     for q in range(20):
-        kept = set(index.possible(index.vectors[q], 5, q).tolist())
+        kept = set(index.possible(index.vectors[q], 5, q, 0.05).tolist())
         score = index.vectors @ index.vectors[q]
         score[q] = -(10**9)
         assert set(np.argsort(-score, kind="stable")[:5].tolist()) <= kept
+        left += len(kept)
+    assert left < 20 * size / 3
 
 
 def shingles(text):
@@ -347,9 +355,8 @@ def repeats_by_force(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("length", [200])
-def test_op10_against_force(spark, monkeypatch, length):
-    monkeypatch.setattr(bytesets, "GROUP_BYTES", 4000)
+@pytest.mark.parametrize("length, group_bytes", [(200, 4000), (200, 1 << 19)])
+def test_op10_against_force(spark, length, group_bytes):
     rnd = random.Random(length)
     base = ["".join(rnd.choice("abé ") for _ in range(900)) for _ in range(5)]
     rows = []
@@ -358,7 +365,7 @@ def test_op10_against_force(spark, monkeypatch, length):
         text = "".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(0, 400))) + rnd.choice(base)[a : a + rnd.randrange(50, 300)]
         rows.append((i, text if i % 3 else text.replace("a", "Q", 2)))
     rows += [(100, base[0]), (101, base[0]), (101, base[0]), (102, None), (103, ""), (104, "ab" * 400), (105, "x" * 199), (106, "x" * 199), (107, "y" * 200), (108, "z" * 201), (None, base[1]), (109, "".join(rnd.choice("pqr") for _ in range(30_000)) + base[2])]
-    got = sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in repeats.dedup(documents(spark, rows), length).collect())
+    got = sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in repeats.dedup(documents(spark, rows), length, group_bytes=group_bytes).collect())
     assert got == repeats_by_force(rows, length)
     assert repeats.dedup(documents(spark, [])).count() == 0
 
