@@ -45,15 +45,15 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the folders that new_folder has named, all or those after the first `since`: for use once the results that
-    are read from them have been written or collected."""
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes the folders that new_folder has named, all or those from number `since` to `until`: for use once the results
+    that are read from them have been written or collected."""
     made = _folders.get(spark.sparkContext.applicationId, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in made[since:]:
+    for name in made[since:until]:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    del made[since:]
+    del made[since:until]
 
 
 def folders(spark: SparkSession) -> int:
