@@ -12,6 +12,7 @@ from agoraspark.llm.mixing import mixed
 from agoraspark.llm.neardup import deduplicated
 from agoraspark.llm.sharding import sharded
 from agoraspark.llm.toxicity import without_toxic
+from agoraspark.session import folders, release
 
 #: Percent of shared shingles from which documents are near duplicates here.
 NEAR = 80
@@ -55,7 +56,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has left in the shared folder goes as soon as its result is written."""
+    docs, begun = table(spark, sf_dir, "documents"), folders(spark)
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        release(spark, begun, folders(spark) - 1)
     return STAGES[-1][1](spark, docs, sf_dir)
