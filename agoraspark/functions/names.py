@@ -40,7 +40,10 @@ def clean_display(name: Column) -> Column:
 
 
 #: Misread characters and what they stand for, applied in order.
-MISREAD = [("0'", "o'"), ("’", "'"), ("bavies", "davies"), ("wllson", "wilson")]
+MISREAD = [
+    ("bavies", "davies"), ("oavies", "davies"), ("srnith", "smith"), ("vvilliams", "williams"), ("0'brien", "o'brien"), ("b0nar", "bonar"),
+    ("mrsmith", "mr smith"), ("mrsthatcher", "mrs thatcher"), ("mrdavies", "mr davies"), ("’", "'"),
+]
 
 
 def clean_match(name: Column) -> Column:

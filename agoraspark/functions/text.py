@@ -8,12 +8,38 @@ from pyspark.sql import functions as F
 from agoraspark.registry import query
 from agoraspark.views import table
 
-#: The smallest level of stop words, then what each further level adds.
+#: English function words, the public list of 127 and the modal verbs that it lacks.
+BASIC = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has
+had having do does did doing a an the and but if or because as until while of at by for with about against between into
+through during before after above below to from up down in out on off over under again further then once here there when
+where why how all any both each few more most other some such no nor not only own same so than too very s t can will just
+don should now could might shall must ought would may"""
+#: What the levels of filtering add.
+PARLIAMENTARY = """hon honourable right gentleman lady member members house speaker sir madam mr mrs ms lord lords gallant learned
+friend friends noble bill clause amendment committee order question division reading report stage moved second third
+government minister secretary state department debate discuss speech words statement"""
+VERBS = """make made making makes take took taken taking give gave given giving put puts putting get got getting gets come came
+coming comes go went going goes gone say said saying says think thought thinking thinks know knew known knowing see saw seeing
+sees seen want wanted wanting wants look looked looking looks find found finding finds tell told telling tells ask asked
+asking asks seem seemed seeming seems feel felt feeling feels try tried trying tries leave left leaving leaves call called
+calling calls keep kept keeping keeps believe believed hope hoped wish wished need needed use used using uses work worked
+working works"""
+VAGUE = """thing things something anything nothing everything way ways case cases matter matters fact facts time times place
+places part parts kind kinds point points view views position number numbers example examples word words subject course
+present regard deal side end result means moment today yesterday tomorrow now then year years day days week weeks month
+months last next first second"""
+DISCOURSE = """well yes no indeed perhaps certainly obviously clearly surely really quite sure also however therefore whether still
+always never yet already rather even far"""
+ARTIFACTS = "deb vol hc hl rt hon c cc col cols w ws parl sess ser hansard official per cent proc"
+QUANTIFIERS = "much many more most less least few fewer several hundred thousand million one"
+ADJECTIVES = """new old good bad great small large important different same certain possible necessary clear particular general
+special full long short high low"""
 STOPWORDS = {
-    "basic": "a an and are as at be by for from has he in is it its of on or that the this to was were will with".split(),
-    "parliamentary": "bill clause committee government gentleman honourable house lord member minister question right speaker".split(),
-    "moderate": "also been but can could had have if may no not shall should so there they we which would".split(),
-    "aggressive": "any made make many more most much must new now only other our out said some such than them then these under upon very what when who".split(),
+    "basic": BASIC.split(),
+    "parliamentary": PARLIAMENTARY.split(),
+    "moderate": VERBS.split() + VAGUE.split(),
+    "aggressive": DISCOURSE.split() + ARTIFACTS.split() + QUANTIFIERS.split() + ADJECTIVES.split(),
 }
 LEVELS = ["basic", "parliamentary", "moderate", "aggressive"]
 
@@ -21,10 +47,14 @@ LEVELS = ["basic", "parliamentary", "moderate", "aggressive"]
 def stopwords(level: str = "moderate") -> list[str]:
     """The words of a level, each level holding those before; `minimal` is `basic`, an unknown level `moderate`."""
     level = {"minimal": "basic"}.get(level, level if level in LEVELS else "moderate")
-    return [w for x in LEVELS[: LEVELS.index(level) + 1] for w in STOPWORDS[x]]
+    return list(dict.fromkeys(w for x in LEVELS[: LEVELS.index(level) + 1] for w in STOPWORDS[x]))
 
 
-def tokens(text: Column, stop: list[str] | None = None, pattern: str = "[a-z]+", least: int = 2) -> Column:
+#: Words of plain letters alone: a word with an accent or a digit in it has no part that is one.
+PLAIN = r"(?<![\p{L}\p{N}_])[a-z]+(?![\p{L}\p{N}_])"
+
+
+def tokens(text: Column, stop: list[str] | None = None, pattern: str = PLAIN, least: int = 2) -> Column:
     """Lower-case words of at least `least` letters that are no stop words; an empty array of null."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), 0)
     keep = lambda w: (F.length(w) >= least) & ~w.isin(stop) if stop else F.length(w) >= least
@@ -32,12 +62,13 @@ def tokens(text: Column, stop: list[str] | None = None, pattern: str = "[a-z]+",
 
 
 def preprocessed(text: Column, stop: list[str]) -> Column:
-    """Clean running text: white space squeezed, marks of emphasis, quotes and [notes] out, no punctuation, lower case."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, r"\[[^\]]*\]", " ")
+    """Clean running text: marks of emphasis, quotes, [notes] and punctuation go, and what they stood between closes up;
+    lower case, white space squeezed, no words of one letter and no stop words."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s]+", " ")
     t = F.regexp_replace(t, r"[_*`'\"]", "")
-    t = F.lower(F.regexp_replace(t, r"[^A-Za-z0-9_ \t\n\r\f]", " "))
-    return F.array_join(F.filter(F.split(t, r"[ \t\n\r\f]+"), lambda w: (F.length(w) >= 2) & ~w.isin(stop)), " ")
+    t = F.regexp_replace(t, r"\[[^\]]*\]", "")
+    t = F.lower(F.regexp_replace(t, r"[^\p{L}\p{N} ]", ""))
+    return F.array_join(F.filter(F.split(t, " +"), lambda w: (F.length(w) >= 2) & ~w.isin(stop)), " ")
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -52,17 +83,26 @@ def counted(docs: DataFrame, words: Column, *by: str) -> DataFrame:
     return docs.select(*by, F.explode(words).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("n"))
 
 
-TOKENS = """WITH t AS (SELECT doc_id, lang, source, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: length(w) >= 2)) AS w FROM documents)
+def sql_tokens(text: str, least: int = 2) -> str:
+    """The tokens of a text, in SQL."""
+    return rf"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{{least},}}'))"
+
+
+def sql_list(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+TOKENS = f"""WITH t AS (SELECT doc_id, lang, source, unnest({sql_tokens('text')}) AS w FROM documents)
 """
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\[[^\]]*\]', ' ', 'g'), '[_*`''"]', '', 'g'),
-'[^A-Za-z0-9_ \t\n\r\f]', ' ', 'g')), '[ \t\n\r\f]+'), lambda w: length(w) >= 2 AND w NOT IN ('the', 'of', 'and', 'to')), ' ') AS clean FROM documents""")
+@query(rf"""SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\s]+', ' ', 'g'), '[_*`''"]', '', 'g'),
+'\[[^\]]*\]', '', 'g'), '[^\p{{L}}\p{{N}} ]', '', 'g')), ' +'), lambda w: length(w) >= 2 AND w NOT IN ({sql_list(stopwords("moderate"))})), ' ') AS clean FROM documents""")
 def txt_preprocess(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", preprocessed(F.col("text"), ["the", "of", "and", "to"]).alias("clean"))
+    return table(spark, sf, "documents").select("doc_id", preprocessed(F.col("text"), stopwords("moderate")).alias("clean"))
 
 
-@query(TOKENS + "SELECT w AS term, CAST(count(*) AS BIGINT) AS n FROM t WHERE w IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'he', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'will', 'with') GROUP BY w")
+@query(TOKENS + f"SELECT w AS term, CAST(count(*) AS BIGINT) AS n FROM t WHERE w IN ({sql_list(stopwords('basic'))}) GROUP BY w")
 def txt_stopwords(spark: SparkSession, sf: str) -> DataFrame:
     return counted(table(spark, sf, "documents"), F.filter(tokens(F.col("text")), lambda w: w.isin(stopwords("basic"))))
 
@@ -74,12 +114,12 @@ def txt_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     return d.where("n > 0")
 
 
-@query("""WITH l AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 2)[1:1000] AS ws FROM documents WHERE lang = 'en'),
+@query(f"""WITH l AS (SELECT {sql_tokens('text')} AS ws FROM documents WHERE lang = 'en'),
 g AS (SELECT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term FROM l)
 SELECT term, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY term ORDER BY n DESC, term LIMIT 50""")
 def txt_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    """The most frequent bigrams of the first thousand words of each text."""
-    d = table(spark, sf, "documents").where("lang = 'en'").select(F.slice(tokens(F.col("text")), 1, 1000).alias("ws"))
+    """The most frequent bigrams."""
+    d = table(spark, sf, "documents").where("lang = 'en'").select(tokens(F.col("text")).alias("ws"))
     return counted(d, ngrams(F.col("ws"), 2)).orderBy(F.col("n").desc(), "term").limit(50)
 
 
@@ -92,9 +132,14 @@ def txt_bigrams_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 def tfidf(docs: DataFrame, words: Column, terms: int) -> DataFrame:
     """(term, mean): the mean over all documents of term weights: count times ln((1 + n) / (1 + df)) + 1, each document's
-    weights scaled to length 1, over the `terms` most frequent terms, ties by term."""
-    tf = docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    known = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.col("total").desc(), "term").limit(terms)
+    weights scaled to length 1, over the `terms` most frequent terms, ties by term.
+
+    Only totals by term are counted of all words; of the terms chosen, words are kept before anything is shuffled."""
+    top = counted(docs, words).orderBy(F.col("n").desc(), "term").limit(terms).select("term").collect()
+    names = [r["term"] for r in top]
+    kept = docs.select("doc_id", F.explode(F.filter(words, lambda w: w.isin(names)) if names else F.array().cast("array<string>")).alias("term"))
+    tf = kept.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    known = F.broadcast(tf.groupBy("term").agg(F.count("*").alias("df")))  # at most `terms` rows
     n = docs.agg(F.count("*").alias("docs"))
     weight = F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)
     w = tf.join(known, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", "docs", weight.alias("w"))
@@ -122,7 +167,7 @@ def log_odds(counts: DataFrame, group: str, one: str, two: str, smooth: float =
     return both.select("term", "n1", "n2", F.log(rate("n1", "t1") / rate("n2", "t2")).alias("log_odds"))
 
 
-ODDS = TOKENS + """, c AS (SELECT w AS term, count(*) FILTER ({a}) AS n1, count(*) FILTER ({b}) AS n2 FROM t WHERE {a} OR {b} GROUP BY w),
+ODDS = TOKENS.replace("{", "{{").replace("}", "}}") + """, c AS (SELECT w AS term, count(*) FILTER ({a}) AS n1, count(*) FILTER ({b}) AS n2 FROM t WHERE {a} OR {b} GROUP BY w),
 k AS (SELECT * FROM c WHERE n1 + n2 >= {least}), z AS (SELECT sum(n1) AS t1, sum(n2) AS t2 FROM c), v AS (SELECT count(*) AS v FROM k)
 SELECT term, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(ln(((n1 + {s}) / (t1 + {s} * v)) / ((n2 + {s}) / (t2 + {s} * v))), 6) AS log_odds FROM k, z, v"""
 
@@ -146,10 +191,10 @@ def txt_logodds_two_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return log_odds(counts, "lang", "de", "es", 1.0).withColumn("log_odds", F.round("log_odds", 6))
 
 
-@query(r"""WITH t AS (SELECT 1803 + doc_id % 3 AS p, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM documents WHERE lang = 'en'), c AS (SELECT p, w, count(*) AS n FROM t GROUP BY 1, 2),
+@query(r"""WITH t AS (SELECT 1803 + doc_id % 3 AS p, unnest(@TOKENS@) AS w FROM documents WHERE lang = 'en'), c AS (SELECT p, w, count(*) AS n FROM t GROUP BY 1, 2),
 z AS (SELECT p, sum(n) AS t FROM c GROUP BY p)
 SELECT CAST(x.p AS BIGINT) AS p1, CAST(y.p AS BIGINT) AS p2, x.w AS term, round(ln((x.n / zx.t) / (y.n / zy.t)), 6) AS log_odds FROM c x JOIN c y ON x.w = y.w AND x.p < y.p
-JOIN z zx ON zx.p = x.p JOIN z zy ON zy.p = y.p WHERE x.n + y.n >= 20""")
+JOIN z zx ON zx.p = x.p JOIN z zy ON zy.p = y.p WHERE x.n + y.n >= 20""".replace("@TOKENS@", sql_tokens("text")))
 def txt_temporal_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of periods, joined by term, so no period meets a term that it lacks."""
     d = table(spark, sf, "documents").where("lang = 'en'").withColumn("p", (F.lit(1803) + F.col("doc_id") % 3).cast("long"))
@@ -184,10 +229,11 @@ def txt_lda(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def inverted_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings (key, term, tf) and lengths (key, dl), as a search would store them."""
+def inverted_index(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (key, term, tf) and lengths (key, dl), as a search would store them; terms: of these alone."""
     words = docs.select(key, F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0).alias("ws"))
-    postings = words.select(key, F.explode("ws").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    kept = F.filter("ws", lambda w: w.isin(terms)) if terms else F.col("ws")
+    postings = words.select(key, F.explode(kept).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     return postings, words.select(key, F.size("ws").alias("dl"))
 
 
@@ -208,7 +254,8 @@ p AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS w FROM
 SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / a))), 6) AS score
 FROM p JOIN f USING (w) JOIN l USING (doc_id), z GROUP BY doc_id HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 20""")
 def txt_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    scored = bm25(*inverted_index(table(spark, sf, "documents")), ["idiot", "the"])
+    terms = ["idiot", "the"]
+    scored = bm25(*inverted_index(table(spark, sf, "documents"), terms=terms), terms)
     return scored.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "doc_id").limit(20)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agoraspark.registry import query
@@ -161,12 +161,16 @@ def agg_debate_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SPEECHES + """, f AS (SELECT debate_id, speaker, min(sequence_number) AS begins FROM s GROUP BY 1, 2)
 SELECT s.debate_id, CAST(count(*) AS BIGINT) AS n, bool_or(gender = 'F') AS has_female,
-(SELECT string_agg(speaker, ',' ORDER BY begins) FROM f WHERE f.debate_id = s.debate_id) AS speakers FROM s GROUP BY s.debate_id""")
+(SELECT string_agg(speaker, ',' ORDER BY begins) FROM (SELECT * FROM f WHERE f.debate_id = s.debate_id ORDER BY begins LIMIT 10)) AS speakers FROM s GROUP BY s.debate_id""")
 def agg_debate_from_speeches(spark: SparkSession, sf: str) -> DataFrame:
-    order = F.array_sort(F.collect_list(F.struct("sequence_number", "speaker")))
-    names = F.slice(F.array_distinct(F.transform(order, lambda x: x["speaker"])), 1, 10)
-    return speeches(spark, sf).groupBy("debate_id").agg(
-        F.count("*").alias("n"), F.bool_or(F.col("gender") == "F").alias("has_female"), F.array_join(names, ",").alias("speakers")
+    """The first ten speakers, by when they begin: one row a speaker, so that a long debate is no long array."""
+    first = Window.partitionBy("debate_id").orderBy("begins")
+    by_speaker = speeches(spark, sf).groupBy("debate_id", "speaker").agg(
+        F.min("sequence_number").alias("begins"), F.count("*").alias("n"), F.bool_or(F.col("gender") == "F").alias("has_female")
+    ).withColumn("k", F.row_number().over(first))
+    names = F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.struct("begins", "speaker"))))
+    return by_speaker.groupBy("debate_id").agg(
+        F.sum("n").alias("n"), F.bool_or("has_female").alias("has_female"), F.array_join(F.transform(names, lambda x: x["speaker"]), ",").alias("speakers")
     )
 
 
@@ -277,7 +281,6 @@ def agg_ratio_of_sums(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SPEECHES + "SELECT year, speaker, round(sum(word_count) / sum(sum(word_count)) OVER (PARTITION BY year), 6) AS part FROM s GROUP BY year, speaker")
 def agg_share_of_total(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
 
     by = speeches(spark, sf).groupBy("year", "speaker").agg(F.sum("word_count").alias("words"))
     return by.select("year", "speaker", F.round(F.col("words") / F.sum("words").over(Window.partitionBy("year")), 6).alias("part"))
@@ -317,16 +320,19 @@ def agg_dup_hash(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(SPEECHES + """, y AS (SELECT DISTINCT year FROM s WHERE year % 7 <> 0), g AS (SELECT year, lead(year) OVER (ORDER BY year) AS next_year FROM y)
-SELECT year + 1 AS gap_start, next_year - 1 AS gap_end, next_year - year - 1 AS gap FROM g WHERE next_year - year > 1""")
-def agg_year_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    y = speeches(spark, sf).where("year % 7 <> 0").select("year").distinct()
+def year_gaps(rows: DataFrame, year: str = "year") -> DataFrame:
+    """The stretches of years that rows have none of, between the first and the last; distinct years are few."""
+    y = rows.select(F.col(year).alias("year")).where("year is not null").distinct()
     g = y.withColumn("next_year", F.lead("year").over(Window.orderBy("year"))).where("next_year - year > 1")
     return g.selectExpr("year + 1 as gap_start", "next_year - 1 as gap_end", "next_year - year - 1 as gap")
 
 
+@query("""WITH y AS (SELECT DISTINCT 1000 + doc_id * 37 % 1000 AS year FROM labels), g AS (SELECT year, lead(year) OVER (ORDER BY year) AS next_year FROM y)
+SELECT year + 1 AS gap_start, next_year - 1 AS gap_end, next_year - year - 1 AS gap FROM g WHERE next_year - year > 1""")
+def agg_year_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return year_gaps(table(spark, sf, "labels").select((F.lit(1000) + F.col("doc_id") * 37 % 1000).alias("year")))
+
+
 @query(SPEECHES + """, y AS (SELECT year, 100.0 * count(*) FILTER (gender = 'F') / nullif(count(gender), 0) AS pct FROM s GROUP BY year)
 SELECT min(year) FILTER (pct > 0) AS any_female, min(year) FILTER (pct >= 50) AS half, min(year) FILTER (pct >= 55) AS most FROM y""")
 def agg_first_threshold_year(spark: SparkSession, sf: str) -> DataFrame:

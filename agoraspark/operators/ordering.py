@@ -25,6 +25,17 @@ def stratified(df: DataFrame, by: list[str], quota: Column, key: str, seed: int
     return df.withColumn("_k", k).where(F.col("_k") <= quota).drop("_k")
 
 
+def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """df with place, from 1: a reproducible shuffle. The draw's first three digits cut it in 4096 runs; rows are numbered
+    within a run, and the runs' counts, one row each, give its start: no task takes the whole table."""
+    at = df.withColumn("_draw", draw(seed, key)).withColumn("_run", F.substring("_draw", 1, 3))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = at.groupBy("_run").agg(F.count("*").alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_run").orderBy("_draw", key))
+    placed = at.withColumn("_k", within).join(F.broadcast(runs), "_run")  # 4096 rows at most
+    return placed.withColumn("place", (F.col("_start") + F.col("_k")).cast("long")).drop("_draw", "_run", "_k", "_start")
+
+
 def page(df: DataFrame, number: int, size: int, *order: object) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)
 
@@ -132,4 +143,4 @@ def sample_forced_inclusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n_nationkey, CAST(row_number() OVER (ORDER BY md5('42|' || n_nationkey)) AS BIGINT) AS place FROM nation")
 def shuffle_seeded(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").select("n_nationkey", F.row_number().over(Window.orderBy(draw(42, "n_nationkey"))).cast("long").alias("place"))
+    return shuffled(table(spark, sf, "nation").select("n_nationkey"), "n_nationkey")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agoraspark.operators.joins import token_overlap
+from agoraspark.operators.joins import overlap_years, token_overlap
 from agoraspark.registry import query
 from agoraspark.views import SPEECHES, speeches, table
 
@@ -34,7 +34,10 @@ def cascade(mentions: DataFrame, register: DataFrame) -> DataFrame:
     full = m.join(r, ["name", "place"])
     exact = unique_only(full.where("age = r_age"), "mention_id").select("mention_id", "person_id", F.lit(1).alias("priority"), F.lit("exact").alias("match_type"), F.lit(0.95).alias("confidence"))
     place = unique_only(full, "mention_id").select("mention_id", "person_id", F.lit(2).alias("priority"), F.lit("place").alias("match_type"), F.lit(0.9).alias("confidence"))
-    near = m.join(r.drop("name", "place"), "surname").where("abs(age - r_age) <= 2").groupBy("mention_id").agg(F.min("person_id").alias("person_id"), F.countDistinct("person_id").alias("n"))
+    # People are counted by surname and age first, and a mention looks at the five ages near its own.
+    aged = r.groupBy("surname", F.col("r_age").alias("at")).agg(F.min("person_id").alias("person_id"), F.countDistinct("person_id").alias("n"))
+    near = m.select("mention_id", "surname", F.explode(F.sequence(F.col("age") - 2, F.col("age") + 2)).alias("at")).join(aged, ["surname", "at"])
+    near = near.groupBy("mention_id").agg(F.min("person_id").alias("person_id"), F.sum("n").alias("n"))
     kind = F.when(F.col("n") == 1, "surname").otherwise("ambiguous")
     sure = F.when(F.col("n") == 1, 0.85).otherwise(F.round(F.lit(0.4) / F.col("n"), 6))
     near = near.select("mention_id", "person_id", F.when(F.col("n") == 1, 3).otherwise(4).alias("priority"), kind.alias("match_type"), sure.alias("confidence"))
@@ -147,11 +150,15 @@ def merge_pass_lords_alias(spark: SparkSession, sf: str) -> DataFrame:
 @query(PEOPLE + """, y AS (SELECT mention_id, r.person_id, (m.place = r.place)::INT AS s, -abs(m.age - r.age) AS w FROM m JOIN r USING (surname))
 SELECT mention_id, person_id FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY s DESC, w DESC, person_id) AS k FROM y) WHERE k = 1""")
 def merge_resolve_constituency(spark: SparkSession, sf: str) -> DataFrame:
-    """Ambiguous ones by place, then by time."""
+    """Ambiguous ones by place, then by time. Of people alike in surname, place and age only the first can be best, and
+    mentions alike in these have the same best, so kinds are paired, not people."""
     r, m = register_and_mentions(spark, sf)
-    pairs = m.select("mention_id", "surname", F.col("place").alias("m_place"), F.col("age").alias("m_age")).join(r.select("person_id", "surname", "place", "age"), "surname")
+    alike = ["surname", "place", "age"]
+    kinds = m.select(*alike).distinct().withColumnsRenamed({"place": "m_place", "age": "m_age"})
+    pairs = kinds.join(r.groupBy(*alike).agg(F.min("person_id").alias("person_id")), "surname")
     best = F.max(F.struct((F.col("m_place") == F.col("place")).alias("s"), (-F.abs(F.col("m_age") - F.col("age"))).alias("w"), (-F.col("person_id")).alias("p")))
-    return pairs.groupBy("mention_id").agg(best.alias("x")).select("mention_id", (-F.col("x.p")).alias("person_id"))
+    found = pairs.groupBy("surname", F.col("m_place").alias("place"), F.col("m_age").alias("age")).agg(best.alias("x"))
+    return m.join(found, alike).select("mention_id", (-F.col("x.p")).alias("person_id"))
 
 
 @query(CASCADE + "SELECT mention_id, coalesce(CASE WHEN mention_id % 8 = 0 THEN 'own' END, b.match_type, 'ambiguous') AS label FROM m LEFT JOIN b USING (mention_id)")
@@ -172,53 +179,59 @@ def merge_pass_const_unique(spark: SparkSession, sf: str) -> DataFrame:
 @query(PEOPLE + """, y AS (SELECT mention_id, r.person_id, greatest(0, least(m.age + 5, r.age + 5) - greatest(m.age, r.age) + 1) AS years FROM m JOIN r USING (place))
 SELECT mention_id, min(person_id) AS person_id, CAST(min(years) AS BIGINT) AS years FROM y WHERE years >= 5 GROUP BY 1 HAVING count(DISTINCT person_id) = 1""")
 def merge_pass_const_time(spark: SparkSession, sf: str) -> DataFrame:
-    """Equal places and overlapping terms of six years."""
+    """Equal places and terms of six years that share five: ages at most one apart, so place and age are the join's key."""
     r, m = register_and_mentions(spark, sf)
-    pairs = m.select("mention_id", "place", F.col("age").alias("m_age")).join(r.select("person_id", "place", "age"), "place")
-    years = F.greatest(F.lit(0), F.least(F.col("m_age") + 5, F.col("age") + 5) - F.greatest("m_age", "age") + 1)
-    found = pairs.withColumn("years", years).where("years >= 5").groupBy("mention_id")
-    return found.agg(F.min("person_id").alias("person_id"), F.min("years").cast("long").alias("years"), F.countDistinct("person_id").alias("n")).where("n = 1").drop("n")
-
-
-FUZZY = PEOPLE + """, a AS (SELECT mention_id AS a, list_distinct(string_split({left}, ' ')) AS t FROM m WHERE mention_id < 400), c AS (SELECT person_id AS b, list_distinct(string_split({right}, ' ')) AS t FROM r WHERE person_id < 400),
-y AS (SELECT a, b, len(list_intersect(a.t, c.t)) / least(len(a.t), len(c.t)) AS ratio FROM a, c) SELECT a, CAST(count(*) AS BIGINT) AS n, round(max(ratio), 6) AS best FROM y WHERE ratio >= {least} GROUP BY a"""
-
-
-def _fuzzy(spark: SparkSession, sf: str, words: Column, least: float) -> DataFrame:
+    held = r.groupBy("place", F.col("age").alias("at")).agg(F.min("person_id").alias("person_id"), F.countDistinct("person_id").alias("n"))
+    pairs = m.select("mention_id", "place", "age", F.explode(F.sequence(F.col("age") - 1, F.col("age") + 1)).alias("at")).join(held, ["place", "at"])
+    years = (6 - F.abs(F.col("age") - F.col("at"))).cast("long")
+    found = pairs.groupBy("mention_id").agg(F.min("person_id").alias("person_id"), F.min(years).alias("years"), F.sum("n").alias("n"))
+    return found.where("n = 1").drop("n")
+
+
+#: Ranks that two names may share besides their core.
+RANKS = ("small", "large")
+
+
+def fuzzy_pass(mentions: DataFrame, register: DataFrame, least: float, bonus: float = 0.0) -> DataFrame:
+    """(mention_id, person_id, score, years): mentions whose tokens overlap in `least` with one person alone, among those
+    whose terms share years. Both sides have tokens, rank, begins and ends; a shared rank adds `bonus` to the score."""
+    side = lambda d, key, c: d.select(F.col(key).alias(c), "tokens")
+    pairs = token_overlap(side(mentions, "mention_id", "a"), side(register, "person_id", "b"), least)
+    a = mentions.select(F.col("mention_id").alias("a"), F.col("rank").alias("rank_a"), F.col("begins").alias("begins_a"), F.col("ends").alias("ends_a"))
+    b = register.select(F.col("person_id").alias("b"), "rank", "begins", "ends")
+    both = pairs.join(a, "a").join(b, "b").withColumn("years", overlap_years(F.col("begins_a"), F.col("ends_a"), F.col("begins"), F.col("ends"))).where("years > 0")
+    score = F.col("ratio") + F.when(F.col("rank_a") == F.col("rank"), bonus).otherwise(0.0)
+    one = both.groupBy(F.col("a").alias("mention_id")).agg(F.min("b").alias("person_id"), F.max(score).alias("score"), F.max("years").cast("long").alias("years"), F.count("*").alias("n"))
+    return one.where("n = 1").drop("n")
+
+
+FUZZY = PEOPLE + """, x AS (SELECT p_partkey AS id, p_type AS kind, p_retailprice AS price FROM part),
+a AS (SELECT mention_id, age, given AS rank, list_distinct([{words}]) AS t FROM m JOIN x ON id = mention_id),
+c AS (SELECT r.person_id, age, given AS rank, list_distinct([{words}]) AS t FROM r JOIN x ON id = r.person_id),
+y AS (SELECT mention_id, person_id, len(list_intersect(a.t, c.t)) / least(len(a.t), len(c.t)) AS ratio, a.rank = c.rank AND a.rank IN ('small', 'large') AS ranked, 6 - abs(a.age - c.age) AS years FROM a, c),
+k AS (SELECT * FROM y WHERE ratio >= {least} AND years > 0)
+SELECT mention_id, min(person_id) AS person_id, round(max(ratio + CASE WHEN ranked THEN {bonus} ELSE 0 END), 6) AS score, CAST(max(years) AS BIGINT) AS years FROM k GROUP BY mention_id HAVING count(*) = 1"""
+
+
+def _fuzzy(spark: SparkSession, sf: str, words: list[str], least: float, bonus: float) -> DataFrame:
+    more = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.col("p_retailprice").cast("string").alias("price"))
+    tokens = F.array_distinct(F.array(*[F.col(w) for w in words])).alias("tokens")
+    rank = F.when(F.col("given").isin(*RANKS), F.col("given")).alias("rank")
+    side = lambda d, key: d.join(more, F.col(key) == F.col("id")).select(key, tokens, rank, F.col("age").alias("begins"), (F.col("age") + 5).alias("ends"))
     r, m = register_and_mentions(spark, sf)
-    side = lambda d, key, name: d.where(f"{key} < 400").select(F.col(key).alias(name), F.array_distinct(F.split(words, " ")).alias("tokens"))
-    pairs = token_overlap(side(m, "mention_id", "a"), side(r, "person_id", "b"), least)
-    return pairs.groupBy("a").agg(F.count("*").alias("n"), F.round(F.max("ratio"), 6).alias("best"))
+    return fuzzy_pass(side(m, "mention_id"), side(r, "person_id"), least, bonus).withColumn("score", F.round("score", 6))
 
 
-@query(FUZZY.format(left="m.place || ' ' || m.surname || ' ' || m.gender", right="r.place || ' ' || r.surname || ' ' || r.gender", least=0.67).replace("least(len", "least(len"))
+@query(FUZZY.format(words="place, kind, surname, price::VARCHAR", least=0.67, bonus=0))
 def merge_pass_const_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return _fuzzy(spark, sf, F.concat_ws(" ", "place", "surname", "gender"), 0.67)
+    """Places whose words mostly agree, terms that share years, one person alone."""
+    return _fuzzy(spark, sf, ["place", "kind", "surname", "price"], 0.67, 0.0)
 
 
-@query(FUZZY.format(left="m.name || ' ' || m.place", right="r.name || ' ' || r.place", least=0.6))
+@query(FUZZY.format(words="given, surname, place, kind, price::VARCHAR", least=0.6, bonus=0.05))
 def merge_pass_name_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return _fuzzy(spark, sf, F.concat_ws(" ", "name", "place"), 0.6)
-
-
-@query(CASCADE + "SELECT mention_id, CASE WHEN match_type = 'ambiguous' AND person_id IS NOT NULL THEN 'constituency_fallback' ELSE match_type END AS label FROM b")
-def merge_finalise_labels(spark: SparkSession, sf: str) -> DataFrame:
-    r, m = register_and_mentions(spark, sf)
-    late = (F.col("match_type") == "ambiguous") & F.col("person_id").isNotNull()
-    return cascade(m, r).select("mention_id", F.when(late, "constituency_fallback").otherwise(F.col("match_type")).alias("label"))
-
-
-@query(CASCADE + "SELECT person_id, 'register' AS origin FROM r UNION ALL SELECT mention_id, 'mention' FROM m WHERE mention_id NOT IN (SELECT mention_id FROM b)")
-def merge_append_hansard_only(spark: SparkSession, sf: str) -> DataFrame:
-    """What the register lacks is appended with where it comes from."""
-    r, m = register_and_mentions(spark, sf)
-    alone = m.join(cascade(m, r), "mention_id", "left_anti").select(F.col("mention_id").alias("person_id"), F.lit("mention").alias("origin"))
-    return r.select("person_id", F.lit("register").alias("origin")).unionByName(alone)
-
-
-def waterfall(*steps: tuple[Column, str]) -> Column:
-    """A struct (gender, source) of the first step that knows one."""
-    return F.coalesce(*[F.when(g.isNotNull(), F.struct(g.alias("gender"), F.lit(s).alias("source"))) for g, s in steps])
+    """Names whose core mostly agrees, and a little more for a shared rank; terms that share years, one person alone."""
+    return _fuzzy(spark, sf, ["given", "surname", "place", "kind", "price"], 0.6, 0.05)
 
 
 @query(PEOPLE + """SELECT person_id, CASE WHEN given = 'small' THEN 'F' WHEN age > 40 THEN 'M' WHEN place = 'Brand#11' THEN 'F' WHEN person_id % 5 = 0 THEN gender END AS gender,
@@ -240,11 +253,9 @@ def gender_waterfall_turn(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SPEECHES + "SELECT debate_id, sequence_number, lower(speaker) AS speaker, word_count, CAST(length(text) AS BIGINT) AS char_count FROM s WHERE debate_id IN (SELECT debate_id FROM s WHERE gender = 'M')")
 def turnwise_explode(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested segments to turns, of debates with a match only."""
+    """Turns of debates with a match only. They are rows already, so a semi join keeps them; no debate is put in an array."""
     s = speeches(spark, sf)
-    nested = s.groupBy("debate_id").agg(F.collect_list(F.struct("sequence_number", "speaker", "word_count", "text")).alias("segments"))
-    matched = s.where("gender = 'M'").select("debate_id").distinct()
-    turns = nested.join(matched, "debate_id", "left_semi").select("debate_id", F.inline("segments"))
+    turns = s.join(s.where("gender = 'M'").select("debate_id").distinct(), "debate_id", "left_semi")
     return turns.select("debate_id", "sequence_number", F.lower("speaker").alias("speaker"), "word_count", F.length("text").cast("long").alias("char_count"))
 
 
@@ -294,11 +305,10 @@ def _stub(text: str | None) -> dict:
     return {"stance": "for" if len(text) % 2 else "against", "confidence": 0.5}
 
 
-@query(SPEECHES + "SELECT speech_id, CASE WHEN length(text) % 2 = 1 THEN 'for' ELSE 'against' END AS stance, 0.5::DOUBLE AS confidence FROM s WHERE year < 1905")
+@query(SPEECHES + "SELECT speech_id, CASE WHEN length(text) % 2 = 1 THEN 'for' ELSE 'against' END AS stance, 0.5::DOUBLE AS confidence FROM s")
 def llm_classify(spark: SparkSession, sf: str) -> DataFrame:
     """With a stub for the outside model."""
     from agoraspark.session import ship
 
     ship(spark)
-    rows = speeches(spark, sf).where("year < 1905")
-    return classify(rows, _stub, "stance string, confidence double").select("speech_id", "stance", "confidence")
+    return classify(speeches(spark, sf), _stub, "stance string, confidence double").select("speech_id", "stance", "confidence")

@@ -154,12 +154,14 @@ def stat_paired_t(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def permuted(spark: SparkSession, pairs: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
-    """p of the difference of means of d: signs are drawn by hash for each pair and round, sums are taken by round."""
-    signs = pairs.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    sign = F.when(F.pmod(F.xxhash64("id", "round", F.lit(seed)), F.lit(2)) == 0, 1).otherwise(-1)
-    drawn = signs.groupBy("round").agg(F.abs(F.sum(sign * F.col("d"))).alias("x"))
+    """p of the difference of means of d: signs are the bits of a hash of each pair and block of 64 rounds; sums are taken
+    by round, 64 at a time, so a pair is one row for every 64 rounds."""
+    rows = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 64))))
+    bits = rows.select("block", "d", F.xxhash64("id", "block", F.lit(seed)).alias("bits"))
+    sums = [F.sum(F.when(F.getbit("bits", F.lit(i)) == 1, F.col("d")).otherwise(-F.col("d"))) for i in range(64)]
+    drawn = bits.groupBy("block").agg(F.array(*sums).alias("x")).select("block", F.posexplode("x").alias("i", "x")).where(F.col("block") * 64 + F.col("i") < rounds)
     seen = pairs.agg(F.abs(F.sum("d")).alias("seen"))
-    return drawn.crossJoin(F.broadcast(seen)).agg(((F.count_if(F.col("x") >= F.col("seen")) + 1) / (F.count("*") + 1)).alias("p"))
+    return drawn.crossJoin(F.broadcast(seen)).agg(((F.count_if(F.abs(F.col("x")) >= F.col("seen")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 @query()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +13,22 @@ from agoraspark.session import new_folder
 from agoraspark.views import DOCUMENTS, SPEECHES, documents, speeches, table
 
 
-@lru_cache(maxsize=16)
-def _by_year(spark: SparkSession, sf: str) -> str:
-    """The speeches as a table partitioned by year, written once a session."""
-    folder = new_folder(spark, "speeches")
-    speeches(spark, sf).repartition("year").write.partitionBy("year").parquet(folder)
+#: Rows in one file of a partitioned table, at most.
+FILE_ROWS = 1_000_000
+
+
+def written_by(df: DataFrame, folder: str, *by: str, key: str) -> str:
+    """Writes df as a table partitioned by `by`: rows are dealt by ranges of (by..., key), so a large part is written by
+    many tasks, and a small one by few."""
+    df.repartitionByRange(*by, key).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy(*by).parquet(folder)
     return folder
 
 
+def _by_year(spark: SparkSession, sf: str) -> str:
+    """The speeches as a table partitioned by year, written anew, as the input may have changed."""
+    return written_by(speeches(spark, sf), new_folder(spark, "speeches"), "year", key="speech_id")
+
+
 def load_speeches(spark: SparkSession, folder: str, years: tuple[int, int] | None = None, gender: str | None = None, chamber: str | None = None, n: int | None = None) -> DataFrame:
     """Speeches of a table partitioned by year; years prunes partitions. n: so many, drawn."""
     found = matching(spark.read.parquet(folder), year=years, gender=gender.upper() if gender else None, chamber=chamber)
@@ -114,8 +120,7 @@ def cache_year_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(DOCUMENTS + "SELECT year, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY year")
 def sink_parquet_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    folder = new_folder(spark, "by-year")
-    documents(spark, sf).repartition("year").write.partitionBy("year").parquet(folder)
+    folder = written_by(documents(spark, sf), new_folder(spark, "by-year"), "year", key="doc_id")
     return spark.read.parquet(folder).groupBy(F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"))
 
 
@@ -152,10 +157,11 @@ def sink_csv_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""SELECT w AS term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY w HAVING count(DISTINCT doc_id) >= 5""")
 def sink_sqlite_fts(spark: SparkSession, sf: str) -> DataFrame:
-    """A search table of postings, dealt and sorted by term so that a term's rows are in one file and skipped elsewhere."""
+    """A search table of postings in ranges of (term, document): a term's rows are together and skipped elsewhere, and those
+    of a common term are several tasks' work."""
     folder = new_folder(spark, "postings")
     postings, _ = inverted_index(table(spark, sf, "documents"))
-    postings.repartition("term").sortWithinPartitions("term").write.parquet(folder)
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(folder)
     return spark.read.parquet(folder).groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
 
 
