@@ -6,7 +6,8 @@ key and the number of shards alone, and one more shard takes keys only into itse
 md5(key:step), so that any engine can repeat them.
 
 Edge cases: a null key counts as the text "null"; null texts have no bytes; repeated rows get slots of their own; rows
-of an empty table give no rows; columns of the input other than the key are ignored.
+of an empty table give no rows; columns of the input other than the key are ignored, or kept by `sharded`, which renames
+those called shard or slot.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agoraspark.llm.common import small, table
+from agoraspark.llm.common import saved, small, table
 
 SHARDS = 24
 #: Each shard is numbered in so many runs of hash order, so that no task gets a whole shard.
@@ -27,21 +28,26 @@ def uniform(key: Column, step: Column) -> Column:
     return (F.conv(digest, 16, 10).cast("double") + 1) / F.lit(4294967296.0)
 
 
-def jump_shard(key: Column, shards: int) -> Column:
-    """The shard, 0 to shards - 1, of a key. The jumps are a fold over as many steps as could ever be needed; once past
-    the last shard nothing changes. The expected number of jumps is ln(shards) + 1; a step costs a hash only while the
-    key still moves."""
+def jumps(key: Column, shards: int) -> Column:
+    """(shard, grown_shard) of a key, 0 to shards - 1, and with one shard more. The jumps are a fold over as many steps as
+    could ever be needed; once past the last shard nothing changes. The expected number of jumps is ln(shards) + 1; a step
+    costs a hash only while the key still moves."""
     if shards < 1:
         raise ValueError("shards must be positive")
     stable = F.coalesce(key.cast("string"), F.lit("null"))
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("j"))
+    state = lambda shard, grown, j: F.struct(shard.alias("shard"), grown.alias("grown_shard"), j.cast("long").alias("j"))
+
+    def jump(at: Column, step: Column) -> Column:
+        b = at["j"]
+        moved = state(F.when(b < shards, b.cast("int")).otherwise(at["shard"]), b.cast("int"), F.floor((b + 1) / uniform(stable, step)))
+        return F.when(b <= shards, moved).otherwise(at)
 
-    def jump(state: Column, step: Column) -> Column:
-        b = state["j"]
-        moved = F.struct(b.alias("b"), F.floor((b + 1) / uniform(stable, step)).cast("long").alias("j"))
-        return F.when(state["j"] < shards, moved).otherwise(state)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), state(F.lit(0), F.lit(0), F.lit(0)), jump)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, jump, lambda s: s["b"].cast("int"))
+
+def jump_shard(key: Column, shards: int) -> Column:
+    """The shard, 0 to shards - 1, of a key."""
+    return jumps(key, shards)["shard"]
 
 
 def numbered(df: DataFrame, group: str, order: Column, ties: list[Column], name: str = "slot") -> DataFrame:
@@ -63,30 +69,36 @@ def numbered(df: DataFrame, group: str, order: Column, ties: list[Column], name:
     )
 
 
-def place(key: Column) -> Column:
-    """Where a key stands in its shard: 32 bits of its hash."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
+def place(key: Column, tie: Column) -> Column:
+    """Where a row stands in its shard: 32 bits of a hash of its key; of tie, if it has none."""
+    own = F.coalesce(key.cast("string"), F.concat(F.lit("null:"), tie.cast("string")))
+    return F.conv(F.substring(F.md5(own), 1, 8), 16, 10).cast("long")
 
 
 def sharded(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS) -> DataFrame:
-    """docs, all columns, with shard and slot; columns of these names give way."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    """docs, all columns, with shard and slot; columns of docs that have these names come back as own_shard and own_slot."""
+    taken, kept = {c.lower() for c in docs.columns}, []
+    for c in docs.columns:
+        name = c
+        while name.lower() in ("shard", "slot") or (name != c and name.lower() in taken):
+            name = f"own_{name}"
+        kept.append(F.col(f"`{c}`").alias(name))
     rows = docs.select(F.struct(*kept).alias("row"), F.xxhash64("text").alias("_text"), jump_shard(F.col(key), shards).alias("shard"))
-    return numbered(rows, "shard", place(F.col(f"row.{key}")), [F.col(f"row.{key}"), F.col("_text")]).select("row.*", "shard", "slot")
+    return numbered(rows, "shard", place(F.col(f"row.{key}"), F.col("_text")), [F.col(f"row.{key}"), F.col("_text")]).select("row.*", "shard", "slot")
 
 
 def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, text: str = "text") -> DataFrame:
-    """The narrow table of all rows of docs: key, size, text_crc32, law, shard, slot and grown_shard."""
+    """The narrow table of all rows of docs: key, size, text_crc32, law, shard, slot and grown_shard. Texts are read once."""
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     rows = docs.select(
         F.col(key),
         (F.length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.lit("key").alias("law"),
-        jump_shard(F.col(key), shards).alias("shard"),
-        jump_shard(F.col(key), shards + 1).alias("grown_shard"),
+        jumps(F.col(key), shards).alias("at"),
     )
-    return numbered(rows, "shard", place(F.col(key)), [F.col(key), F.col("text_crc32"), F.col("size")])
+    rows = saved(rows.select(key, "size", "text_crc32", "law", "at.shard", "at.grown_shard"))
+    return numbered(rows, "shard", place(F.col(key), F.col("text_crc32")), [F.col(key), F.col("text_crc32"), F.col("size")])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
