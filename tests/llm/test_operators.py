@@ -151,7 +151,8 @@ def test_op4_is_consistent_and_gapless(spark):
     moved = sum(r["grown_shard"] == 7 for r in out)
     assert 30 < moved < 100 and max(len(v) for v in slots.values()) < 110
     whole = sharding.sharded(docs)
-    assert whole.columns == ["doc_id", "text", "lang", "source", "n_chars", "doc", "rank", "row", "shard", "slot"] and whole.count() == 502
+    assert whole.columns == ["doc_id", "text", "lang", "source", "n_chars", "doc", "own_shard", "rank", "row", "shard", "slot"] and whole.count() == 502
+    assert whole.where("own_shard = 7").count() == 502
     assert sharding.assign(docs.where("false")).count() == 0
 
 
