@@ -6,11 +6,12 @@ os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.absp
 
 import pytest
 
-from agoraspark.session import local_session
+from agoraspark.session import local_session, release
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, 4)
     yield s
+    release(s)
     s.stop()
