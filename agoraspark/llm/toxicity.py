@@ -165,19 +165,26 @@ def measured(data: np.ndarray, ends: np.ndarray, model: tuple) -> np.ndarray:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the intercept last), by Newton steps with a small ridge."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, evidence: int = 4) -> tuple[np.ndarray, ...]:
+    """(mean, scale, weights with the intercept last, least and largest x), by Newton steps with a small ridge. More of the
+    first `evidence` columns never lowers a score: one whose weight would be negative is left out, the worst first."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        ridge = np.append(np.full(z.shape[1] - 1, 1.0), 1e-3)
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return mean, scale, w
+    used = np.ones(z.shape[1], bool)
+    while True:
+        w, part = np.zeros(used.sum()), z[:, used]
+        penalty = np.append(np.full(len(w) - 1, 1.0), 1e-3)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            step = np.linalg.solve((part * (p * (1 - p) + 1e-9)[:, None]).T @ part + np.diag(penalty), part.T @ (y - p) - penalty * w)
+            w = w + step
+            if np.abs(step).max() < 1e-8:
+                break
+        every = np.zeros(z.shape[1])
+        every[used] = w
+        if every[:evidence].min() >= 0:
+            return mean, scale, every, x.min(axis=0), x.max(axis=0)
+        used[every[:evidence].argmin()] = False
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -231,10 +238,12 @@ def scores(texts: pa.Array, known: dict) -> np.ndarray:
     out = np.full(len(texts), known["prior"])
     if known["model"] is None:
         return out
-    mean, scale, w = known["curve"]
+    mean, scale, w, least, largest = known["curve"]
 
     def curve(x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30)))
+        # Nothing is known beyond what was seen: a longer text than any counts as the longest.
+        z = (np.clip(x, least, largest) - mean) / scale
+        return 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
 
     out[:] = curve(np.zeros((1, len(mean))))
     for begin, data, ends in bs.text_groups(texts):
