@@ -63,7 +63,7 @@ def numbered(df: DataFrame, group: str, order: Column, ties: list[Column], name:
     rank = F.row_number().over(Window.partitionBy(group, "_run").orderBy("_order", *ties))
     return (
         df.withColumn("_rank", rank)
-        .join(small(starts), [group, "_run"])
+        .join(small(saved(starts)), [group, "_run"])
         .withColumn(name, F.col("_start") + F.col("_rank") - 1)
         .drop("_order", "_run", "_rank", "_start")
     )
