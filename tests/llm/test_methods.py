@@ -10,7 +10,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from agoraspark.llm import line_dedup, mixing, neardup, pii, repeats, tagger, url_filters
+from agoraspark.llm import line_dedup, mixing, neardup, pii, repeats, tagger, toxicity, url_filters
 from agoraspark.llm.common import BROADCAST_BYTES, fingerprint, small
 
 
@@ -254,3 +254,19 @@ def test_op3_weights_are_stored_once(spark):
     x = np.stack([tagger.encoded(t) for t, _ in tagger.labelled_examples(20, 3)])
     assert (model.decode(x) == again.decode(x)).all()
     assert all((model.p[k] == again.p[k]).all() for k in model.p)
+
+
+def test_op5_scores_depend_on_the_text_alone(spark):
+    rnd = random.Random(5)
+    words = ["lorem", "ipsum", "dolor", "amet", "zounds", "fie"]
+    rows = [(i, " ".join(rnd.choice(words[:4] if i % 5 else words) for _ in range(40)), i % 3, "en") for i in range(300)]
+    rows += [(7, rows[7][1], 9, None), (1000, rows[7][1], 0, "fr"), (None, rows[7][1], 0, None), (1001, None, 0, None), (1002, "", 0, None), (1003, "lorem zounds amet fie " * 10_000, 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)] + [(5, 1), (5, 0)], "doc_id long, toxic int")
+    out = [(r["doc_id"], r["score"]) for r in toxicity.scored(docs, toxicity.learn(docs, labels)).collect()]
+    assert len(out) == len(rows) and all(0 <= s <= 1 for _, s in out)
+    same = {s for d, s in out if d in (7, 1000, None)}
+    assert len(same) == 1 and len({s for d, s in out if d in (1001, 1002)}) == 1
+    assert dict(out)[1003] > 0.5
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.where("doc_id = 1003").count() == 0
