@@ -28,7 +28,7 @@ from agoraspark.llm.common import fingerprint, packed, saved, small, table
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source's line is summed in so many runs of hash order, so that no task gets a whole source.
-RUNS = 4096
+RUNS = 1024
 
 
 def _unit(*parts: Column) -> Column:
@@ -218,7 +218,8 @@ def mixed(docs: DataFrame, **options: object) -> DataFrame:
     narrow = docs.select(F.hex(fingerprint("doc_id", "text")).alias("_doc"), "source", "text")
     # One copy for each pass, at the first of its draws.
     firsts = F.filter("draws", lambda x, i: (i == 0) | (F.get("draws", i - 1)["pass"] != x["pass"]))
-    copies = drawn(narrow, key="_doc", **options).select(F.unhex("_doc").alias("_doc"), firsts.alias("draws")).where(F.size("draws") > 0)
+    placed = F.transform(firsts, lambda x: F.struct(x["shard"].alias("shard"), x["spot"].alias("spot")))
+    copies = drawn(narrow, key="_doc", **options).select(F.unhex("_doc").alias("_doc"), placed.alias("draws")).where(F.size("draws") > 0)
     copies = saved(copies.groupBy("_doc").agg(F.count("*").alias("_same"), F.flatten(F.collect_list("draws")).alias("draws")))
     repeated = small(copies.where("_same > 1").select("_doc"))
     rows = packed(docs)
