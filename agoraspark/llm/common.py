@@ -11,11 +11,13 @@ from agoraspark.session import new_folder, ship
 
 #: A side of at most this many bytes, with ROW_BYTES for every row, is broadcast; beyond it the join is left to a shuffle.
 BROADCAST_BYTES, ROW_BYTES = 16 << 20, 16
+#: A key of more rows comes back by a broadcast join of its own.
+HOT_ROWS = 2000
 #: The ASCII white space that separates words in all contracts.
 GAPS = r"[\x20\x09-\x0D]+"
 
 
-__all__ = ["components", "fingerprint", "packed", "saved", "ship", "small", "table", "words"]
+__all__ = ["components", "fingerprint", "joined_apart", "packed", "saved", "ship", "small", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,15 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if n <= rows and (held or 0) <= most else df
 
 
+def joined_apart(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with right, which has one row for each key, and in n how many rows of left have it. Keys of more than
+    hot_rows rows, at most one in hot_rows of all rows, are broadcast, so that none fills a task of the shuffled join."""
+    right = saved(right)
+    hot = small(right.where(F.col("n") > hot_rows).drop("n"))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") <= hot_rows).drop("n"), key)
+    return rest.unionByName(left.join(hot, key))
+
+
 def fingerprint(*names: str) -> Column:
     """128 bits of a row's values in the named columns; null is a value of its own."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("")) for n in names]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoraspark.llm import bytesets as bs
-from agoraspark.llm.common import components, fingerprint, packed, saved, ship, small, table
+from agoraspark.llm.common import components, fingerprint, joined_apart, packed, saved, ship, small, table
 
 WORDS, HASHES, CHUNK = 5, 32, 4
 #: Nodes of a group that meet in one task; those that all nodes of a larger group are compared with first.
@@ -181,73 +181,72 @@ def forest(nodes: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percen
     return out
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.Table:
-    cols = list(zip(*found, strict=True)) or [[], []]
-    return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
-
-
 def _confirm(percent: int):
     """The links of a task's nodes, as a forest: all, or, if there are two blocks, those between the blocks."""
 
     def run(task: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in task.column("shingles").to_pylist()]
-        return _edges(forest(task.column("node").to_numpy(), task.column("block").to_numpy(), sets, percent))
+        found = forest(task.column("node").to_numpy(), task.column("block").to_numpy(), sets, percent)
+        cols = list(zip(*found, strict=True)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
     return run
 
 
-def _follow(percent: int):
-    """(hub, leader, node): the links between a block's nodes and the leaders of their group."""
+def _first_look(percent: int):
+    """(hub, led, a, b): of a group that meets whole, its links as a forest; of a block of a larger one, where some rows
+    are leaders, the links between each leader and each node."""
 
     def run(task: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in task.column("shingles").to_pylist()]
         nodes, leads = task.column("node").to_numpy(), task.column("leads").to_numpy(zero_copy_only=False)
-        shared, sizes = shared_counts(sets), np.array([len(x) for x in sets])
-        linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
-        i, j = np.nonzero(linked[leads][:, ~leads])
-        hub = np.full(len(i), task.column("hub")[0].as_py())
-        return pa.table({"hub": pa.array(hub), "leader": pa.array(nodes[leads][i]), "node": pa.array(nodes[~leads][j])})
+        led = bool(leads.any())
+        if led:
+            shared, sizes = shared_counts(sets), np.array([len(x) for x in sets])
+            linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+            i, j = np.nonzero(linked[leads][:, ~leads])
+            found = np.column_stack([nodes[leads][i], nodes[~leads][j]])
+        else:
+            found = np.array(forest(nodes, np.zeros(len(nodes)), sets, percent), np.int64).reshape(-1, 2)
+        hub = np.full(len(found), task.column("hub")[0].as_py(), np.int64)
+        return pa.table({"hub": pa.array(hub), "led": pa.array(np.full(len(found), led)), "a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return run
 
 
-def _by_leaders(stars: DataFrame, sets: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(hub, leader, node), the links to leaders, and (hub, node), the nodes that these leave unconnected, of large groups."""
-    drawn = [F.min_by(F.struct("node", "blocks"), F.xxhash64("node", F.lit(i))) for i in range(LEADERS)]
-    leads = stars.groupBy("hub").agg(F.array_distinct(F.array(*drawn)).alias("leads")).select("hub", F.inline("leads"))
-    led = leads.select("hub", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("leads"))
-    tasks = stars.select("hub", "node", "block", F.lit(False).alias("leads")).union(led).join(sets, "node")
-    links = saved(tasks.groupBy("hub", "block").applyInArrow(_follow(percent), "hub long, leader long, node long"))
-    most = links.groupBy("hub", "leader").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("leader", F.struct("n", "leader")).alias("root"))
-    # A leader counts if it is linked to the root; the root is linked to itself.
-    good = links.join(most, "hub").where("leader = root").select("hub", F.col("node").alias("leader"))
-    good = good.join(leads.select("hub", F.col("node").alias("leader")), ["hub", "leader"], "left_semi").distinct()
-    done = links.join(small(good), ["hub", "leader"], "left_semi").select("hub", "node").distinct()
-    return links.select("hub", "leader", "node"), saved(stars.join(done, ["hub", "node"], "left_anti").select("hub", "node"))
-
-
 def linked_nodes(stars: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """(a, b): edges that connect just the nodes that links within the groups (hub, node) connect. sets: (node, shingles)."""
-    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    stars = saved(stars.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
-    few = stars.where("blocks = 1").select("hub", "block", "node").join(sets, "node")
-    edges = few.groupBy("hub").applyInArrow(_confirm(percent), "a long, b long")
-    large = stars.where("blocks > 1")
-    if large.isEmpty():
+    # Groups of more than `block` nodes are at most one for so many rows.
+    sizes = stars.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    sizes = small(saved(sizes.select("hub", F.ceil(F.col("n") / block).cast("int").alias("blocks"))))
+    stars = stars.join(sizes, "hub", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.lit(0)))
+    stars = saved(stars)
+    large = stars.where("blocks is not null")
+    drawn = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(LEADERS)]
+    leads = large.groupBy("hub", "blocks").agg(F.array_distinct(F.array(*drawn)).alias("leads")).select("hub", "blocks", F.explode("leads").alias("node"))
+    led = leads.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", F.lit(True).alias("leads"))
+    tasks = stars.select("hub", "block", "node", F.lit(False).alias("leads")).union(led).join(sets, "node")
+    found = saved(tasks.groupBy("hub", "block").applyInArrow(_first_look(percent), "hub long, led boolean, a long, b long"))
+    edges, links = found.where("a <> b").select("a", "b"), found.where("led").select("hub", F.col("a").alias("leader"), F.col("b").alias("node"))
+    if links.isEmpty():
+        return edges
+    most = links.groupBy("hub", "leader").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max_by("leader", F.struct("n", "leader")).alias("root"))
+    # A leader counts if it is linked to the root; the root is linked to itself.
+    good = links.join(small(saved(most)), "hub").where("leader = root").select("hub", F.col("node").alias("leader"))
+    good = small(saved(good.join(small(saved(leads.select("hub", F.col("node").alias("leader")))), ["hub", "leader"], "left_semi").distinct()))
+    done = links.join(good, ["hub", "leader"], "left_semi").select("hub", "node").distinct()
+    rest = saved(large.join(done, ["hub", "node"], "left_anti").select("hub", "node", "blocks"))
+    if rest.isEmpty():
         return edges
-    links, rest = _by_leaders(large, sets, percent, block)
-    edges = edges.union(links.where("leader <> node").select("leader", "node"))
     # The nodes left over, in blocks of their own, against each other and against every block of their group.
-    parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    parts = small(saved(rest.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))))
     rest = rest.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node", F.lit("rest")), "parts").cast("int"))
-    every = large.join(parts, "hub").join(rest.select("hub", "node", "part"), ["hub", "node"], "left")
-    against = every.where("part is null").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("block"), "node")
-    own = rest.join(sizes, "hub").select("hub", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("block"), "node")
-    crossed = against.union(own).withColumn("kind", F.lit(0))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    pairs = rest.select("hub", "part", "node", other.alias("other"))
-    pairs = pairs.select("hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("part").alias("block"), "node", F.lit(1).alias("kind"))
-    tasks = crossed.select(*pairs.columns).union(pairs).join(sets, "node")
+    every = large.join(parts, "hub").join(rest.select("hub", "node", "part"), ["hub", "node"], "left_anti")
+    against = every.select("hub", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("block"), "node")
+    own = rest.select("hub", F.lit(0).alias("kind"), F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("block"), "node")
+    pairs = rest.select("hub", "part", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pairs = pairs.select("hub", F.lit(1).alias("kind"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("part").alias("block"), "node")
+    tasks = against.union(own).union(pairs).join(sets, "node")
     return edges.union(tasks.groupBy("hub", "kind", "i", "j").applyInArrow(_confirm(percent), "a long, b long"))
 
 
@@ -262,14 +261,15 @@ def groups(docs: DataFrame, percent: int = 85, key: str = "doc_id", block: int =
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
     entered = nodes.select("node", "sig").mapInArrow(_enter, "key long, node long")
     hubs = entered.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    stars = saved(entered.join(hubs.select("key", "hub"), "key").select("hub", "node").distinct())
+    # Hubs grow with the corpus: by a shuffle at every size, which adaptive execution splits where a key is hot.
+    stars = saved(entered.join(hubs.select("key", "hub").hint("merge"), "key").select("hub", "node").distinct())
     wanted = nodes.join(stars.select("node").distinct(), "node").select("doc", "node")
     texts = rows.select("doc", "text").join(small(saved(wanted)), "doc").dropDuplicates(["node"])
     sets = saved(texts.select("node", "text").mapInArrow(_sets, "node long, shingles binary"))
     group = components(linked_nodes(stars, sets, percent, block))
     joined = nodes.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = joined.join(lowest, "component").select("d1", "d2", "component_id", F.col("component").alias("group"), F.lit(1).alias("words"))
+    lowest = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    known = joined_apart(joined, lowest, "component").select("d1", "d2", "component_id", F.col("component").alias("group"), F.lit(1).alias("words"))
     out = signed.withColumn("words", F.when(F.col("n_shingles") > 0, 1)).join(known, ["d1", "d2", "words"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
@@ -280,9 +280,9 @@ def deduplicated(docs: DataFrame, percent: int = 85, key: str = "doc_id") -> Dat
     """The rows of docs, all columns, but of each group only the one with the smallest (key, fingerprint); all rows without
     words. Rows that agree in key and text are one."""
     found = saved(groups(docs, percent, key).where("group is not null").select("doc_id", "doc", "group"))
-    best = found.groupBy("group").agg(F.min(F.struct("doc_id", "doc")).alias("best")).select("group", F.col("best.doc").alias("best"))
-    marked = found.join(best, "group").select(F.col("doc").alias("_doc"), (F.col("doc") == F.col("best")).alias("stays"))
-    marked = saved(marked.groupBy("_doc").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")))
+    best = found.groupBy("group").agg(F.min(F.struct("doc_id", "doc")).alias("best")).select(F.col("best.doc").alias("_doc"), F.lit(True).alias("stays"))
+    marked = found.groupBy(F.col("doc").alias("_doc")).agg(F.count("*").alias("n")).join(best, "_doc", "left")
+    marked = saved(marked.withColumn("stays", F.coalesce("stays", F.lit(False))))
     rows = packed(docs, key)
     once = rows.join(small(marked.where("not stays or n > 1").select("_doc")), "_doc", "left_anti")
     more = rows.join(small(marked.where("stays and n > 1").select("_doc")), "_doc", "left_semi").dropDuplicates(["_doc"])
