@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoraspark.llm import bytesets as bs
-from agoraspark.llm.common import fingerprint, saved, ship, small, table
+from agoraspark.llm.common import HOT_ROWS, fingerprint, joined_apart, saved, ship, small, table
 
 LENGTH = 200
 K = 64
 BUCKET_BYTES = 1_500_000
-#: An anchor with more bytes of contexts is not left to one task, nor one with more rows to one side of a shuffled join.
-HOT_BYTES, HOT_ROWS = 1_500_000, 10_000
+#: An anchor with more bytes of contexts is not left to one task.
+HOT_BYTES = 1_500_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -301,12 +301,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_anchors(found: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The rows of found (doc, anchor) whose anchor occurs more than once. Anchors of more than hot_rows rows, at most one
-    in hot_rows of all rows, come back by a join of their own, so that none fills a task of the shuffled one."""
-    again = saved(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    hot = small(saved(again.where(F.col("n") > hot_rows).select("anchor")))
-    rest = found.join(hot, "anchor", "left_anti").join(again.where(F.col("n") <= hot_rows).select("anchor"), "anchor")
-    return rest.select("doc", "anchor").union(found.join(hot, "anchor").select("doc", "anchor"))
+    """The rows of found (doc, anchor) whose anchor occurs more than once."""
+    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    return joined_apart(found, again, "anchor", hot_rows).select("doc", "anchor")
 
 
 def starts(docs: DataFrame, length: int = LENGTH, group_bytes: int = bs.GROUP_BYTES) -> DataFrame:
@@ -319,12 +316,13 @@ def starts(docs: DataFrame, length: int = LENGTH, group_bytes: int = bs.GROUP_BY
     cut = long.join(by_doc, "doc").select("doc", "text", "found")
     uses = saved(cut.mapInArrow(_cut_contexts(length, group_bytes), "context binary, anchor long, windows int, body binary, news boolean, doc binary, start int"))
     bulk = uses.agg(F.sum(F.length("body"))).first()[0] or 0
-    bucket = F.pmod("anchor", F.lit(max(12, int(bulk) // (4 * BUCKET_BYTES))))
+    buckets = max(12, int(bulk) // (4 * BUCKET_BYTES))
     news = uses.where("news").select("context", "anchor", "windows", "body")
     hot = saved(news.groupBy("anchor").agg(F.sum(F.length("body")).alias("n")).where(F.col("n") > HOT_BYTES).select("anchor"))
     crowded = not hot.isEmpty()
-    marks = (news.join(small(hot), "anchor", "left_anti") if crowded else news).withColumn("bucket", bucket)
-    marks = marks.groupBy("bucket").applyInArrow(_index(length), "context binary, low int, high int")
+    marks = (news.join(small(hot), "anchor", "left_anti") if crowded else news).withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
+    # As many tasks as buckets, so that a task's share does not grow with the input.
+    marks = marks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_index(length), "context binary, low int, high int")
     if crowded:
         marks = marks.union(hot_marks(news.join(small(hot), "anchor", "left_semi"), length))
     spans = uses.select("context", "doc", "start").join(saved(marks), "context")
