@@ -9,7 +9,7 @@ stretches that stand out most. A logistic curve turns these into a score; it is
 each measured by models that have not seen its own half of the labels.
 
 Counts come from all labelled training texts, in Spark, by the exact string with partial sums. All distinct strings are
-gathered and broadcast, so the table grows with the corpus; it has up to 12 bytes a string.
+gathered and broadcast, so the table grows with the corpus; it has up to 24 bytes a string.
 
 Edge cases: null and empty texts, and an empty label table, score by the curve's value for no evidence; repeated labels
 of a document count each; rows with a null label or doc_id are not learned from; extra columns are ignored.
@@ -105,11 +105,11 @@ def ratios(codes: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> np.ndarra
 
 def lookup_tables(codes: np.ndarray, *values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each of values (one a code): the hashes of all codes in order, their values, and where each slot of hashes
-    begins; one or two codes a slot. The tables share all but the values."""
+    begins; 2 slots a code or more. The tables share all but the values."""
     h = hashed(codes)
     order = np.argsort(h)
     h = h[order]
-    bits = min(32, max(10, int(len(codes)).bit_length() - 1))
+    bits = min(32, max(10, int(2 * len(codes)).bit_length()))
     begins = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.int32)
     # Behind the last: no slot's first code, so that every place that begins names can be read.
     h = np.append(h, np.uint32(0))
