@@ -96,3 +96,70 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 c(node, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, c.least FROM c JOIN e ON e.a = c.node),
 g AS (SELECT node AS doc_id, min(least) AS component_id FROM c GROUP BY node)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM g LEFT JOIN n USING (doc_id)"""
+
+OP11 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, v FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.9),
+c(node, least) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.b, c.least FROM c JOIN e ON e.a = c.node),
+g AS (SELECT node AS vec_id, min(least) AS component_id FROM c GROUP BY node), n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM g LEFT JOIN n USING (vec_id)"""
+
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 of a decimal number, a bit at a time.
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))"""
+
+
+def _tree(name: str, nodes: str, levels: int = 5) -> str:
+    """Tables name0 to name5 (tree, place, digest): the levels above nodes, up to 16**5 of them; a tree ends with one node."""
+    out = [f"{name}0 AS ({nodes})"]
+    for k in range(levels):
+        many = f"(SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k})"
+        out.append(f"{name}{k + 1} AS (SELECT tree, place // 16 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM {many} WHERE n > 1 GROUP BY 1, 2 UNION ALL SELECT tree, place, digest FROM {many} WHERE n = 1)")
+        # A tree that has ended has neither siblings nor another hash: its node stands for itself.
+        run = "PARTITION BY tree, place // 16 ORDER BY place ROWS BETWEEN"
+        out.append(f"{name}s{k} AS (SELECT tree, place, n > 1 AS up, coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {many})")
+    return ",\n".join(out)
+
+
+def _paths(name: str, levels: int = 5) -> str:
+    """name (tree, place, ups, befores, afters): each node's siblings, level by level."""
+    cols = ", ".join(f"[{', '.join(f's{k}.{c}' for k in range(levels))}] AS {c}s" for c in ("up", "a", "b"))
+    joins = " ".join(f"JOIN {name}s{k} s{k} ON s{k}.tree = s0.tree AND s{k}.place = CASE WHEN s{k}.up OR s{k - 1}.up THEN s{k - 1}.place // 16 ELSE s{k - 1}.place END" for k in range(1, levels))
+    return f"{name}p AS (SELECT s0.tree, s0.place, {cols} FROM {name}s0 s0 {joins})"
+
+
+_STEP = "lambda h, i: CASE WHEN ups[i::BIGINT] THEN sha256(befores[i::BIGINT] || h || afters[i::BIGINT]) ELSE h END"
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS own, {_leaf("text")} AS leaf,
+  CASE WHEN text IS NOT NULL AND xor({_CRC}, 4294967295) % 5 = 0 THEN {_leaf(_LOWER)} END AS changed FROM documents),
+r AS (SELECT *, dense_rank() OVER (ORDER BY own) - 1 AS tree, row_number() OVER (PARTITION BY own ORDER BY doc_id, leaf) - 1 AS place FROM d),
+{_tree("l", "SELECT tree, place, leaf AS digest FROM r")},
+{_paths("l")},
+{_tree("t", "SELECT 0 AS tree, tree AS place, digest FROM l5")},
+{_paths("t")},
+x AS (SELECT doc_id, leaf, changed, l5.digest AS subroot, t5.digest AS root, list_concat(lp.ups, tp.ups) AS ups, list_concat(lp."as", tp."as") AS befores, list_concat(lp.bs, tp.bs) AS afters
+  FROM r JOIN lp USING (tree, place) JOIN l5 USING (tree) JOIN tp ON tp.place = r.tree JOIN t5 ON true),
+y AS (SELECT *, array_to_string(list_transform(range(1, 11), lambda i: CASE WHEN ups[i] THEN befores[i] || afters[i] ELSE '' END), '') AS proof,
+  list_reduce(list_concat([coalesce(changed, leaf)], list_transform(range(1, 11), lambda i: i::VARCHAR)), {_STEP}) AS folded_root FROM x)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM y"""
+
+OP13 = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+  regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM w),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM f GROUP BY 1, 2),
+x(i) AS (VALUES (1), (2), (3), (4), (5)),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT part, o, step, n, good, toxic, fails[o[step]] AS hit, len(list_filter(o[1:step - 1], lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda v: v)) = 1 AS sole FROM g, o, (SELECT i AS step FROM x)),
+t AS (SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, step, o[step] AS filter,
+  coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (hit AND sole), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM t"""
