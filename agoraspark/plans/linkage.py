@@ -70,12 +70,6 @@ b AS (SELECT mention_id, person_id, match_type, confidence FROM (SELECT *, row_n
 """
 
 
-@query(CASCADE + "SELECT * FROM b")
-def match_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    r, m = register_and_mentions(spark, sf)
-    return cascade(m, r)
-
-
 @query(PEOPLE + """SELECT mention_id, min(r.gender) AS gender, 0.6::DOUBLE AS confidence FROM m JOIN r USING (name, place) WHERE name NOT IN ('small ring') GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT r.gender) = 1""")
 def match_ambiguous_gender(spark: SparkSession, sf: str) -> DataFrame:
     """Several candidates, but of one gender; some names are left out."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from agoraspark.functions import names, text
 from agoraspark.operators import aggregates, joins, ordering
 from agoraspark.plans import linkage, statistics
-from agoraspark.registry import QUERIES
+from agoraspark.queries import QUERIES
 from agoraspark.sources import html, tables
 
 DATA = "/root/testdata/sf0.001"
