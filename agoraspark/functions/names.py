@@ -110,10 +110,6 @@ def excerpt(text: Column, term: str, around: int) -> Column:
     return F.when(at > 0, body)
 
 
-def marked(text: Column, term: str) -> Column:
-    return F.regexp_replace(text, f"(?i)({term})", "<mark>$1</mark>")
-
-
 def escaped(text: Column) -> Column:
     pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, text)
@@ -279,12 +275,6 @@ def fn_excerpt(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", excerpt(F.col("text"), "License", 40).alias("excerpt")).where("excerpt is not null")
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '(?i)(license)', '<mark>\1</mark>', 'g') AS snippet FROM documents WHERE regexp_matches(text, '(?i)license')")
-def fn_snippet_mark(spark: SparkSession, sf: str) -> DataFrame:
-    found = table(spark, sf, "documents").where(F.col("text").rlike("(?i)license"))
-    return found.select("doc_id", marked(F.col("text"), "license").alias("snippet"))
-
-
 @query(r"SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[.!?]+\s+'), lambda x: contains(lower(x), 'idiot')), '|') AS sentences FROM documents WHERE contains(lower(text), 'idiot')")
 def fn_keyword_sentences(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where(F.contains(F.lower("text"), F.lit("idiot")))

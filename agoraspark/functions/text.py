@@ -229,46 +229,6 @@ def txt_lda(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def inverted_index(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Postings (key, term, tf) and lengths (key, dl), as a search would store them; terms: of these alone."""
-    words = docs.select(key, F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0).alias("ws"))
-    kept = F.filter("ws", lambda w: w.isin(terms)) if terms else F.col("ws")
-    postings = words.select(key, F.explode(kept).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return postings, words.select(key, F.size("ws").alias("dl"))
-
-
-def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str], key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the documents that hold all terms; idf is ln((n - df + 0.5) / (df + 0.5)), at least 1e-6."""
-    hits = postings.where(F.col("term").isin(terms))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    rows = hits.join(F.broadcast(df), "term").join(lengths, key).crossJoin(F.broadcast(whole))
-    scored = rows.groupBy(key).agg(F.sum(idf * F.col("tf") * (k1 + 1) / norm).alias("score"), F.count("*").alias("k"))
-    return scored.where(F.col("k") == len(set(terms))).drop("k")
-
-
-@query("""WITH l AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), z AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM l),
-p AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS w FROM l) WHERE w IN ('idiot', 'the') GROUP BY 1, 2), f AS (SELECT w, count(*) AS df FROM p GROUP BY w)
-SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / a))), 6) AS score
-FROM p JOIN f USING (w) JOIN l USING (doc_id), z GROUP BY doc_id HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 20""")
-def txt_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    terms = ["idiot", "the"]
-    scored = bm25(*inverted_index(table(spark, sf, "documents"), terms=terms), terms)
-    return scored.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "doc_id").limit(20)
-
-
-@query(r"""SELECT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text || ' ' || lang || ' ' || source), '[a-z0-9]+')) AS w FROM documents)
-WHERE w IN ('the', 'stupid', 'en') GROUP BY doc_id HAVING count(DISTINCT w) = 3""")
-def txt_fts_boolean(spark: SparkSession, sf: str) -> DataFrame:
-    """All terms, in any of three columns."""
-    terms = ["the", "stupid", "en"]
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "text", "lang", "source")), F.lit("[a-z0-9]+"), 0))
-    d = table(spark, sf, "documents")
-    return d.where(F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in terms]))) == len(terms)).select("doc_id")
-
-
 HIGH = "licensed under|general public license|all rights reserved"
 
 

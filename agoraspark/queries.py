@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agoraspark.functions import names, text  # noqa: F401
+from agoraspark.functions import names, search, text  # noqa: F401
 from agoraspark.operators import aggregates, filters, joins, ordering, sets, windows  # noqa: F401
 from agoraspark.plans import attention, cascade, linkage, quality, statistics  # noqa: F401
 from agoraspark.registry import ORACLES, QUERIES

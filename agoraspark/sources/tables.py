@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agoraspark.functions.text import inverted_index
 from agoraspark.operators.filters import matching
 from agoraspark.operators.ordering import sample
 from agoraspark.registry import query
@@ -155,16 +154,6 @@ def sink_csv_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("period").agg(F.sum("word_count").alias("words"))
 
 
-@query(r"""SELECT w AS term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY w HAVING count(DISTINCT doc_id) >= 5""")
-def sink_sqlite_fts(spark: SparkSession, sf: str) -> DataFrame:
-    """A search table of postings in ranges of (term, document): a term's rows are together and skipped elsewhere, and those
-    of a common term are several tasks' work."""
-    folder = new_folder(spark, "postings")
-    postings, _ = inverted_index(table(spark, sf, "documents"))
-    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(folder)
-    return spark.read.parquet(folder).groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
-
-
 @query(SPEECHES + "SELECT speech_id, substr(speaker, 1, 60) AS speaker, substr(text, 1, 80) AS title, word_count FROM s")
 def sink_sqlite_meta(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "meta")
