@@ -6,7 +6,7 @@ from agoraspark.functions import names, search, text  # noqa: F401
 from agoraspark.operators import aggregates, filters, joins, ordering, sets, windows  # noqa: F401
 from agoraspark.plans import attention, cascade, linkage, quality, statistics  # noqa: F401
 from agoraspark.registry import ORACLES, QUERIES
-from agoraspark.sources import html, tables  # noqa: F401
+from agoraspark.sources import html, pages, tables  # noqa: F401
 from agoraspark.streaming import events  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -146,28 +146,6 @@ def html_extract_speakers(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_pages(spark, sf).select("conv_id", F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("speakers"))
 
 
-@query("SELECT DISTINCT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'lords' ELSE 'commons' END AS chamber FROM conversations")
-def html_chamber(spark: SparkSession, sf: str) -> DataFrame:
-    has = lambda x: F.contains("html", F.lit(x))
-    chamber = F.when(has("house-of-lords-sitting"), "lords").when(has("house-of-commons-sitting"), "commons")
-    return conversation_pages(spark, sf).select("conv_id", chamber.alias("chamber"))
-
-
-@query(r"SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, nullif(regexp_extract(html, '(\d{1,2} \w+ \d{4})', 1), '') AS day FROM pages")
-def html_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    day = F.nullif(F.regexp_extract("html", r"(\d{1,2} \w+ \d{4})", 1), F.lit(""))
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), day.alias("day"))
-
-
-@query(r"SELECT page_id, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
-def html_meta_tags(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = F.transform(F.regexp_extract_all("html", F.lit(r'<(?:meta|html) (charset|lang)="'), 1), lambda n: n)
-    values = F.regexp_extract_all("html", F.lit(r'<(?:meta|html) (?:charset|lang)="([^"]*)"'), 1)
-    tags = F.map_from_entries(F.array_distinct(F.arrays_zip(pairs.alias("k"), values.alias("v"))))
-    p = table(spark, sf, "pages").select("page_id", tags.alias("tags"))
-    return p.select("page_id", F.col("tags")["charset"].alias("charset"), F.col("tags")["lang"].alias("lang"))
-
-
 @query()
 def html_strip_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
@@ -220,9 +198,3 @@ def error_to_row(spark: SparkSession, sf: str) -> DataFrame:
 def gzip_preview(spark: SparkSession, sf: str) -> DataFrame:
     size, has = F.length("html").cast("long"), F.contains("html", F.lit("<article>"))
     return table(spark, sf, "pages").select("page_id", size.alias("size"), F.substring("html", 1, 5000).alias("preview"), has.alias("has_article"))
-
-
-@query(r"""SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) AS link FROM pages""")
-def source_link_extract(spark: SparkSession, sf: str) -> DataFrame:
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), 1))
-    return table(spark, sf, "pages").select("page_id", F.explode(links).alias("link"))

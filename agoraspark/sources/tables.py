@@ -83,14 +83,6 @@ def scan_column_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "source")
 
 
-@query("SELECT sha256(html) AS content_hash FROM pages")
-def scan_html_gz(spark: SparkSession, sf: str) -> DataFrame:
-    """Compressed text, a line a page (line feeds written as a mark and put back)."""
-    folder, mark = new_folder(spark, "html"), "␞"
-    table(spark, sf, "pages").select(F.replace("html", F.lit("\n"), F.lit(mark)).alias("value")).write.option("compression", "gzip").text(folder)
-    return spark.read.text(folder).select(F.sha2(F.replace("value", F.lit(mark), F.lit("\n")), 256).alias("content_hash"))
-
-
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     return export(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), new_folder(spark, "csv"), "csv")
