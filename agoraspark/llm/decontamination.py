@@ -1,15 +1,16 @@
-"""Operator 2, benchmark decontamination by lossless seeds, DataFrame functions only.
+"""Operator 2, benchmark decontamination by spaced seeds, DataFrame functions only.
 
 An overlap is confirmed where some `window` consecutive item tokens (the whole item, if shorter) agree in `agree` of all
 places. Items of fewer than WHOLE tokens must agree in all places; `shortest` can leave out items of fewer tokens than it
-says. Of w places of which k may differ, cut into k + 1 pieces, one
-piece has no difference: so every overlap holds a seed of w // (k + 1) consecutive tokens that agree, wherever the
-differences lie. Seeds of an item's length are laid over every position of every document and item; equal hashes give
-hits (document, item, diagonal). Around each hit the item is laid over the document and compared token by token.
+says. Each of the fixed MASKS reads six token places and ignores those between. They are laid over every position of every
+document and item, and equal hashes of what is read give hits (document, item, diagonal). However the places that may
+differ lie in a window of 12 to 20 tokens, some mask reads none of them at some position, so no overlap is lost (a test
+goes through all ways). Around each hit the item is laid over the document and compared token by token. An item of fewer
+than WHOLE tokens has one hash of all its tokens, and gives one hit a document, the first.
 
-Positions are looked at cheapest first: a seed can match only if all its tokens occur in the benchmark, which a bitmap of
-token hashes tells, of a fixed size whatever the benchmark; most positions end at their first tokens. The seeds of the
-benchmark are broadcast if a count shows them small, else joined by a shuffle; so are the hits.
+Positions are looked at cheapest first: a mask can match only if all tokens it reads occur in the benchmark, which a bitmap
+of token hashes tells, of a fixed size whatever the benchmark; most positions end at their first two tokens. The seeds of
+the benchmark are broadcast if a count shows them small, else joined by a shuffle; so are the hits.
 
 Edge cases: tokens are runs of letters and digits, lower-cased; null and empty texts have none and are clean; items
 without tokens match nothing; repeated rows are judged alike; equal items are reported each; an empty benchmark leaves all
@@ -18,7 +19,9 @@ clean; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
+from itertools import combinations
+from math import ceil
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +31,8 @@ from agoraspark.llm.common import fingerprint, packed, saved, small, table
 
 #: Items of fewer tokens must agree whole.
 WHOLE = 12
-#: Tokens of the longest seed.
-LONGEST = 4
+#: The places that each mask reads (1) and ignores (0).
+MASKS = ("1101111", "1111000101", "11001000111", "1111010000001")
 BITMAP = 1 << 16
 
 
@@ -49,27 +52,30 @@ def vocabulary(bench: DataFrame) -> Column:
     return F.array(*[F.lit(known.get(i, 0)).cast("long") for i in range(BITMAP // 64)])
 
 
-def seed_length(m: Column, window: int = 20, agree: float = 0.8) -> Column:
-    """The tokens of the seeds of an item of m tokens."""
-    wide = F.least(F.lit(window), m)
-    differ = F.when(m < WHOLE, 0).otherwise(F.floor(wide - wide * agree + 1e-9))
-    return F.least(F.lit(LONGEST), F.floor(wide / (differ + 1))).cast("int")
+@cache
+def covered(wide: int, agree: float) -> bool:
+    """Whether some mask reads none of the places that differ, however as many as may lie in a window of so many tokens."""
+    laid = [frozenset(at + i for i, c in enumerate(m) if c == "1") for m in MASKS for at in range(wide - len(m) + 1)]
+    return all(any(m.isdisjoint(differ) for m in laid) for differ in combinations(range(wide), wide - ceil(wide * agree - 1e-9)))
 
 
-def seeds(rows: DataFrame, ids: str, lengths: list[int], *keep: str) -> DataFrame:
-    """(keep..., at, seed_length, seed): the hashes of the token ids at all positions; a null id matches nothing."""
+def seeds(rows: DataFrame, ids: str, whole: list[int], *keep: str) -> DataFrame:
+    """(keep..., at, kind, seed): what each mask (kind: its number), and each run of `whole` tokens (kind: minus its length),
+    reads at each position of the token ids; a null id matches nothing."""
     there = lambda p, places: reduce(and_, [F.get(ids, p + i).isNotNull() for i in places])
-    least = min(lengths)
 
-    def of(n: int) -> Column:
-        starts = F.filter("_starts", lambda p: there(p, range(least, n))) if n > least else F.col("_starts")
-        seed = lambda p: F.xxhash64(F.lit(n), *[F.get(ids, p + i) for i in range(n)])
-        return F.transform(starts, lambda p: F.struct(p.alias("at"), F.lit(n).alias("seed_length"), seed(p).alias("seed")))
+    def of(kind: int, places: list[int]) -> Column:
+        begin = "_ones" if len(places) == 1 else "_twos"
+        starts = F.filter(begin, lambda p: there(p, places[2:])) if places[2:] else F.col(begin)
+        seed = lambda p: F.xxhash64(F.lit(kind), *[F.get(ids, p + i) for i in places])
+        return F.transform(starts, lambda p: F.struct(p.alias("at"), F.lit(kind).alias("kind"), seed(p).alias("seed")))
 
-    starts = F.filter(F.sequence(F.lit(0), F.size(ids) - least), lambda p: there(p, range(least)))
-    starts = F.when(F.size(ids) >= least, starts).otherwise(F.array().cast("array<int>"))
+    none, least = F.array().cast("array<int>"), 1 if 1 in whole else 2
+    ones = F.when(F.size(ids) >= least, F.filter(F.sequence(F.lit(0), F.size(ids) - least), lambda p: there(p, [0]))).otherwise(none)
+    every = [of(k, [i for i, c in enumerate(m) if c == "1"]) for k, m in enumerate(MASKS)] + [of(-n, list(range(n))) for n in whole]
     # No filter here, and an outer inline, which infers none: pushed down, it would compute the ids anew for each place.
-    return rows.withColumn("_starts", starts).select(*keep, F.inline_outer(F.concat(*[of(n) for n in lengths])))
+    rows = rows.withColumn("_ones", ones).withColumn("_twos", F.filter("_ones", lambda p: there(p, [1])))
+    return rows.select(*keep, F.inline_outer(F.concat(*every)))
 
 
 def overlaps(
@@ -77,22 +83,28 @@ def overlaps(
 ) -> DataFrame:
     """(doc, item, at, tokens_agreeing): the confirmed overlaps; doc is 128 bits of key and text, at the diagonal."""
     bench = items.select(F.col(item).alias("item"), hashed(F.col("text")).alias("item_ids")).where(F.size("item_ids") >= max(1, shortest))
-    bench = saved(bench.withColumn("own_length", seed_length(F.size("item_ids"), window, agree)))
-    lengths = sorted(r[0] for r in bench.select("own_length").distinct().collect()) or [LONGEST]
-    first = F.when(F.size("item_ids") < WHOLE, 0)  # an item that agrees whole does so from its first token
-    probe = seeds(bench.withColumn("only", first), "item_ids", lengths, "item", "own_length", "only")
-    probe = probe.where("seed_length = own_length and at = coalesce(only, at)").select("item", F.col("at").alias("item_at"), "seed")
-    probe, bench = small(probe), bench.drop("own_length")
+    bench, m = saved(bench), F.size("item_ids")
+    wide = [r[0] for r in bench.where(m >= WHOLE).select(F.least(F.lit(window), m)).distinct().collect()]
+    if lost := [n for n in sorted(wide) if not covered(n, agree)]:
+        raise ValueError(f"the masks do not find every overlap of {lost[0]} tokens that agrees in {agree} of them")
+    whole = sorted(r[0] for r in bench.where(m < WHOLE).select(m).distinct().collect())
+    kind = F.when(m < WHOLE, -m)
+    probe = seeds(bench.withColumn("own", kind), "item_ids", whole, "item", "own")
+    probe = probe.where("if(own is null, kind >= 0, kind = own and at = 0)").select("item", F.col("at").alias("item_at"), "seed")
+    probe = small(probe)
     known = vocabulary(bench)
     texts = docs.select(fingerprint(key, "text").alias("doc"), "text").where("text <> ''")
     in_bench = lambda t: F.getbit(known[F.shiftright(t.bitwiseAND(F.lit(BITMAP - 1)), 6).cast("int")], t.bitwiseAND(F.lit(63)).cast("int")) == 1
     marked = F.transform(hashed(F.col("text")), lambda t: F.when(in_bench(t), t))
-    laid = seeds(texts.select("doc", marked.alias("ids")), "ids", lengths, "doc")
-    hits = saved(laid.join(probe, "seed").select("doc", "item", (F.col("at") - F.col("item_at")).alias("at")).distinct())
+    laid = seeds(texts.select("doc", marked.alias("ids")), "ids", whole, "doc").join(probe, "seed")
+    laid = laid.select("doc", "item", "kind", (F.col("at") - F.col("item_at")).alias("at"))
+    # A whole item's first place tells all; of a mask's, every diagonal is a hit of its own.
+    hits = laid.groupBy("doc", "item", F.when(F.col("kind") >= 0, F.col("at")).alias("diagonal")).agg(F.min("at").alias("at"))
+    hits = saved(hits.drop("diagonal"))
     found = texts.join(small(hits.select("doc").distinct()), "doc", "left_semi").dropDuplicates(["doc"])
     both = found.select("doc", hashed(F.col("text")).alias("ids")).join(small(hits), "doc").join(small(bench), "item")
     same = F.transform("item_ids", lambda t, i: F.when(F.get("ids", i + F.col("at")) == t, 1).otherwise(0))
-    m, wide = F.size("item_ids"), F.least(F.lit(window), F.size("item_ids"))
+    wide = F.least(F.lit(window), m)
     need = F.when(m < WHOLE, m).otherwise(wide * agree)
     both = both.select("doc", "item", "at", same.alias("same"), m.alias("m"), wide.alias("wide"), need.alias("need"))
     both = both.where(F.aggregate("same", F.lit(0), lambda a, x: a + x) >= F.col("need"))

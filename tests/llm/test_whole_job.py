@@ -43,15 +43,33 @@ def test_op5_strings_keep_their_own_counts(spark):
     assert value[0] > 0.5 and value[1] < -0.5
 
 
-def test_op2_seeds_cover_every_pattern(spark):
-    """Every way to differ in as many places as are allowed leaves a whole seed."""
-    sizes = range(decontamination.WHOLE, 31)
-    found = spark.createDataFrame([(m,) for m in sizes], "m int").select("m", decontamination.seed_length(F.col("m"))).collect()
-    for m, n in found:
-        wide = min(m, 20)
+def test_op2_masks_cover_every_pattern():
+    """However the places that may differ lie, a mask reads none of them; every mask ignores places between those it reads."""
+    for m in decontamination.MASKS:
+        assert m.count("1") >= 6 and "0" in m.strip("0") and m.startswith("11") and m.endswith("1")
+    for size in range(decontamination.WHOLE, 31):
+        wide = min(size, 20)
+        laid = [sum(1 << at + i for i, c in enumerate(m) if c == "1") for m in decontamination.MASKS for at in range(wide - len(m) + 1)]
         for differ in combinations(range(wide), wide - -(-wide * 8 // 10)):
-            cuts = [-1, *differ, wide]
-            assert max(b - a - 1 for a, b in zip(cuts, cuts[1:], strict=False)) >= n, (m, differ)
+            gone = sum(1 << i for i in differ)
+            assert any(not m & gone for m in laid), (size, differ)
+
+
+def test_op2_says_if_the_masks_miss_overlaps(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(30)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "t1 t2")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="masks"):
+        decontamination.overlaps(docs, bench, agree=0.5)
+
+
+def test_op2_common_short_items_are_one_hit_a_document(spark):
+    """An item of one common word is found once in each document, whatever its place and number there."""
+    docs = [(i, "the " * (i % 50) + "word the end the") for i in range(200)] + [(300, "then"), (301, "others")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "The"), (2, "the end")], "item_id long, text string")
+    found = decontamination.overlaps(docs, bench).groupBy("doc", "item").count().collect()
+    assert len(found) == 400 and {r["count"] for r in found} == {1}
+    assert decontamination.decontaminate(docs, bench).count() == 2 and decontamination.decontaminate(docs, bench, shortest=3).count() == 202
 
 
 @pytest.mark.parametrize("m", [12, 15, 16])
