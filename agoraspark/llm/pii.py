@@ -1,11 +1,12 @@
 """Operator 3, PII: base patterns, and what a character-level BiLSTM-CRF adds to them.
 
 The tagger is trained in numpy from labelled spans (tagger.py) and sent to the tasks, some 100 kB. Personal data has a
-digit, an @, or a spelled-out "at" or "dot"; the stretches of text within REACH characters of one are read in overlapping
-windows. The windows' scores are reconciled over the whole stretch: each position takes the mean of the windows that
+digit, an @, or a spelled-out "at" or "dot"; the stretches of text within REACH characters of one, and on to the next white
+space whatever its distance, are read in overlapping windows. The windows' scores are reconciled over the whole stretch: each position takes the mean of the windows that
 cover it, weighted by how far it is from their edges, and one Viterbi pass decodes the stretch, so that no seam can break
-a span. Runs of one kind are the spans. Those that overlap a base span go, and those that can't be of their kind: a card
-must pass Luhn, an address of four numbers stay under 256, an email have its host, a phone 7 to 15 digits.
+a span. Runs of one kind are the spans; an email begins where its run of letters, digits and marks does, however long. Those
+that overlap a base span go, and those that can't be of their kind: a card must pass Luhn, an address of four numbers stay
+under 256, an email have its host, a phone 7 to 15 digits; no number may be a part of a longer one, or a book's.
 
 Edge cases: null and empty texts have no spans; texts of any length are read whole, in batches of windows; repeated rows
 are read alike; an empty table gives no rows; extra columns are ignored.
@@ -33,12 +34,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]|[(\[{] ?(?:at|dot) ?[)\]}]|\b(?:dot|DOT)\b")
-NUMBER = re.compile(r"[0-9]+")
+NUMBER, SPACE = re.compile(r"[0-9]+"), re.compile(r"\s")
+#: A number goes on before or behind a span.
+BEFORE, BEHIND = re.compile(r"[0-9][-./]?$"), re.compile(r"[-./]?[0-9]")
 #: An email with its host, spelled in any way: in brackets, or with both words bare.
 EMAIL = re.compile(
     r"(?i)[a-z0-9._%+-]+(?:(?:\s*@\s*|\s*[(\[{]\s*(?:@|at)\s*[)\]}]\s*)[a-z0-9-]+(?:(?:\.|\s*[(\[{]\s*(?:\.|dot)\s*[)\]}]\s*|\s+dot\s+)[a-z0-9-]+)+"
-    r"|\s+at\s+[a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+)"
+    r"|\s+at\s+[a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)*\s+dot\s+[a-z]{2,4})"
 )
+#: What no span ends with.
+ENDS = " \t\r\n.,;:!?"
 REACH, STEP, BATCH = 40, 32, 2048
 
 
@@ -71,10 +76,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """The stretches within REACH characters of what personal data cannot be without, joined up."""
+    """The stretches within REACH characters of what personal data cannot be without, on to white space, joined up."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
+        if out and m.end() + REACH <= out[-1][1]:
+            continue
         low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        while low and not text[low - 1].isspace() and not (out and low <= out[-1][1]):
+            low -= 1
+        high = after.start() if (after := SPACE.search(text, high)) else len(text)
         if out and low <= out[-1][1]:
             out[-1][1] = high
         else:
@@ -126,7 +136,25 @@ def plausible(kind: str, text: str) -> bool:
         return EMAIL.fullmatch(text) is not None
     if kind == "ip":
         return len(numbers) == 4 and all(int(x) <= 255 for x in numbers)
-    return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 7 <= len(digits) <= 15
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 7 <= len(digits) <= 15 and not book(text, digits)
+
+
+def book(text: str, digits: str) -> bool:
+    """Whether a number with hyphens is a book's: its last digit checks the others."""
+    if "-" not in text or len(digits) not in (10, 13):
+        return False
+    if len(digits) == 13:
+        return digits[:3] in ("978", "979") and sum(int(d) * (1 + 2 * (i % 2)) for i, d in enumerate(digits)) % 10 == 0
+    return text.count("-") == 3 and sum(int(d) * (10 - i) for i, d in enumerate(digits)) % 11 == 0
+
+
+def whole(kind: str, text: str, a: int, b: int) -> int | None:
+    """Where a span of a kind really begins; None if it is a part of something longer."""
+    if kind == "email":
+        while a and text[a - 1] in LOCAL_CHARS:
+            a -= 1
+        return a
+    return None if BEFORE.search(text, max(0, a - 2), a) or BEHIND.match(text, b) else a
 
 
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
@@ -139,8 +167,9 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
         for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(tags)).tolist(), strict=True):
             if kind[a]:
                 name, piece = KINDS[kind[a] - 1], texts[row][low + a : low + b]
-                a, b = low + a + len(piece) - len(piece.lstrip()), low + b - len(piece) + len(piece.rstrip())
-                if b > a and plausible(name, texts[row][a:b]):
+                a, b = low + a + len(piece) - len(piece.lstrip()), low + b - len(piece) + len(piece.rstrip(ENDS))
+                a = whole(name, texts[row], a, b) if b > a else None
+                if a is not None and plausible(name, texts[row][a:b]) and not (out[row] and a < out[row][-1][2]):
                     out[row].append((name, a, b))
     return out
 

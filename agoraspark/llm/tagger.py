@@ -51,12 +51,15 @@ class Writer:
         word = "".join(self.rng.choices(self.SYLLABLES, k=self.rng.randint(1, 4)))
         return word.capitalize() if self.rng.random() < 0.15 else word.upper() if self.rng.random() < 0.06 else word
 
-    def name(self) -> str:
-        return "".join(self.rng.choices("abcdefghijklmnopqrstuvwxyz", k=self.rng.randint(2, 8)))
+    def name(self, most: int = 8) -> str:
+        if self.rng.random() < 0.3:
+            return "".join(self.rng.choices([x for x in self.SYLLABLES if x.isascii()], k=self.rng.randint(1, max(1, most // 3))))
+        return "".join(self.rng.choices("abcdefghijklmnopqrstuvwxyz", k=self.rng.randint(1, most)))
 
     def email(self, plain: bool) -> str:
-        local = self.pick([self.name(), self.name() + "." + self.name(), self.name() + self.digits(2), self.name() + "_" + self.name(), self.name() + "." + self.digits(2)])
-        host = [self.pick([self.name(), self.name() + self.digits(1), "mail" + self.digits(1) + "." + self.name()]), self.pick(["com", "org", "net", "de", "fr", "es"])]
+        local = self.pick([self.name(), self.name() + "." + self.name(), self.name() + self.digits(2), self.name() + "_" + self.name(), self.name() + "." + self.digits(2), self.name(14), self.name(14), self.name() + "-" + self.name() + "+" + self.name(4), self.name(40)])
+        local = local.capitalize() if self.rng.random() < 0.1 else local
+        host = [self.pick([self.name(), self.name(14), self.name() + "-" + self.name(), self.name() + self.digits(1), "mail" + self.digits(1) + "." + self.name()]), self.pick(["com", "com", "org", "net", "edu", "gov", "de", "fr", "es", "it", "io", "eu", "co.uk", self.name(3)])]
         at = self.pick([" (at) ", "(at)", " [at] ", "[at]", " @ ", " {at} ", " at ", " AT "])
         dot = " dot " if at == " at " else " DOT " if at == " AT " else self.pick([".", " dot ", "(dot)", " (dot) ", "[dot]"])
         return local + "@" + ".".join(host) if plain else local + at + dot.join(host)
@@ -72,7 +75,11 @@ class Writer:
 
     def phone(self, plain: bool) -> str:
         styles = ["+{a} ({b}) {c}-{d}", "+{a} {b} {c} {d}", "+{a}-{b}-{c}-{d}"] if plain else ["({b}) {c}-{d}", "{b}-{c}-{d}", "{b}.{c}.{d}", "00{a} {b} {c} {d}", "00{a} ({b}) {c}-{d}"]
-        return self.pick(styles).format(a=self.digits(self.pick([1, 2])), b=self.digits(3), c=self.digits(3), d=self.digits(4))
+        national = ["0{b}/{c}{d}", "0{b} {c}{d}", "0{p} {p} {p} {p} {p}", "0{p}.{p}.{p}.{p}.{p}", "(0{b}) {d} {d}", "(0{p}) {d}{c}", "0{p}-{d}{c}", "{b} {c} {b}", "9{p} {b} {p} {p}"]
+        style = self.pick(styles if plain or self.rng.random() < 0.5 else national)
+        while "{p}" in style:
+            style = style.replace("{p}", self.digits(1 if style.startswith("0{p}") and "/" not in style and style.count("{p}") == 5 else 2), 1)
+        return style.format(a=self.digits(self.pick([1, 2])), b=self.digits(3), c=self.digits(3), d=self.digits(4))
 
     def entity(self, kind: str, plain: bool) -> str:
         return getattr(self, kind)(plain)
@@ -83,6 +90,8 @@ class Writer:
         return self.pick([
             d(4), d(1) + "." + d(1), "v" + d(1) + "." + d(2) + "." + d(1), d(2) + "/" + d(2) + "/" + d(4), d(4) + "-" + d(2) + "-" + d(2), "@" + name(), d(3) + " " + name(), d(2) + ":" + d(2),
             "".join(self.rng.choices("0123456789abcdef", k=20)), d(6), d(8), d(10), d(11), d(20), d(24), "sk-" + name() + d(6), name() + " at " + name(), "at " + d(2), "dot " + name(),
+            "978-" + d(1) + "-" + d(3) + "-" + d(5) + "-" + d(1), d(1) + "-" + d(3) + "-" + d(5) + "-" + d(1), "979-" + d(2) + "-" + d(4) + "-" + d(3) + "-" + d(1), d(4) + "-" + d(2) + "-" + d(2) + " " + d(2) + ":" + d(2) + ":" + d(2),
+            "DE" + d(2) + " " + " ".join(d(4) for _ in range(4)) + " " + d(2), "FR" + d(2) + d(10) + d(10), d(2) + " " + name() + " " + d(4), d(2) + "." + d(2) + "." + d(4) + " " + d(2) + ":" + d(2), d(1) + "," + d(3) + "," + d(3), name(14) + " at " + name() + " " + d(1),
             "(" + d(4) + ")", d(2) + "." + d(2) + "." + d(4), d(3) + "." + d(3), d(3) + "-" + d(2), d(4) + "." + d(4), "$" + d(3) + "." + d(2), d(5) + "-" + d(4), name() + "[" + d(1) + "]", d(1) + ". " + name(), d(2) + " . " + d(2),
         ])
 
@@ -97,8 +106,8 @@ def labelled_examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         text, spans = "", []
         while len(text) < WINDOW + 32:
             draw = w.rng.random()
-            kind = w.pick(("email", *KINDS)) if draw < 0.22 else None
-            piece = w.entity(kind, w.rng.random() < 0.4) if kind else w.other() if draw < 0.45 else w.word()
+            kind = w.pick(("email", "email", "phone", *KINDS)) if draw < 0.26 else None
+            piece = w.entity(kind, w.rng.random() < 0.4) if kind else w.other() if draw < 0.48 else w.word()
             if kind:
                 spans.append((kind, len(text), len(text) + len(piece)))
             text += piece + w.pick([" "] * 9 + [", ", ".\n", "### ", "; ", "!! ", "%%% ", "\n"])
@@ -213,8 +222,9 @@ class Tagger:
             slope["E"] += by_char @ self.p["X" + d].T
         return float((z - gold).mean()), {k: (v / batch).astype(e.dtype) for k, v in slope.items()}
 
-    def fit(self, examples: list[tuple[str, list[Span]]], steps: int, batch: int = 64, rate: float = 0.02, seed: int = 4) -> Tagger:
-        """Adam over random batches, its rate falling to a twentieth."""
+    def fit(self, examples: list[tuple[str, list[Span]]], steps: int, batch: int = 64, rate: float | None = None, seed: int = 4) -> Tagger:
+        """Adam over random batches, its rate falling to a twentieth; the more steps, the lower it begins."""
+        rate = rate or min(0.03, 26 / steps)
         rng = np.random.default_rng(seed)
         x = np.stack([encoded(t) for t, _ in examples])
         y = np.zeros_like(x)
@@ -255,21 +265,23 @@ class Tagger:
 
 
 @lru_cache(maxsize=2)
-def trained(examples: int = 4000, steps: int = 350, seed: int = 1) -> Tagger:
+def trained(examples: int = 9000, steps: int = 1300, seed: int = 1) -> Tagger:
     """The tagger, trained once a process, always to the same weights."""
     return Tagger(dtype=np.float32).fit(labelled_examples(examples, seed), steps)
 
 
 def stored(spark: SparkSession) -> Tagger:
-    """The tagger of the shared folder, which is trained and put there if this code has not done so before."""
+    """The tagger of the shared folder, which is trained and put there if this code has not done so before, or not to the end."""
     path = f"{shared_dir(spark)}/tagger-{hashlib.sha256(Path(__file__).read_bytes()).hexdigest()[:16]}"
-    tagger = Tagger(dtype=np.float32)
+    tagger, found = Tagger(dtype=np.float32), {}
     try:
-        found = spark.read.parquet(path).collect()
+        found = {r["name"]: bytes(r["weights"]) for r in spark.read.parquet(path).collect()}
     except AnalysisException:
-        tagger = trained()
-        rows = [(name, bytearray(w.astype("<f4").tobytes())) for name, w in tagger.p.items()]
-        spark.createDataFrame(rows, "name string, weights binary").coalesce(1).write.mode("ignore").parquet(path)
+        pass
+    if {k: len(w) for k, w in found.items()} == {k: 4 * w.size for k, w in tagger.p.items()}:
+        tagger.p = {k: np.frombuffer(found[k], "<f4").reshape(w.shape) for k, w in tagger.p.items()}
         return tagger
-    tagger.p = {r["name"]: np.frombuffer(bytes(r["weights"]), "<f4").reshape(tagger.p[r["name"]].shape) for r in found}
+    tagger = trained()
+    rows = [(name, bytearray(w.astype("<f4").tobytes())) for name, w in tagger.p.items()]
+    spark.createDataFrame(rows, "name string, weights binary").coalesce(1).write.mode("overwrite").parquet(path)
     return tagger
