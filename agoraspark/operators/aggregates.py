@@ -80,17 +80,6 @@ def agg_unique_speakers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(SPEECHES + """, r AS (SELECT debate_id, count(gender) / count(*) AS rate FROM s GROUP BY debate_id)
-SELECT CAST(count(*) FILTER (rate = 1) AS BIGINT) AS whole, CAST(count(*) FILTER (rate > 0.5) AS BIGINT) AS over_half, CAST(count(*) FILTER (rate > 0) AS BIGINT) AS any_matched,
-round(avg(rate), 6) AS mean_rate, round(median(rate), 6) AS median_rate FROM r""")
-def agg_debate_match_rates(spark: SparkSession, sf: str) -> DataFrame:
-    r = speeches(spark, sf).groupBy("debate_id").agg((F.count("gender") / F.count("*")).alias("rate"))
-    return r.agg(
-        F.count_if(F.col("rate") == 1).alias("whole"), F.count_if(F.col("rate") > 0.5).alias("over_half"),
-        F.count_if(F.col("rate") > 0).alias("any_matched"), F.round(F.avg("rate"), 6).alias("mean_rate"), F.round(F.median("rate"), 6).alias("median_rate"),
-    )
-
-
 MILESTONES = [(1907, "first"), (1918, "second"), (1928, "third")]
 
 
@@ -235,19 +224,6 @@ def agg_crosstab(spark: SparkSession, sf: str) -> DataFrame:
     return wide.withColumnsRenamed({"0": "toxic_0", "1": "toxic_1"})
 
 
-@query("""SELECT lang, min(n_chars) AS least, round(quantile_cont(n_chars, 0.25), 6) AS q25, round(quantile_cont(n_chars, 0.5), 6) AS mid, round(quantile_cont(n_chars, 0.75), 6) AS q75,
-max(n_chars) AS most FROM documents GROUP BY lang""")
-def agg_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    at = [F.round(F.percentile("n_chars", p), 6).alias(a) for p, a in ((0.25, "q25"), (0.5, "mid"), (0.75, "q75"))]
-    return table(spark, sf, "documents").groupBy("lang").agg(F.min("n_chars").alias("least"), *at, F.max("n_chars").alias("most"))
-
-
-@query("""SELECT lang, round(stddev_samp(n_chars), 4) AS sd, round(quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25), 6) AS iqr FROM documents GROUP BY lang""")
-def agg_std_iqr(spark: SparkSession, sf: str) -> DataFrame:
-    iqr = F.percentile("n_chars", 0.75) - F.percentile("n_chars", 0.25)
-    return table(spark, sf, "documents").groupBy("lang").agg(F.round(F.stddev_samp("n_chars"), 4).alias("sd"), F.round(iqr, 6).alias("iqr"))
-
-
 @query(DOCUMENTS + """SELECT year, CAST(sum(word_count) AS BIGINT) AS words, round(avg(word_count), 2) AS mean_words, CAST(count(*) AS BIGINT) AS n,
 CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(n_chars), 2) AS mean_chars FROM d GROUP BY year""")
 def agg_multi_stat_year(spark: SparkSession, sf: str) -> DataFrame:
@@ -342,11 +318,6 @@ def agg_first_threshold_year(spark: SparkSession, sf: str) -> DataFrame:
     return y.agg(first(F.col("pct") > 0).alias("any_female"), first(F.col("pct") >= 50).alias("half"), first(F.col("pct") >= 55).alias("most"))
 
 
-@query("""SELECT CAST(year(o_orderdate) AS BIGINT) AS year, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers FROM orders GROUP BY 1""")
-def agg_incremental_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.countDistinct("o_custkey").alias("customers"))
-
-
 @query("""WITH f AS (SELECT o_custkey, min(year(o_orderdate)) AS year FROM orders GROUP BY 1) SELECT CAST(year AS BIGINT) AS year, CAST(count(*) AS BIGINT) AS new_ids FROM f GROUP BY year""")
 def agg_log_new_assignments(spark: SparkSession, sf: str) -> DataFrame:
     first = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).cast("long").alias("year"))

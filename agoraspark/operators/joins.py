@@ -130,16 +130,6 @@ def join_fuzzy_levenshtein(spark: SparkSession, sf: str) -> DataFrame:
     return near_names(names("benchmark", "item_id", "a"), names("conversations", "conv_id", "b"), "year")
 
 
-@query(STINTS + """SELECT l_orderkey, l_linenumber, min(stint_id) AS stint_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN m ON person_id = o_custkey
-AND year(l_shipdate) BETWEEN year(begins) AND year(ends) GROUP BY 1, 2 HAVING count(*) = 1""")
-def join_active_member_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Active on any day of the year, and the only one."""
-    facts = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    both = facts.join(stints(spark, sf), F.col("o_custkey") == F.col("person_id"))
-    both = both.where(F.year("l_shipdate").between(F.year("begins"), F.year("ends")))
-    return both.groupBy("l_orderkey", "l_linenumber").agg(F.min("stint_id").alias("stint_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-
-
 def token_overlap(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, ratio): pairs of (a, tokens) and (b, tokens) that share at least this part of the smaller set, least over 0.
 

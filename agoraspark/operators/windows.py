@@ -63,13 +63,25 @@ def win_share_transform(spark: SparkSession, sf: str) -> DataFrame:
     return speeches(spark, sf).select("speech_id", F.round(part, 6).alias("part"))
 
 
-@query("""SELECT event_id, coalesce(last_value(CASE WHEN value > 50 THEN event_type END IGNORE NULLS) OVER
-(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), event_type) AS state FROM events""")
+def expanded(turns: DataFrame, debate: str = "debate_id", order: str = "sequence_number", speaker: str = "speaker") -> DataFrame:
+    """turns with short forms of speakers made whole: within a debate, "X" becomes the last "X (Y)" that came before. The
+    running state of (debate, X) is a window of its own, so a long debate is as many groups as it has speakers."""
+    named = F.trim(F.regexp_replace(F.trim(F.col(speaker)), r"\s+", " "))
+    full = F.contains(named, F.lit("(")) & F.contains(named, F.lit(")"))
+    rows = turns.withColumn("_named", named).withColumn("_short", F.when(full, F.trim(F.split_part(named, F.lit("("), F.lit(1)))).otherwise(named))
+    w = Window.partitionBy(debate, "_short").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.contains("_named", F.lit("(")) & F.contains("_named", F.lit(")")), F.col("_named")), ignorenulls=True).over(w)
+    return rows.withColumn(speaker, F.coalesce(last, "_named")).drop("_named", "_short")
+
+
+@query(SPEECHES + r""", t AS (SELECT debate_id, sequence_number, speech_id, CASE sequence_number % 4 WHEN 1 THEN ' The  ' || speaker || '   (Member for ' || word_count % 7 || ')' ELSE 'The ' || speaker END AS speaker FROM s),
+n AS (SELECT *, trim(regexp_replace(trim(speaker), '\s+', ' ', 'g')) AS named FROM t), k AS (SELECT *, trim(string_split(named, '(')[1]) AS short FROM n)
+SELECT speech_id, coalesce(last_value(CASE WHEN contains(named, '(') THEN named END IGNORE NULLS) OVER (PARTITION BY debate_id, short ORDER BY sequence_number), named) AS speaker FROM k""")
 def win_expand_short_speaker(spark: SparkSession, sf: str) -> DataFrame:
-    """The last full form met before stands in for the short one."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    full = F.last(F.when(F.col("value") > 50, F.col("event_type")), ignorenulls=True).over(w)
-    return table(spark, sf, "events").select("event_id", F.coalesce(full, "event_type").alias("state"))
+    n = F.col("sequence_number")
+    named = F.when(n % 4 == 1, F.concat(F.lit(" The  "), "speaker", F.lit("   (Member for "), F.col("word_count") % 7, F.lit(")"))).otherwise(F.concat(F.lit("The "), "speaker"))
+    return expanded(speeches(spark, sf).withColumn("speaker", named)).select("speech_id", "speaker")
+
 
 
 @query("""SELECT o_orderkey, CAST(date_diff('day', o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS BIGINT) AS gap FROM orders""")

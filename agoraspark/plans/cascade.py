@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from agoraspark.functions.names import MISREAD
 from agoraspark.registry import query
+from agoraspark.session import new_folder
 from agoraspark.views import table
 
 #: The share of the confidence that a rewriting leaves.
@@ -329,7 +330,17 @@ z AS (SELECT mention_id, CASE WHEN guess IS NOT NULL THEN 'title_gender_inferenc
 """
 
 
+def written(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Mentions and register as stored tables, as a corpus has them."""
+    made = []
+    for df in (mentions_of(spark, sf), register_of(spark, sf)):
+        folder = new_folder(spark, "linkage")
+        df.write.parquet(folder)
+        made.append(spark.read.schema(df.schema).parquet(folder))
+    return made[0], made[1]
+
+
 @query(TABLES + SQL + "SELECT * FROM z")
 def match_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """Every mention's person, by the whole cascade."""
-    return cascade(mentions_of(spark, sf), register_of(spark, sf))
+    return cascade(*written(spark, sf))
