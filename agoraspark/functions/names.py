@@ -15,7 +15,6 @@ TITLES = ["mr", "mrs", "ms", "miss", "dr", "sir", "lord", "lady", "dame", "visco
 FEMALE_TITLES = ["mrs", "ms", "miss", "lady", "dame", "baroness", "duchess", "countess"]
 MALE_TITLES = ["mr", "sir", "lord", "viscount", "earl", "duke", "baron"]
 
-PROCEDURAL = ["system", "speaker", "clerk"]
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 
 
@@ -154,12 +153,6 @@ def fn_clean_speaker_match(spark: SparkSession, sf: str) -> DataFrame:
     return speaker_names(spark, sf).select("id", clean_match(F.col("name")).alias("matchable"))
 
 
-@query("SELECT conv_id, turn, regexp_matches(lower(role), 'system|speaker|clerk') AS procedural FROM conversations")
-def fn_is_procedural(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.lower("role").rlike("|".join(PROCEDURAL)).alias("procedural"))
-
-
 @query(NAMES + r"SELECT id, nullif(regexp_extract(name, '\(([A-Za-z. ]+)\)?$', 1), '') AS inside FROM n")
 def fn_titled_name(spark: SparkSession, sf: str) -> DataFrame:
     return speaker_names(spark, sf).select("id", F.nullif(F.regexp_extract("name", r"\(([A-Za-z. ]+)\)?$", 1), F.lit("")).alias("inside"))
@@ -195,13 +188,6 @@ def fn_name_key(spark: SparkSession, sf: str) -> DataFrame:
     return speaker_names(spark, sf).select("id", name_key(F.col("name")).alias("name_key"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct([p_name, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), substr(p_name, 1, 1) || ' ' || split_part(p_name, ' ', 2)])), ',') AS aliases FROM part""")
-def fn_alias_generate(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
-    forms = F.array(F.col("p_name"), F.concat_ws(" ", b, a), F.concat_ws(" ", F.substring("p_name", 1, 1), b))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(forms)), ",").alias("aliases"))
-
-
 @query(r"SELECT p_partkey, regexp_replace(split_part(p_name, ' ', 1) || ', ' || split_part(p_name, ' ', 2), '^([^,]+),\s*(.+)$', '\2 \1') AS swapped FROM part")
 def fn_comma_swap(spark: SparkSession, sf: str) -> DataFrame:
     name = F.regexp_replace("p_name", "^([^ ]+) ", "$1, ")
@@ -263,12 +249,6 @@ def fn_first_name_extract(spark: SparkSession, sf: str) -> DataFrame:
     return speaker_names(spark, sf).select("id", F.when((F.size(words) > 1) & (F.length(first) > 2), first).alias("first_name"))
 
 
-@query(NAMES + "SELECT id, len(list_intersect(string_split_regex(lower(name), '[ .*]+'), ['sir', 'dr', 'lord'])) > 0 AS has_honorific FROM n")
-def fn_contains_any_honorific(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.split(F.lower("name"), "[ .*]+")
-    return speaker_names(spark, sf).select("id", F.arrays_overlap(words, F.array(F.lit("sir"), F.lit("dr"), F.lit("lord"))).alias("has_honorific"))
-
-
 @query("""WITH a AS (SELECT doc_id, text, strpos(lower(text), 'license') AS p FROM documents), b AS (SELECT *, greatest(p - 40, 1) AS q FROM a WHERE p > 0), c AS (SELECT *, p - q + 7 + 40 AS n FROM b)
 SELECT doc_id, CASE WHEN q > 1 THEN '...' ELSE '' END || substr(text, q, n) || CASE WHEN q + n <= length(text) THEN '...' ELSE '' END AS excerpt FROM c""")
 def fn_excerpt(spark: SparkSession, sf: str) -> DataFrame:

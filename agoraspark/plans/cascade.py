@@ -70,6 +70,10 @@ def tidy(speaker: Column) -> Column:
     return F.regexp_replace(s, r"\bo'\s*([a-z])", "o'$1")
 
 
+def is_officer(tidied: Column) -> Column:
+    return tidied.rlike("|".join(x.replace(".", r"\.") for x in OFFICERS))
+
+
 def rewritten(speaker: Column) -> Column:
     """(text, via) of a speaker's next form; null if there is none."""
     named = lambda x: x.rlike(rf"^({NAMED})\.?\s+[A-Z]")
@@ -166,7 +170,7 @@ def cascade(mentions: DataFrame, register: DataFrame) -> DataFrame:
     tried = m.select("mention_id", "date", "chamber", F.posexplode(forms(F.coalesce("speaker", F.lit("")))).alias("depth", "f")).select("mention_id", "date", "chamber", "depth", "f.text", "f.via")
     kinds = tried.select("text", "date", "chamber").distinct()
     kinds = kinds.withColumn("tidied", tidy(F.col("text"))).withColumn("year", F.year("date"))
-    officer = F.col("tidied").rlike("|".join(x.replace(".", r"\.") for x in OFFICERS))
+    officer = is_officer(F.col("tidied"))
     words = F.filter(F.split("tidied", r"\s+"), lambda w: w != "")
     kinds = kinds.withColumn("officer", officer).withColumn("words", words).withColumn("bare", F.filter("words", lambda w: ~F.replace(w, F.lit("."), F.lit("")).isin(BARE)))
     end, before = F.try_element_at("bare", F.lit(-1)), F.try_element_at("bare", F.lit(-2))

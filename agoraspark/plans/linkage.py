@@ -243,28 +243,6 @@ def merge_append_hansard_only(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("person_id", F.lit("register").alias("origin")).unionByName(alone)
 
 
-def waterfall(*steps: tuple[Column, str]) -> Column:
-    """A struct (gender, source) of the first step that knows one."""
-    return F.coalesce(*[F.when(g.isNotNull(), F.struct(g.alias("gender"), F.lit(s).alias("source"))) for g, s in steps])
-
-
-@query(PEOPLE + """SELECT person_id, CASE WHEN given = 'small' THEN 'F' WHEN age > 40 THEN 'M' WHEN place = 'Brand#11' THEN 'F' WHEN person_id % 5 = 0 THEN gender END AS gender,
-CASE WHEN given = 'small' THEN 'register' WHEN age > 40 THEN 'before_cutoff' WHEN place = 'Brand#11' THEN 'list' WHEN person_id % 5 = 0 THEN 'first_name' END AS source FROM p""")
-def gender_waterfall_member(spark: SparkSession, sf: str) -> DataFrame:
-    known = waterfall(
-        (F.when(F.col("given") == "small", "F"), "register"), (F.when(F.col("age") > 40, "M"), "before_cutoff"),
-        (F.when(F.col("place") == "Brand#11", "F"), "list"), (F.when(F.col("person_id") % 5 == 0, F.col("gender")), "first_name"),
-    )
-    return people(spark, sf).select("person_id", known.alias("k")).select("person_id", "k.gender", "k.source")
-
-
-@query(SPEECHES + """SELECT speech_id, CASE WHEN speaker = 'user' THEN 'F' WHEN year < 1918 THEN 'M' ELSE 'UNK' END AS gender,
-CASE WHEN speaker = 'user' THEN 'details' WHEN year < 1918 THEN 'chamber_cutoff' ELSE 'none' END AS source FROM s""")
-def gender_waterfall_turn(spark: SparkSession, sf: str) -> DataFrame:
-    known = waterfall((F.when(F.col("speaker") == "user", "F"), "details"), (F.when(F.col("year") < 1918, "M"), "chamber_cutoff"), (F.lit("UNK"), "none"))
-    return speeches(spark, sf).select("speech_id", known.alias("k")).select("speech_id", "k.gender", "k.source")
-
-
 @query(SPEECHES + "SELECT debate_id, sequence_number, lower(speaker) AS speaker, word_count, CAST(length(text) AS BIGINT) AS char_count FROM s WHERE debate_id IN (SELECT debate_id FROM s WHERE gender = 'M')")
 def turnwise_explode(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of debates with a match only. They are rows already, so a semi join keeps them; no debate is put in an array."""

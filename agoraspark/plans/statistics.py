@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,16 +96,45 @@ def stat_margin(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").agg(F.round(1.96 * F.sqrt(F.lit(0.25) / F.count("*")), 6).alias("margin"))
 
 
-@query("""WITH c AS (SELECT lang, 1803 + doc_id % 3 AS year, count(*) AS n FROM documents GROUP BY 1, 2), e AS (SELECT c.lang, c.year, n, sum(n) OVER (PARTITION BY lang) * sum(n) OVER (PARTITION BY year) / sum(n) OVER () AS x FROM c)
-SELECT round(sum((n - x) * (n - x) / x), 6) AS chi2, CAST((count(DISTINCT lang) - 1) * (count(DISTINCT year) - 1) AS BIGINT) AS dof FROM e""")
+def upper_gamma(a: Column, x: Column, terms: int = 2000) -> Column:
+    """The regularised upper incomplete gamma function of a, a whole number or a half over 0, by the series of the lower one:
+    right to about 1e-12, which so is the least value that tells anything; terms bounds x to about terms / 2."""
+    half = a % 1 != 0
+    steps = F.sequence(F.lit(0), F.floor(a).cast("int"))
+    # ln gamma(a + 1) from ln gamma(1/2 or 1), one factor at a time.
+    begin = F.when(half, F.log(F.sqrt(F.lit(math.pi)))).otherwise(0.0)
+    whole = F.aggregate(steps, begin, lambda s, k: s + F.when(half, F.log(k + 0.5)).otherwise(F.when(k > 0, F.log(k.cast("double"))).otherwise(0.0)))
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), zero, lambda s, k: F.struct((s["term"] * x / (a + k)).alias("term"), (s["sum"] + s["term"] * x / (a + k)).alias("sum")))
+    lower = F.exp(a * F.log(x) - x - whole + F.log(total["sum"]))
+    return F.when(x <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - lower))
+
+
+def chi2_test(df: DataFrame, row: str, col: str) -> DataFrame:
+    """(chi2, dof, p) of the table of two columns' values, cells that don't occur included; with Yates' correction where it
+    has one degree of freedom. Only counts are joined; rows with a null in either column are left out."""
+    c = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(F.col(row).alias("r"), F.col(col).alias("k")).agg(F.count("*").alias("n"))
+    rows, cols = c.groupBy("r").agg(F.sum("n").alias("in_row")), c.groupBy("k").agg(F.sum("n").alias("in_col"))
+    sides = c.agg(F.sum("n").alias("total")).join(rows.agg(F.count("*").alias("nr"), F.sum(1 / F.col("in_row")).alias("ir")), how="cross").join(cols.agg(F.count("*").alias("nk"), F.sum(1 / F.col("in_col")).alias("ik")), how="cross")  # a row each
+    met = c.join(rows, "r").join(cols, "k").join(F.broadcast(sides), how="cross").withColumn("x", F.col("in_row") * F.col("in_col") / F.col("total"))
+    told = met.groupBy("total", "nr", "nk", "ir", "ik").agg(F.sum(F.col("n") * F.col("n") / F.col("x")).alias("s"), F.max(F.abs(F.col("n") - F.col("x"))).alias("off"))
+    dof = ((F.col("nr") - 1) * (F.col("nk") - 1)).alias("dof")
+    # All four cells of a 2 by 2 table are off by the same; absent cells of others add what is expected of them.
+    one = F.pow(F.col("off") - F.least(F.lit(0.5), F.col("off")), 2) * F.col("total") * F.col("ir") * F.col("ik")
+    chi2 = F.when(dof == 1, one).when(dof == 0, 0.0).otherwise(F.col("s") - F.col("total"))
+    return told.select(chi2.alias("chi2"), dof).withColumn("p", F.when(F.col("dof") > 0, upper_gamma(F.col("dof") / 2, F.col("chi2") / 2)).otherwise(1.0))
+
+
+_CHI2 = """WITH c AS (SELECT lang, 1803 + doc_id % 3 AS year, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2), r AS (SELECT lang, sum(n) AS a FROM c GROUP BY 1), k AS (SELECT year, sum(n) AS b FROM c GROUP BY 1), t AS (SELECT sum(n) AS t FROM c),
+e AS (SELECT coalesce(n, 0) AS n, a * b / t AS x FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c USING (lang, year)), s AS (SELECT sum((n - x) * (n - x) / x) AS chi2, (SELECT (count(*) - 1) * ((SELECT count(*) FROM k) - 1) FROM r) AS dof FROM e)
+SELECT round(chi2, 6) AS chi2, CAST(dof AS BIGINT) AS dof, round(1 - list_sum(list_transform(range(0, 600), lambda i: exp((dof / 2 + i) * ln(chi2 / 2) - chi2 / 2 - lgamma(dof / 2 + i + 1)))), 6) AS p FROM s"""
+
+
+@query(_CHI2)
 def stat_chi2(spark: SparkSession, sf: str) -> DataFrame:
-    """Of a contingency table with all cells, without Yates' correction, which is for 2 by 2 alone."""
+    """Of languages and years."""
     d = table(spark, sf, "documents").select("lang", (F.lit(1803) + F.col("doc_id") % 3).alias("year"))
-    c = d.groupBy("lang", "year").agg(F.count("*").alias("n"))
-    rows, cols, whole = c.groupBy("lang").agg(F.sum("n").alias("r")), c.groupBy("year").agg(F.sum("n").alias("k")), c.agg(F.sum("n").alias("t"))
-    e = c.join(rows, "lang").join(cols, "year").crossJoin(whole).withColumn("x", F.col("r") * F.col("k") / F.col("t"))
-    dof = (F.countDistinct("lang") - 1) * (F.countDistinct("year") - 1)
-    return e.agg(F.round(F.sum((F.col("n") - F.col("x")) ** 2 / F.col("x")), 6).alias("chi2"), dof.alias("dof"))
+    return chi2_test(d, "lang", "year").select(F.round("chi2", 6).alias("chi2"), "dof", F.round("p", 6).alias("p"))
 
 
 def two_shares(spark: SparkSession, sf: str) -> DataFrame:
