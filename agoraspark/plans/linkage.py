@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from agoraspark.operators.joins import overlap_years, token_overlap
 from agoraspark.registry import query
@@ -262,18 +264,28 @@ def apply_corrections(spark: SparkSession, sf: str) -> DataFrame:
     return kept.join(fixes.where("action = 'UPDATE'"), "speech_id", "left").select("speech_id", F.coalesce("value", "speaker").alias("speaker"))
 
 
-def classify(rows: DataFrame, client: object, fields: str, key: str = "speech_id", done: DataFrame | None = None, retries: int = 3, calls: int = 0) -> DataFrame:
+def classify(rows: DataFrame, client: object, fields: str, key: str = "speech_id", done: DataFrame | None = None, retries: int = 3, calls: int = 0, wait: float = 0.0) -> DataFrame:
     """(key, fields..., error): each row asked of an outside model. client(text) gives a dict; what fails after its retries
-    is a row with the error. Rows that are in `done` are not asked again. calls: partitions that call at a time."""
+    is a row with the error. Rows that are in `done` are not asked again. calls: partitions that
+    call at a time. wait: seconds before the second try, doubled before each further one."""
+
+    kind = rows.schema[key].dataType.simpleString()
+    names = [key, *(x.strip().split(" ")[0] for x in fields.split(",")), "error"]
+    shape = StructType.fromDDL(f"{key} {kind}, {fields}, error string")
+    arrow = to_arrow_schema(shape)
+
+    def ask(batches: Iterator) -> Iterator:
+        import time
 
-    def ask(frames):  # noqa: ANN001, ANN202
-        import pandas as pd
+        import pyarrow as pa
 
-        for frame in frames:
+        for batch in batches:
             out = []
-            for k, text in zip(frame[key], frame["text"], strict=True):
+            for k, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist(), strict=True):
                 error = None
-                for _ in range(retries):
+                for nth in range(retries):
+                    if nth and wait:
+                        time.sleep(wait * 2 ** (nth - 1))
                     try:
                         out.append({key: k, **client(text), "error": None})
                         break
@@ -281,26 +293,14 @@ def classify(rows: DataFrame, client: object, fields: str, key: str = "speech_id
                         error = f"{type(e).__name__}: {e}"
                 else:
                     out.append({key: k, "error": error})
-            yield pd.DataFrame(out, columns=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in out], arrow.field(c).type) for c in names], schema=arrow)
 
-    kind = rows.schema[key].dataType.simpleString()
-    names = [key, *(x.strip().split(" ")[0] for x in fields.split(",")), "error"]
     open_rows = rows.select(key, "text") if done is None else rows.select(key, "text").join(done.select(key), key, "left_anti")
     open_rows = open_rows.repartition(calls) if calls else open_rows
-    return open_rows.mapInPandas(ask, f"{key} {kind}, {fields}, error string")
-
+    return open_rows.mapInArrow(ask, shape)
 
 
 def _stub(text: str | None) -> dict:
     if not text:
         raise ValueError("empty")
     return {"stance": "for" if len(text) % 2 else "against", "confidence": 0.5}
-
-
-@query(SPEECHES + "SELECT speech_id, CASE WHEN length(text) % 2 = 1 THEN 'for' ELSE 'against' END AS stance, 0.5::DOUBLE AS confidence FROM s")
-def llm_classify(spark: SparkSession, sf: str) -> DataFrame:
-    """With a stub for the outside model."""
-    from agoraspark.session import ship
-
-    ship(spark)
-    return classify(speeches(spark, sf), _stub, "stance string, confidence double").select("speech_id", "stance", "confidence")

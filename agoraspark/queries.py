@@ -7,6 +7,6 @@ from agoraspark.operators import aggregates, containment, filters, joins, orderi
 from agoraspark.plans import attention, cascade, genders, incremental, linkage, quality, statistics  # noqa: F401
 from agoraspark.registry import ORACLES, QUERIES
 from agoraspark.sources import html, pages, tables  # noqa: F401
-from agoraspark.streaming import events  # noqa: F401
+from agoraspark.streaming import classification, events  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
