@@ -83,11 +83,14 @@ def match_ambiguous_gender(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(PEOPLE + """SELECT mention_id, arg_min(r.person_id, struct_pack(a := abs(r.age - m.age) > 5, b := r.person_id)) AS person_id FROM m JOIN r USING (name) GROUP BY 1""")
 def match_lookup_person(spark: SparkSession, sf: str) -> DataFrame:
-    """By name; of several the one who fits the time, else the first."""
+    """By name; of several the one who fits the time, else the first. The register is one row for each name and age, and one
+    for each name, and a mention looks at the ages that fit it: no pairs of all who bear a name."""
     r, m = register_and_mentions(spark, sf)
-    both = m.select("mention_id", "name", "age").join(r.select("name", "person_id", F.col("age").alias("r_age")), "name")
-    first = F.min(F.struct((F.abs(F.col("r_age") - F.col("age")) > 5).alias("off"), "person_id"))
-    return both.groupBy("mention_id").agg(first.alias("x")).select("mention_id", F.col("x.person_id").alias("person_id"))
+    aged = r.groupBy("name", F.col("age").alias("at")).agg(F.min("person_id").alias("fits"))
+    named = r.groupBy("name").agg(F.min("person_id").alias("first"))
+    near = m.select("mention_id", "name", F.explode(F.sequence(F.col("age") - 5, F.col("age") + 5)).alias("at")).join(aged, ["name", "at"])
+    near = near.groupBy("mention_id").agg(F.min("fits").alias("fits"))
+    return m.select("mention_id", "name").join(named, "name").join(near, "mention_id", "left").select("mention_id", F.coalesce("fits", "first").alias("person_id"))
 
 
 @query(CASCADE + """SELECT CASE WHEN match_type IN ('exact', 'place', 'surname') AND confidence >= 0.6 THEN 'accepted' WHEN match_type = 'ambiguous' THEN 'ambiguous' ELSE 'unmatched' END AS state,
@@ -116,15 +119,6 @@ SCORED = """, z AS (SELECT *, dense_rank() OVER (PARTITION BY mention_id ORDER B
 SELECT mention_id, min(person_id) AS person_id, round(max(score), 6) AS score, count(*) > 1 AS ambiguous FROM z WHERE k = 1 GROUP BY 1"""
 
 
-@query(PEOPLE + """, y AS (SELECT mention_id, r.person_id, 1 + CASE WHEN m.place = r.place THEN 1 ELSE 0 END + CASE WHEN abs(m.age - r.age) <= 5 THEN 0.5::DOUBLE ELSE 0 END AS score FROM m JOIN r USING (surname, given))""" + SCORED)
-def merge_pass_name_key(spark: SparkSession, sf: str) -> DataFrame:
-    """Equal name keys, scored by place and time."""
-    r, m = register_and_mentions(spark, sf)
-    pairs = m.select("mention_id", "given", "surname", F.col("place").alias("m_place"), F.col("age").alias("m_age")).join(r.select("person_id", "given", "surname", "place", "age"), ["surname", "given"])
-    score = 1 + (F.col("m_place") == F.col("place")).cast("int") + F.when(F.abs(F.col("m_age") - F.col("age")) <= 5, 0.5).otherwise(0.0)
-    return scored_pass(pairs, score).withColumn("score", F.round("score", 6))
-
-
 @query(PEOPLE + """, a AS (SELECT person_id, age, unnest([name, surname || ' ' || given, substr(given, 1, 1) || ' ' || surname]) AS alias FROM r),
 y AS (SELECT DISTINCT mention_id, a.person_id, CASE WHEN abs(m.age - a.age) <= 5 THEN 1.5::DOUBLE ELSE 1 END AS score FROM m JOIN a ON alias = substr(m.given, 1, 1) || ' ' || m.surname)""" + SCORED)
 def merge_pass_alias_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,20 +137,6 @@ def merge_pass_lords_alias(spark: SparkSession, sf: str) -> DataFrame:
     return scored_pass(m.select("mention_id", title).join(r.select("person_id", title), "title"), F.lit(1.0))
 
 
-@query(PEOPLE + """, y AS (SELECT mention_id, r.person_id, (m.place = r.place)::INT AS s, -abs(m.age - r.age) AS w FROM m JOIN r USING (surname))
-SELECT mention_id, person_id FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY s DESC, w DESC, person_id) AS k FROM y) WHERE k = 1""")
-def merge_resolve_constituency(spark: SparkSession, sf: str) -> DataFrame:
-    """Ambiguous ones by place, then by time. Of people alike in surname, place and age only the first can be best, and
-    mentions alike in these have the same best, so kinds are paired, not people."""
-    r, m = register_and_mentions(spark, sf)
-    alike = ["surname", "place", "age"]
-    kinds = m.select(*alike).distinct().withColumnsRenamed({"place": "m_place", "age": "m_age"})
-    pairs = kinds.join(r.groupBy(*alike).agg(F.min("person_id").alias("person_id")), "surname")
-    best = F.max(F.struct((F.col("m_place") == F.col("place")).alias("s"), (-F.abs(F.col("m_age") - F.col("age"))).alias("w"), (-F.col("person_id")).alias("p")))
-    found = pairs.groupBy("surname", F.col("m_place").alias("place"), F.col("m_age").alias("age")).agg(best.alias("x"))
-    return m.join(found, alike).select("mention_id", (-F.col("x.p")).alias("person_id"))
-
-
 @query(CASCADE + "SELECT mention_id, coalesce(CASE WHEN mention_id % 8 = 0 THEN 'own' END, b.match_type, 'ambiguous') AS label FROM m LEFT JOIN b USING (mention_id)")
 def merge_fill_only_missing(spark: SparkSession, sf: str) -> DataFrame:
     """What a row has stays; only nulls are filled, and labelled."""
