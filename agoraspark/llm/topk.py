@@ -8,7 +8,8 @@ next segment. The exact scores of the rows that lead so far give a threshold tha
 when the bounds leave few possible members is the rest of the postings skipped, and those are rescored exactly. The
 blocks' bests are merged by a ranked window of k rows a block.
 
-Edge cases: vectors that are null, or hold null or non-finite components, take no part; a row without an id is a
+Edge cases: vectors that are null, or hold null or non-finite components, take no part; components whose scores might not
+fit 64 bits raise ValueError (at 64 components, those over about a million); a row without an id is a
 candidate, the last of equals, and never a query; shorter vectors count as padded with zeros; rows with the same id are
 rows of their own, and a query's own row is left out alone; an empty table gives no rows; extra columns are ignored.
 """
@@ -35,6 +36,7 @@ class ImpactIndex:
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors, (rows, dims) = vectors, vectors.shape
+        self.large = np.abs(vectors).max(axis=0, initial=0).astype(np.float64)
         self.order = np.argsort(-vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.order, axis=0)
         self.rank = np.argsort(self.order, axis=0, kind="stable").astype(np.int32)
@@ -63,6 +65,8 @@ class ImpactIndex:
         after = np.full(len(order), -1)
         same = self.dim[order][nth][1:] == self.dim[order][nth][:-1]
         after[nth[:-1][same]] = nth[1:][same]
+        # Sums in double precision are off by less than this; all else is whole numbers.
+        slack = 0.5 + 1e-12 * float(np.abs(query.astype(np.float64)) @ self.large)
         bound = np.zeros(len(query))
         first = np.full(len(query), -1)
         first[self.dim[order][::-1]] = np.arange(len(order))[::-1]
@@ -82,13 +86,13 @@ class ImpactIndex:
                 # Bounds only fall and the threshold only rises: a row that is out stays out.
                 rank = self.rank if alive is None else self.rank[alive]
                 still = (rank >= np.where(down, passed, 0).astype(np.int32)) & (rank < np.where(down, rows, rows - passed).astype(np.int32))
-                upper = (gained if alive is None else gained[alive]) + still.astype(np.float32) @ bound.astype(np.float32)
+                upper = (gained if alive is None else gained[alive]) + still @ bound
                 alive = np.arange(rows) if alive is None else alive
                 if own >= 0:
                     upper[alive == own] = -np.inf
                 lead = alive[np.argpartition(-upper, 4 * k)[: 4 * k]]
                 threshold = np.sort(self.vectors[lead[lead != own]] @ query)[-k]
-                alive = alive[upper >= threshold - 0.5]
+                alive = alive[upper >= threshold - slack]
                 if len(alive) <= max(few * rows, 4 * k):
                     return alive
         return np.setdiff1d(np.arange(rows), [own])
@@ -157,7 +161,10 @@ def search(vectors: DataFrame, asked: str, k: int = 5, key: str = "vec_id", vect
     asks = F.expr(asked) & F.col(key).isNotNull()
     rows = vectors.where(fit).select(F.col(key).cast("long").alias("vec_id"), whole.alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
-    blocks = max(1, -(-rows.count() // block))
+    n, most, wide = rows.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))), F.max(F.size("v"))).first()
+    if most and most * most * wide >= 2.0**62:
+        raise ValueError(f"scores of components up to {most / 256:g} do not fit 64 bits")
+    blocks = max(1, -(-n // block))
     held = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "row", "vec_id", "v")
     past = rows.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "asks", "row", "vec_id", "v")
     dealt = held.union(past).repartitionById(blocks, "block").sortWithinPartitions("block", "asks")

@@ -272,6 +272,21 @@ def test_op8_is_exact(spark, few, block):
     assert got == sorted(want) and any("vec_id=None" in x for x in want)
 
 
+def test_op8_large_components(spark):
+    """Up to the stated range scores are exact; beyond it the search says so and gives none."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-900_000, 900_000, (300, 64)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = [[int(256 * c) for c in v] for v in x]
+    dot = lambda a, b: sum(p * q for p, q in zip(whole[a], whole[b], strict=True))
+    want = {(q, n): (v, s) for q in (0, 100, 200) for n, (s, v) in enumerate(sorted(((-dot(q, i), i) for i in range(300) if i != q))[:5], 1) for s in [-s]}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(rows, "vec_id % 100 = 0").collect()}
+    assert got == want
+    for huge in ([1e17, 1.0], [1e300, 0.0], [-1e300, 0.0]):
+        with pytest.raises(ValueError, match="64 bits"):
+            topk.search(spark.createDataFrame([(0, huge), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"), "vec_id = 0")
+
+
 @pytest.mark.parametrize("size", [300, 3000])
 def test_op8_index_proves_most_rows_out(size):
     rng = np.random.default_rng(8)
