@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -268,7 +270,48 @@ def txt_why_matched(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.regexp_extract("text", p, 1).alias("first_match"), matched_terms(F.col("text"), ["stupid", "moron", "loser"]).alias("terms"))
 
 
-@query("""SELECT page_id, array_to_string(list_filter(['casino', 'pills', 'bets', 'track'], lambda k: contains(lower(url), k)), ',') AS matched FROM pages
-WHERE len(list_filter(['casino', 'pills', 'bets', 'track'], lambda k: contains(lower(url), k))) > 0""")
+#: What a debate's title must hold one of.
+TITLE_KEYWORDS = [
+    "suffrage", "franchise", "enfranchisement", "disenfranchisement",
+    "women vote", "women voting", "female vote", "female voting",
+    "women's suffrage", "woman suffrage", "female suffrage",
+    "women's franchise", "woman franchise", "female franchise",
+    "women voters", "female voters", "woman voters",
+    "votes for women", "votes for woman",
+    "suffragist", "suffragette", "suffragettes", "suffragists",
+    "women's rights", "woman's rights", "female rights",
+    "women's movement", "woman's movement",
+    "electoral reform", "representation of the people",
+    "equal franchise", "equal suffrage", "universal suffrage",
+    "women's representation", "female representation",
+    "women in parliament", "women in politics",
+    "women's social and political union", "wspu",
+    "national union of women's suffrage societies", "nuwss",
+    "women's freedom league", "wfl",
+    "women's enfranchisement", "woman's enfranchisement",
+    "female enfranchisement", "women's disenfranchisement",
+    "woman's disenfranchisement", "female disenfranchisement",
+    "women's parliamentary vote", "woman's parliamentary vote",
+    "female parliamentary vote", "women's electoral rights",
+    "woman's electoral rights", "female electoral rights",
+]
+
+
+def with_keywords(debates: DataFrame, keywords: list[str] = TITLE_KEYWORDS, title: str = "title") -> DataFrame:
+    """The debates whose title holds any of the keywords, whatever its case, with matched_keywords in the list's order."""
+    low = F.lower(F.coalesce(F.col(title), F.lit("")))
+    held = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(low, F.lower(k)))
+    return debates.where(low.rlike("|".join(re.escape(k.lower()) for k in keywords))).withColumn("matched_keywords", held)
+
+
+#: Titles of debates, made of a topic and one of the keywords, whole or cut, by the document's number.
+_TITLE_SQL = "upper(substr(text, 1, 20)) || ' on ' || [{}][doc_id % 60 + 1]".format(", ".join("'" + k.replace("'", "''").title().replace("'S", "'s") + "'" for k in [*TITLE_KEYWORDS, "women", "votes for men", "suffrag", "wsp u", "reform"]))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TITLE_SQL} AS title FROM documents), k AS (SELECT unnest([{", ".join("'" + k.replace("'", "''") + "'" for k in TITLE_KEYWORDS)}]) AS k, unnest(range({len(TITLE_KEYWORDS)})) AS n)
+SELECT doc_id, string_agg(k, ',' ORDER BY n) AS matched FROM t JOIN k ON contains(lower(title), k) GROUP BY doc_id""")
 def txt_title_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", matched_terms(F.col("url"), ["casino", "pills", "bets", "track"]).alias("matched")).where("matched <> ''")
+    endings = [k.title().replace("'S", "'s") for k in [*TITLE_KEYWORDS, "women", "votes for men", "suffrag", "wsp u", "reform"]]
+    ending = F.element_at(F.array(*[F.lit(e) for e in endings]), (F.col("doc_id") % 60 + 1).cast("int"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.upper(F.substring("text", 1, 20)), F.lit(" on "), ending).alias("title"))
+    return with_keywords(d).select("doc_id", F.array_join("matched_keywords", ",").alias("matched"))
