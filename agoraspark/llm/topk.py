@@ -86,13 +86,15 @@ class ImpactIndex:
                 # Bounds only fall and the threshold only rises: a row that is out stays out.
                 rank = self.rank if alive is None else self.rank[alive]
                 still = (rank >= np.where(down, passed, 0).astype(np.int32)) & (rank < np.where(down, rows, rows - passed).astype(np.int32))
-                upper = (gained if alive is None else gained[alive]) + still @ bound
+                upper = (gained if alive is None else gained[alive]) + still.astype(np.float32) @ bound.astype(np.float32)
                 alive = np.arange(rows) if alive is None else alive
                 if own >= 0:
                     upper[alive == own] = -np.inf
                 lead = alive[np.argpartition(-upper, 4 * k)[: 4 * k]]
                 threshold = np.sort(self.vectors[lead[lead != own]] @ query)[-k]
-                alive = alive[upper >= threshold - slack]
+                # The product in single precision, each term and sum off by 2**-24 of what it adds up to at most.
+                off = (len(bound) + 2) * 2.0**-24 * float(np.abs(bound).sum())
+                alive = alive[upper >= threshold - slack - off]
                 if len(alive) <= max(few * rows, 4 * k):
                     return alive
         return np.setdiff1d(np.arange(rows), [own])
