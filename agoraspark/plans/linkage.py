@@ -122,12 +122,21 @@ SELECT mention_id, min(person_id) AS person_id, round(max(score), 6) AS score, c
 @query(PEOPLE + """, a AS (SELECT person_id, age, unnest([name, surname || ' ' || given, substr(given, 1, 1) || ' ' || surname]) AS alias FROM r),
 y AS (SELECT DISTINCT mention_id, a.person_id, CASE WHEN abs(m.age - a.age) <= 5 THEN 1.5::DOUBLE ELSE 1 END AS score FROM m JOIN a ON alias = substr(m.given, 1, 1) || ' ' || m.surname)""" + SCORED)
 def merge_pass_alias_key(spark: SparkSession, sf: str) -> DataFrame:
-    """By any alias: aliases are rows."""
+    """By any alias: aliases are rows. People are counted by alias and age, and mentions alike in both are one, so that a common
+    alias is no pairs of all who share it."""
     r, m = register_and_mentions(spark, sf)
     initial = F.concat_ws(" ", F.substring("given", 1, 1), "surname")
-    aliases = r.select("person_id", "age", F.explode(F.array("name", F.concat_ws(" ", "surname", "given"), initial)).alias("alias"))
-    pairs = m.select("mention_id", F.col("age").alias("m_age"), initial.alias("alias")).join(aliases, "alias").select("mention_id", "person_id", "age", "m_age").distinct()
-    return scored_pass(pairs, F.when(F.abs(F.col("m_age") - F.col("age")) <= 5, 1.5).otherwise(1.0)).withColumn("score", F.round("score", 6))
+    aliases = r.select("person_id", F.col("age").alias("at"), F.explode(F.array("name", F.concat_ws(" ", "surname", "given"), initial)).alias("alias")).distinct()
+    tell = lambda p, n: [F.min("person_id").alias(p), F.count("*").alias(n)]
+    aged, whole = aliases.groupBy("alias", "at").agg(*tell("person", "n")), aliases.groupBy("alias").agg(*tell("some", "all"))
+    m = m.select("mention_id", "age", initial.alias("alias"))
+    kinds = m.select("alias", "age").distinct()
+    near = kinds.withColumn("at", F.explode(F.sequence(F.col("age") - 5, F.col("age") + 5))).join(aged, ["alias", "at"])
+    near = near.groupBy("alias", "age").agg(F.min("person").alias("person"), F.sum("n").alias("n"))
+    best = kinds.join(whole, "alias").join(near, ["alias", "age"], "left")
+    score, n = F.when(F.col("n").isNotNull(), 1.5).otherwise(1.0), F.coalesce("n", "all")
+    best = best.select("alias", "age", F.coalesce("person", "some").alias("person_id"), score.alias("score"), (n > 1).alias("ambiguous"))
+    return m.join(best, ["alias", "age"]).select("mention_id", "person_id", "score", "ambiguous")
 
 
 @query(PEOPLE + ", y AS (SELECT mention_id, r.person_id, 1::DOUBLE AS score FROM m JOIN r ON 'lord ' || m.surname || ' of ' || m.place = 'lord ' || r.surname || ' of ' || r.place)" + SCORED)
