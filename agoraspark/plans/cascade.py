@@ -129,12 +129,15 @@ def counted(register: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     seats = seats.groupBy(F.lower("place").alias("place"), "year").agg(F.count("*").alias("n"), F.min(F.struct("nth", F.col("person_name").alias("name"), "gender")).alias("one"))
     seats = seats.where("n = 1").select("place", "year", F.col("one.name").alias("name"), F.col("one.gender").alias("gender"))
     people = held.select("nth", "person_id", "person_name", F.nullif("gender", F.lit("")).alias("gender"), "chamber", "year", F.lower(F.element_at("words", -1)).alias("surname"), F.lower(F.substring(F.element_at("words", 1), 1, 1)).alias("initial"))
+    own = F.nullif("person_id", F.lit(""))
     tell = [
-        F.count("*").alias("n"), F.countDistinct(F.nullif("person_id", F.lit(""))).alias("persons"),
-        F.min(F.struct("nth", F.col("person_name").alias("name"), "gender")).alias("first"),
-        F.countDistinct("gender").alias("genders"), F.min("gender").alias("a_gender"),
+        F.count("*").alias("n"), F.min(own).alias("low"), F.max(own).alias("high"), F.min(F.struct("nth", F.col("person_name").alias("name"), "gender")).alias("first"),
+        F.min("gender").alias("gender_low"), F.max("gender").alias("gender_high"),
     ]
-    people = people.groupBy("chamber", "surname", "year", "initial").agg(*tell).unionByName(people.groupBy("chamber", "surname", "year").agg(*tell).withColumn("initial", F.lit(None).cast("string")))
+    by_initial = people.groupBy("chamber", "surname", "year", "initial").agg(*tell)
+    least, most = [F.min(c).alias(c) for c in ("low", "first", "gender_low")], [F.max(c).alias(c) for c in ("high", "gender_high")]
+    together = by_initial.groupBy("chamber", "surname", "year").agg(F.sum("n").alias("n"), *least, *most)
+    people = by_initial.unionByName(together.withColumn("initial", F.lit(None).cast("string")))
     spans = r.where("start_year <= end_year").select("nth", "person_id", "person_name", F.explode(F.sequence("start_year", "end_year")).alias("year"), "end_year")
     one = F.struct("nth", "person_id")
     ids = spans.groupBy("person_name", "year").agg(F.min(one).alias("any"), F.min(F.when(F.col("year") < F.col("end_year"), one)).alias("within"))
@@ -185,7 +188,7 @@ def cascade(mentions: DataFrame, register: DataFrame) -> DataFrame:
     for i, p in enumerate(SEATS):
         own = seats.select(F.col("place").alias(f"place{i}"), "year", F.struct("name", "gender").alias(f"seat{i}"))
         kinds = kinds.withColumn(f"place{i}", place(p)).join(own, [f"place{i}", "year"], "left")
-    who = F.struct("n", "persons", "first", "genders", "a_gender")
+    who = F.struct("n", "low", "high", "first", "gender_low", "gender_high")
     whole = people.where("initial is null").select("chamber", "surname", "year", who.alias("all"))
     exact = people.where("initial is not null").select("chamber", "surname", "year", "initial", who.alias("own"))
     kinds = kinds.join(exact, ["chamber", "surname", "year", "initial"], "left").join(whole, ["chamber", "surname", "year"], "left")
@@ -202,8 +205,8 @@ def cascade(mentions: DataFrame, register: DataFrame) -> DataFrame:
         .when(F.col("holder").isNotNull(), out("title", F.col("holder.name"), F.col("holder.gender"), 0.95))
         .when(F.col("seat").isNotNull(), out("constituency", F.col("seat.name"), F.col("seat.gender"), 0.95))
         .when(f["n"] == 1, out("temporal_unique", f["first"]["name"], f["first"]["gender"], 0.85))
-        .when((f["n"] > 1) & (f["persons"] == 1), out("temporal_unique", f["first"]["name"], f["first"]["gender"], 0.9))
-        .when((f["n"] > 1) & (f["genders"] == 1) & ~mixed, out("ambiguous_consistent_gender", none, f["a_gender"], 0.6, f["n"]))
+        .when((f["n"] > 1) & (f["low"] == f["high"]), out("temporal_unique", f["first"]["name"], f["first"]["gender"], 0.9))
+        .when((f["n"] > 1) & (f["gender_low"] == f["gender_high"]) & ~mixed, out("ambiguous_consistent_gender", none, f["gender_low"], 0.6, f["n"]))
         .when(f["n"] > 1, out("ambiguous", none, none, 0.0, f["n"]))
         .when(F.col("by_last").isNotNull(), out("fuzzy", F.col("by_last.name"), F.col("by_last.gender"), 0.7))
         .otherwise(out("no_match", none, none, 0.0))
