@@ -1,12 +1,13 @@
 """Operator 8, exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Vectors are dealt to blocks of BLOCK rows, a block to a task; all queries stream past it in batches. The block's index,
-built once, has for each component the rows in order of their value, cut into segments of equal quantised value. For
-a query, a segment's impact is the largest product any of its rows can add. Segments are processed by descending
-impact; a row's upper bound is what it has so far plus, for each component still open, the impact of that component's
-next segment. The exact scores of the rows that lead so far give a threshold that the k-th best cannot fall below. Only
-when the bounds leave few possible members is the rest of the postings skipped, and those are rescored exactly. The
-blocks' bests are merged by a ranked window of k rows a block.
+Vectors are dealt to blocks, a block to a task; all queries stream past it in batches. The block's index, built once,
+puts each posting (a row's value in a component) in a segment by its quantised impact: the value times what the component
+weighs in the block. Segments are processed by descending impact, in rounds; a round adds its segments to the scores of a
+whole batch of queries by one product of matrices. A row's upper bound is what it has so far plus the most that its open
+postings can add, by the norm of their impacts. The exact scores of rows that lead so far give a threshold that the k-th
+best cannot fall below. When the bounds leave a query few possible members, the rest of its postings are skipped, and
+those rows are rescored exactly, in whole numbers. Of equal vectors a block's index holds the first k + 1: the others can't
+be among the k best. The blocks' bests are merged by a ranked window of k rows a block.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no part; components whose scores might not
 fit 64 bits raise ValueError (at 64 components, those over about a million); a row without an id is a
@@ -25,88 +26,137 @@ from pyspark.sql import functions as F
 
 from agoraspark.llm.common import saved, ship, table
 
-BLOCK = 16_384
-LEVEL = 32
-#: Parts of the segments after which the bounds are looked at; the part of a block that is few enough for exact scores.
-LOOKS, FEW = (0.28, 0.34, 0.4, 0.5, 0.6, 0.75), 1 / 8
+#: Rows of a block, as long as there are at most MANY blocks, and the most; wider vectors than WIDE make blocks shorter.
+BLOCK, MANY, GROWN, WIDE = 16_384, 64, 8, 64
+#: Segments are this part of the root mean square impact, up to the last one; the part of the squared impacts that is open
+#: after each round; the part of a block that is few enough for exact scores.
+LEVEL, LEVELS, OPEN, FEW = 1 / 32, 256, (1 / 128, 1 / 2048, 0.0), 1 / 32
+#: Scores that a batch of queries holds at once, and values of rows that are rescored at once.
+HELD, RESCORED = 1 << 22, 1 << 20
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors (rows by components), in segments of equal quantised value."""
+    """Postings of a block of integer vectors (rows by components), in segments of equal quantised impact, by rounds."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors, (rows, dims) = vectors, vectors.shape
-        self.large = np.abs(vectors).max(axis=0, initial=0).astype(np.float64)
-        self.order = np.argsort(-vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(vectors, self.order, axis=0)
-        self.rank = np.argsort(self.order, axis=0, kind="stable").astype(np.int32)
-        self.postings = [(np.ascontiguousarray(self.order[:, d]), self.values[:, d].astype(np.float64)) for d in range(dims)]
-        level = np.floor_divide(self.values, LEVEL)
-        dim, low = [], []
+        weight = np.array([np.sqrt(np.mean(np.square(vectors[:, d], dtype=np.float64))) if rows else 0.0 for d in range(dims)])
+        #: A component without values adds nothing to any score.
+        self.share = np.divide(1.0, weight, out=np.zeros(dims), where=weight > 0)
+        unit = LEVEL * float(np.sqrt(np.mean(weight**4))) if dims else 0.0
+        level, squares, whole = np.zeros((rows, dims), np.uint8), np.zeros(LEVELS), np.zeros(rows)
         for d in range(dims):
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(level[:, d])) + 1]) if rows else np.zeros(0, np.int64)
-            dim.append(np.full(len(cut), d))
-            low.append(cut)
-        self.dim = np.concatenate(dim) if dims else np.zeros(0, np.int64)
-        self.low = np.concatenate(low) if dims else np.zeros(0, np.int64)
-        self.high = np.concatenate([np.append(x[1:], rows) for x in low]) if dims else self.low
-        self.most = self.values[self.low, self.dim] if dims and rows else np.zeros(0, np.int64)
-        self.least = self.values[self.high - 1, self.dim] if dims and rows else np.zeros(0, np.int64)
+            impact = np.abs(vectors[:, d].astype(np.float64)) * weight[d]
+            level[:, d] = np.minimum(impact / unit, LEVELS - 1) if unit else 0
+            squares += np.bincount(level[:, d], impact * impact, LEVELS)
+            whole += impact * impact
+        below = np.cumsum(squares)
+        cuts = [int(np.searchsorted(below, part * below[-1], side="right")) if part else 0 for part in OPEN]
+        self.rounds, high, open_before = [], LEVELS, np.zeros(rows)
+        for low in cuts:
+            part, left = np.zeros((dims + 1, rows), np.float32), np.zeros(rows)
+            for d in range(dims):
+                now = (level[:, d] >= low) & (level[:, d] < high)
+                part[d, now] = vectors[now, d]
+                left += np.where(level[:, d] < low, vectors[:, d] * weight[d], 0.0) ** 2
+            left = np.sqrt(left)
+            # The last line turns the bound of what was open before into that of what is open now.
+            part[dims] = left - open_before
+            self.rounds.append(part)
+            high, open_before = low, left
+        self.room = (np.empty(0, np.float32), np.empty(0, bool))
+        self.reach = float(np.sqrt(whole.max(initial=0.0)))
+
+    def scores(self, queries: np.ndarray, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact scores of pairs of a query and a row."""
+        out, step = np.zeros(len(q), np.int64), max(1, RESCORED // max(1, queries.shape[1]))
+        for low in range(0, len(q), step):
+            at = slice(low, low + step)
+            out[at] = np.einsum("pd,pd->p", self.vectors[rows[at]].astype(np.int64), queries[q[at]])
+        return out
+
+    def _threshold(self, upper: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
+        """For each query the k-th best exact score of 2k rows that lead: those with the highest bounds of their stretch."""
+        n, rows = upper.shape
+        stretches = min(rows, 32 * k)
+        by = upper[:, : rows // stretches * stretches].reshape(n, stretches, -1)
+        best = by.max(axis=2)
+        lead = np.argpartition(-best, 2 * k, axis=1)[:, : 2 * k]
+        at = lead * by.shape[2] + by[np.arange(n)[:, None], lead].argmax(axis=2)
+        score = self.scores(queries, np.repeat(np.arange(n), 2 * k), at.ravel()).reshape(n, 2 * k)
+        score[at == own[:, None]] = np.iinfo(np.int64).min
+        return np.sort(score, axis=1)[:, k]
+
+    def pairs(self, queries: np.ndarray, k: int, own: np.ndarray, few: float = FEW) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row), ascending: the rows that can be among the k best for each query. own: a row that cannot, or -1;
+        few: the part of rows at which exact scores of all that are left cost less than more segments."""
+        (rows, dims), n = self.vectors.shape, len(queries)
+        if rows <= 4 * k:
+            q, row = np.divmod(np.arange(n * rows), rows)
+            other = row != own[q]
+            return q[other], row[other]
+        norm = np.sqrt(np.square(queries * self.share).sum(axis=1))
+        asked = np.column_stack([queries * (self.share > 0), norm]).astype(np.float32)
+        # Single precision: each value, product and sum of the rounds is off by 2**-24 of what they add up to at most.
+        slack = 1 + 4 * (len(self.rounds) * (dims + 1) + 16) * 2.0**-24 * norm * self.reach
+        todo, mine = np.arange(n), np.flatnonzero(own >= 0)
+        # The same memory for all batches: fresh pages cost more than the sums.
+        if self.room[0].size < n * rows:
+            self.room = (np.empty(n * rows, np.float32), np.empty(n * rows, bool))
+        upper, kept = (x[: n * rows].reshape(n, rows) for x in self.room)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, part in enumerate(self.rounds):
+            if i == 0:
+                np.matmul(asked, part, out=upper)
+                upper[mine, own[mine]] = -np.inf
+            else:
+                upper += asked[todo] @ part
+            least = self._threshold(upper, queries[todo], k, own[todo]) - slack[todo]
+            np.greater_equal(upper, np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None], out=kept[: len(todo)])
+            q, row = np.divmod(np.flatnonzero(kept[: len(todo)]), rows)
+            settled = np.bincount(q, minlength=len(todo)) <= max(few * rows, 4 * k)
+            if i == len(self.rounds) - 1:
+                settled[:] = True
+            found.append((todo[q[settled[q]]], row[settled[q]]))
+            if settled.all():
+                break
+            todo, upper = todo[~settled], upper[~settled]
+        q, row = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(q, kind="stable")
+        return q[order], row[order]
 
     def possible(self, query: np.ndarray, k: int, own: int, few: float = FEW) -> np.ndarray:
-        """The rows that can be among the k best for query; own: a row that cannot, or -1; few: the part of rows at
-        which exact scores of all that are left cost less than more segments."""
-        rows = len(self.vectors)
-        if rows <= 4 * k:
-            return np.setdiff1d(np.arange(rows), [own])
-        impact = np.where(query[self.dim] > 0, query[self.dim] * self.most, query[self.dim] * self.least)
-        order = np.argsort(-impact, kind="stable")
-        nth = np.argsort(self.dim[order], kind="stable")
-        after = np.full(len(order), -1)
-        same = self.dim[order][nth][1:] == self.dim[order][nth][:-1]
-        after[nth[:-1][same]] = nth[1:][same]
-        # Sums in double precision are off by less than this; all else is whole numbers.
-        slack = 0.5 + 1e-12 * float(np.abs(query.astype(np.float64)) @ self.large)
-        bound = np.zeros(len(query))
-        first = np.full(len(query), -1)
-        first[self.dim[order][::-1]] = np.arange(len(order))[::-1]
-        bound[first >= 0] = impact[order[first[first >= 0]]]
-        gained = np.zeros(rows)
-        down, factor = query > 0, query.tolist()
-        passed = np.zeros(len(query), np.int64)  # how many rows of a component are through, from its better end
-        alive: np.ndarray | None = None
-        looks = {int(x * len(order)) for x in LOOKS}
-        for i, s in enumerate(order):
-            d, low, high = self.dim[s], self.low[s], self.high[s]
-            at, values = self.postings[d]
-            gained[at[low:high]] += factor[d] * values[low:high]
-            passed[d] = high if down[d] else rows - low
-            bound[d] = impact[order[after[i]]] if after[i] >= 0 else 0
-            if i in looks:
-                # Bounds only fall and the threshold only rises: a row that is out stays out.
-                rank = self.rank if alive is None else self.rank[alive]
-                still = (rank >= np.where(down, passed, 0).astype(np.int32)) & (rank < np.where(down, rows, rows - passed).astype(np.int32))
-                upper = (gained if alive is None else gained[alive]) + still.astype(np.float32) @ bound.astype(np.float32)
-                alive = np.arange(rows) if alive is None else alive
-                if own >= 0:
-                    upper[alive == own] = -np.inf
-                lead = alive[np.argpartition(-upper, 4 * k)[: 4 * k]]
-                threshold = np.sort(self.vectors[lead[lead != own]] @ query)[-k]
-                # The product in single precision, each term and sum off by 2**-24 of what it adds up to at most.
-                off = (len(bound) + 2) * 2.0**-24 * float(np.abs(bound).sum())
-                alive = alive[upper >= threshold - slack - off]
-                if len(alive) <= max(few * rows, 4 * k):
-                    return alive
-        return np.setdiff1d(np.arange(rows), [own])
+        """The rows that can be among the k best for one query."""
+        return self.pairs(query[None, :], k, np.array([own]), few)[1]
+
+    def best(self, queries: np.ndarray, k: int, own: np.ndarray, few: float = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of the k best for each query, the first row of equals."""
+        step, out = max(1, HELD // max(1, len(self.vectors))), []
+        for low in range(0, len(queries), step):
+            some = queries[low : low + step]
+            q, row = self.pairs(some, k, own[low : low + step], few)
+            score = self.scores(some, q, row)
+            order = np.lexsort((-score, q))
+            q, row, score = q[order], row[order], score[order]
+            top = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out.append((q[top] + low, row[top], score[top]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
     sizes = lists.value_lengths().to_numpy()
-    out = np.zeros((len(lists), dims), np.int64)
+    out = np.zeros((len(lists), dims), lists.type.value_type.to_pandas_dtype())
     out[np.arange(dims)[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
     return out
 
 
+def _first(matrix: np.ndarray, n: int) -> np.ndarray:
+    """The first n of equal rows, ascending. With one more than k, the others have k rows before them besides a query's own."""
+    _, kind = np.unique(matrix.view(f"V{matrix.shape[1] * matrix.itemsize}").ravel(), return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    return np.sort(order[np.arange(len(order)) - np.searchsorted(kind[order], kind[order]) < n])
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
     """(block, asks, rows): each batch, cut where the block or the kind of row changes."""
     for b in batches:
@@ -122,21 +172,15 @@ def _search(k: int, few: float):
     kinds = {"query": pa.int64(), "query_id": pa.int64(), "row": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
 
     def best(held: pa.Table, index: ImpactIndex, asked: pa.RecordBatch) -> pa.RecordBatch:
-        names, ids = held.column("row").to_numpy(), held.column("vec_id").to_numpy()
-        known, nameless = np.nan_to_num(ids).astype(np.int64) if ids.dtype.kind == "f" else ids, held.column("vec_id").is_null().to_numpy()
+        names, ids = held.column("row").to_numpy(), held.column("vec_id").combine_chunks()
         place = {x: i for i, x in enumerate(names.tolist())}
         dims = index.vectors.shape[1]
         wide = max(dims, int(asked.column("v").value_lengths().to_numpy().max()))
-        queries = _matrix(asked.column("v"), wide)[:, :dims]  # components that no row has add nothing
-        out: dict[str, list] = {c: [] for c in kinds}
-        for q, (name, query_id) in enumerate(zip(asked.column("row").to_pylist(), asked.column("vec_id").to_pylist(), strict=True)):
-            rows = index.possible(queries[q], k, place.get(name, -1), few)
-            score = index.vectors[rows] @ queries[q]
-            top = np.lexsort((names[rows], known[rows], nameless[rows], -score))[:k]
-            found = ([name] * len(top), [query_id] * len(top), names[rows][top].tolist(), [None if nameless[x] else int(known[x]) for x in rows[top]], score[top].tolist())
-            for column, values in zip(out.values(), found, strict=True):
-                column.extend(values)
-        return pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], list(kinds))
+        queries = _matrix(asked.column("v"), wide)[:, :dims].astype(np.int64)  # components that no row has add nothing
+        own = np.array([place.get(x, -1) for x in asked.column("row").to_pylist()])
+        q, row, score = index.best(queries, k, own, few)
+        found = (asked.column("row").take(pa.array(q)), asked.column("vec_id").take(pa.array(q)), pa.array(names[row]), ids.take(pa.array(row)), pa.array(score))
+        return pa.RecordBatch.from_arrays([v.cast(kinds[c]) for c, v in zip(kinds, found, strict=True)], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, held, index = -1, [], None, None
@@ -147,14 +191,23 @@ def _search(k: int, few: float):
                 parts.append(piece)
             elif parts:
                 if index is None:
-                    held = pa.Table.from_batches(parts)
+                    # In the order of equals: by id, those without one last.
+                    held = pa.Table.from_batches(parts).sort_by([("vec_id", "ascending"), ("row", "ascending")])
                     lists = held.column("v").combine_chunks()
-                    index = ImpactIndex(_matrix(lists, max(1, int(lists.value_lengths().to_numpy().max()))))
+                    matrix = _matrix(lists, max(1, int(lists.value_lengths().to_numpy().max())))
+                    first = _first(matrix, k + 1)
+                    held, index = held.take(pa.array(first)), ImpactIndex(matrix[first])
                 yield best(held, index, piece)
 
     return run
 
 
+def _blocks(n: int, wide: int, block: int) -> int:
+    """How many blocks n rows make: more and more of them up to MANY, then larger ones, so that queries are copied less."""
+    most = max(1, block * WIDE // max(WIDE, wide))
+    return max(1, -(-n // (GROWN * most)), min(MANY, -(-n // most)))
+
+
 def search(vectors: DataFrame, asked: str, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, few: float = FEW) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all rows for each row for which the SQL condition `asked` holds."""
     ship(vectors.sparkSession)
@@ -166,7 +219,9 @@ def search(vectors: DataFrame, asked: str, k: int = 5, key: str = "vec_id", vect
     n, most, wide = rows.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))), F.max(F.size("v"))).first()
     if most and most * most * wide >= 2.0**62:
         raise ValueError(f"scores of components up to {most / 256:g} do not fit 64 bits")
-    blocks = max(1, -(-n // block))
+    width = next((x for x, bits in (("smallint", 15), ("int", 31)) if (most or 0) < 2**bits), "bigint")
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{width}>"))
+    blocks = _blocks(n, wide or 0, block)
     held = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "row", "vec_id", "v")
     past = rows.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "asks", "row", "vec_id", "v")
     dealt = held.union(past).repartitionById(blocks, "block").sortWithinPartitions("block", "asks")
