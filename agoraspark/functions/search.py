@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,6 +36,11 @@ RARE = 500_000
 #: Latin letters with marks, and the letters without.
 _MARKED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
 _FOLD = ("".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
+#: The letters outside ASCII that stand for a letter, by it.
+_WRITTEN = {}
+for _c in map(chr, range(0x80, 0x3000)):
+    if (_plain := _c.lower()[0].translate(str.maketrans(*_FOLD))).isascii():
+        _WRITTEN[_plain] = _WRITTEN.get(_plain, "") + _c
 
 
 def words_of(text: Column) -> Column:
@@ -316,6 +322,11 @@ def match(spark: SparkSession, folder: str, text: str, columns: tuple[str, ...]
     return found.select("doc", score.alias("score"), F.array_distinct(F.concat(*spots)).alias("places"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row, however often it stands in the functions over arrays."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def snippet(text: Column, places: Column, size: int = 30, marks: tuple[str, str, str] = ("<mark>", "</mark>", "...")) -> Column:
     """The `size` words of a text that hold most different phrases, the earliest of equals, each occurrence marked, with dots
     where the text is cut. places: (start, size, phrase) of occurrences in the text.
@@ -336,21 +347,71 @@ def snippet(text: Column, places: Column, size: int = 30, marks: tuple[str, str,
         better = here > best["most"]
         return F.struct(F.when(better, here).otherwise(best["most"]).alias("most"), F.when(better, begin).otherwise(best["begin"]).alias("begin"), last.alias("last"))
 
-    begin = F.aggregate(ends, zero, step)["begin"].cast("int")
-    inside = F.filter(places, lambda x: (x["start"] >= begin) & (x["start"] + x["size"] <= begin + size))
 
-    def shown(part: Column, i: Column) -> Column:
-        at = begin + i
-        word, gap = F.regexp_extract(part, f"({WORD})$", 1), F.regexp_extract(part, r"^([^\p{L}\p{N}]*)", 1)
-        covers = lambda a: F.exists(inside, lambda x: (x["start"] < a) & (x["start"] + x["size"] > a))  # noqa: E731  an occurrence goes on over the border before word a
-        opens = F.exists(inside, lambda x: x["start"] == at) & ~covers(at)
-        closes = F.exists(inside, lambda x: x["start"] + x["size"] == at + 1) & ~covers(at + 1)
-        return F.concat(
-            F.when((i == 0) & (begin > 0), "").otherwise(gap), F.when(opens, marks[0]).otherwise(""), word, F.when(closes, marks[1]).otherwise("")
-        )
+    def window(begin: Column) -> Column:
+        inside = F.filter(places, lambda x: (x["start"] >= begin) & (x["start"] + x["size"] <= begin + size))
+        return once(inside, lambda x: written(begin, x))
+
+    def written(begin: Column, inside: Column) -> Column:
+        def shown(part: Column, i: Column) -> Column:
+            at = begin + i
+            word, gap = F.regexp_extract(part, f"({WORD})$", 1), F.regexp_extract(part, r"^([^\p{L}\p{N}]*)", 1)
+            covers = lambda a: F.exists(inside, lambda x: (x["start"] < a) & (x["start"] + x["size"] > a))  # noqa: E731  an occurrence goes on over the border before word a
+            opens = F.exists(inside, lambda x: x["start"] == at) & ~covers(at)
+            closes = F.exists(inside, lambda x: x["start"] + x["size"] == at + 1) & ~covers(at + 1)
+            return F.concat(
+                F.when((i == 0) & (begin > 0), "").otherwise(gap), F.when(opens, marks[0]).otherwise(""), word, F.when(closes, marks[1]).otherwise("")
+            )
+
+        body = F.array_join(F.transform(F.slice(parts, begin + 1, size), shown), "")
+        return F.concat(F.when(begin > 0, marks[2]).otherwise(""), body, F.when(begin + size < n, marks[2]).otherwise(tail))
+
+    return once(F.aggregate(ends, zero, step)["begin"].cast("int"), window)
+
+
+def _may_hold(node: object, texts: list[Column]) -> Column:
+    """False only for rows that a query can't find, by the letters of its words. texts: by column."""
+    if isinstance(node, Both):
+        left, right = _may_hold(node.left, texts), _may_hold(node.right, texts)
+        return left & right if node.kind == "AND" else left | right if node.kind == "OR" else left
+    if isinstance(node, Near):
+        return reduce(lambda a, b: a & b, [_may_hold(p, texts) for p in node.phrases])
+    # Other letters than a to z are not asked for: in lower case some depend on the letters beside them.
+    plain = [w for w in node.words if w.isascii()]
+    held = lambda t: reduce(lambda a, b: a & b, [_letters(t, w) for w in plain], t.isNotNull())
+    return reduce(lambda a, b: a | b, [held(t) for i, t in enumerate(texts) if node.columns is None or i in node.columns], F.lit(False))
+
 
-    body = F.array_join(F.transform(F.slice(parts, begin + 1, size), shown), "")
-    return F.concat(F.when(begin > 0, marks[2]).otherwise(""), body, F.when(begin + size < n, marks[2]).otherwise(tail))
+def _letters(text: Column, word: str) -> Column:
+    """Whether a text has a word's letters in a row, whatever their case and accents."""
+    marked = "".join(f"[{c}{c.upper()}{_WRITTEN.get(c, '')}]" for c in word)
+    return F.when(F.length(text) == F.octet_length(text), F.contains(F.lower(text), F.lit(word))).otherwise(text.rlike(marked))
+
+
+def scan(docs: DataFrame, text: str, key: str = "doc_id", columns: tuple[str, ...] = ("text",), shown: str = "text") -> DataFrame:
+    """(doc, snippet) of what a query finds in docs, without an index: for a single query over texts that are read anyway. One
+    pass over the rows; only those with the letters of the query's words are taken apart into words."""
+    tree, at = parse(text, columns), columns.index(shown)
+    if tree is None:
+        return docs.select(F.col(f"`{key}`").alias("doc"), F.lit("").alias("snippet")).where(F.lit(False))
+    slots, own = _slots(tree), list(dict.fromkeys(phrases(tree)))
+    names = {p: f"p{i}" for i, p in enumerate(own)}
+    rows = docs.where(F.col(f"`{key}`").isNotNull() & _may_hold(tree, [F.col(f"`{c}`") for c in columns]))
+    rows = rows.select(F.col(f"`{key}`").alias("doc"), F.coalesce(F.col(f"`{shown}`"), F.lit("")).alias("text"), *[words_of(F.col(f"`{c}`")).alias(f"w{i}") for i, c in enumerate(columns)])
+
+    def places(slot: tuple[str, bool], i: int) -> Column:
+        hit = lambda w: F.startswith(w, F.lit(slot[0])) if slot[1] else w == slot[0]
+        at = F.transform(f"w{i}", lambda w, n: F.when(hit(w), n.cast("long") + i * COLUMN))
+        return F.array_compact(at)
+
+    rows = rows.select("doc", "text", *[F.concat(*[places(s, i) for i in range(len(columns))]).alias(f"s{k}") for k, s in enumerate(slots)])
+    rows = rows.select("doc", "text", *[_starts(p, slots).alias(names[p]) for p in own])
+    spots = []
+    for p, given in _counted(tree, names, F.lit(True)):
+        spot = F.transform(F.filter(names[p], lambda x: F.floor(x / COLUMN) == at), lambda x: F.struct((x % COLUMN).alias("start"), F.lit(len(p.words)).alias("size"), F.lit(own.index(p)).alias("phrase")))
+        spots.append(F.when(given, spot).otherwise(F.slice(spot, 1, 0)))
+    found = rows.where(_holds(tree, names)).select("doc", "text", F.array_distinct(F.concat(*spots)).alias("here"))
+    return found.select("doc", snippet(F.col("text"), F.col("here")).alias("snippet"))
 
 
 def search(docs: DataFrame, folder: str, text: str, key: str = "doc_id", columns: tuple[str, ...] = ("text",), shown: str = "text", top: int | None = None) -> DataFrame:
@@ -423,9 +484,8 @@ SELECT doc_id, CASE WHEN b > 1 THEN '...' ELSE '' END || array_to_string(list_tr
   || CASE WHEN list_contains(hits, i) THEN '<mark>' || regexp_extract(parts[i], '[\p{{L}}\p{{N}}]+$') || '</mark>' ELSE regexp_extract(parts[i], '[\p{{L}}\p{{N}}]+$') END), '')
   || CASE WHEN b + 30 <= len(ws) THEN '...' ELSE regexp_extract(text, '[^\p{{L}}\p{{N}}]*$') END AS snippet FROM h JOIN m USING (doc_id)""")
 def fn_snippet_mark(spark: SparkSession, sf: str) -> DataFrame:
-    """The best thirty words of every text that a query finds."""
-    docs, folder = _indexed(spark, sf)
-    return search(docs, folder, "idiot OR stupid OR clown").select(F.col("doc").alias("doc_id"), "snippet")
+    """The best thirty words of every text that a query finds. One query reads the texts once; an index of all words is for many."""
+    return scan(table(spark, sf, "documents"), "idiot OR stupid OR clown").select(F.col("doc").alias("doc_id"), "snippet")
 
 
 @query(f"""SELECT w AS term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS places FROM (SELECT doc_id, unnest({_WORDS.format("text")}) AS w FROM documents) GROUP BY w""")

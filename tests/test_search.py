@@ -147,6 +147,24 @@ def test_snippets_mark_phrases_once(spark, tmp_path):
     assert {r["doc"]: r["snippet"] for r in search.search(docs, folder, '"one two" OR "two three" OR "one two three"', top=1).collect()}[1] == "<mark>one two</mark> <mark>one two three</mark>"
 
 
+def test_one_pass_finds_what_the_index_finds(spark, folder, docs):
+    """scan and search agree on random queries; scan neither shuffles nor writes."""
+    rnd = random.Random(11)
+    for q in [*(random_query(rnd) for _ in range(25)), "", "Épée", "title : x1 OR épée", "nothing"]:
+        got = search.scan(docs, q, columns=COLUMNS)
+        want = search.search(docs, folder, q, columns=COLUMNS)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("doc", "snippet").collect())), q
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "an IDIÒT!"), (4, "idiots"), (5, "ΟΔΟΣ'Α \u212aing"), (None, "idiot")], "doc_id long, text string")
+    assert [tuple(r) for r in search.scan(odd, "idiot OR οδος OR king").orderBy("doc").collect()] == [(3, "an <mark>IDIÒT</mark>!"), (5, "<mark>ΟΔΟΣ</mark>'Α <mark>\u212aing</mark>")]
+
+
+def test_snippets_of_many_texts_build_no_index(spark):
+    """The query fn_snippet_mark is one pass over the documents."""
+    plan = search.fn_snippet_mark(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan parquet") == 1
+
+
 def test_nothing_to_find(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     folder = search.build(docs, f"{tmp_path}/index")
