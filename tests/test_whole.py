@@ -112,6 +112,39 @@ def test_fuzzy_pass_wants_years_and_one_person(spark):
     assert got == {1: (10, round(2 / 3 + 0.05, 6), 2), 3: (30, 1.0, 1)}
 
 
+@pytest.mark.parametrize("least", [0.5, 0.67])
+def test_fuzzy_pass_against_force(spark, least):
+    """Short and long sets, nulls, spans of other lengths, and ids of short sets that stand twice."""
+    rnd = random.Random(6)
+    words = ["hot"] * 6 + ["warm"] * 3 + [f"w{i}" for i in range(30)]
+
+    def side(n):
+        out = [(i % (n - 2), rnd.sample(words, rnd.choice([0, 1, 2, 4, 4, 5, *([11] if i % (n - 2) > 1 else [])])), rnd.choice([None, "x", "y"]), b := rnd.choice([None, *range(20)]), None if b is None else b + rnd.choice([-1, 0, 3, 5])) for i in range(n)]
+        return [(i, [*t, None] if i % 5 == 0 else t, k, b, e) for i, t, k, b, e in out]
+
+    left, right = side(90), side(50)
+    shape = "{} long, tokens array<string>, rank string, begins int, ends int"
+    got = linkage.fuzzy_pass(spark.createDataFrame(left, shape.format("mention_id")), spark.createDataFrame(right, shape.format("person_id")), least, 0.05).collect()
+    met = {}
+    for (i, t, k, b, e), (j, u, q, c, d) in product(left, right):
+        t, u = {x for x in t if x}, {x for x in u if x}
+        if t and u and None not in (b, e, c, d) and (years := min(e, d) - max(b, c) + 1) > 0 and b <= e and c <= d and (ratio := len(t & u) / min(len(t), len(u))) >= least:
+            met.setdefault(i, []).append((j, ratio + (0.05 if k and k == q else 0.0), years))
+    want = {i: x[0] for i, x in met.items() if len(x) == 1}
+    assert len(want) > 5 and len(got) == len(want) and {r["mention_id"]: (r["person_id"], r["score"], r["years"]) for r in got} == want
+
+
+def test_people_who_agree_make_no_pairs(spark, monkeypatch):
+    """Thousands who agree in all but one token are counted, not paired."""
+    of = lambda key, n, mark: spark.range(n).select(F.col("id").alias(key), F.array(F.lit("york"), F.lit("kind"), F.lit("smith"), F.concat(F.lit(mark), "id")).alias("tokens"), F.lit("x").alias("rank"), F.lit(1).alias("begins"), F.lit(6).alias("ends"))
+    monkeypatch.setattr(linkage, "token_overlap", None)
+    alone = spark.createDataFrame([(9999, ["q", "kind", "smith", "b7"], "x", 3, 8)], "person_id long, tokens array<string>, rank string, begins int, ends int")
+    register = of("person_id", 3000, "p").unionByName(alone)
+    ours = spark.createDataFrame([(-1, ["leeds", "kind", "smith", "b7"], "x", 1, 6)], "mention_id long, tokens array<string>, rank string, begins int, ends int")
+    got = linkage.fuzzy_pass(of("mention_id", 2000, "m").unionByName(ours), register, 0.67, 0.05, 4).collect()
+    assert [tuple(r) for r in got] == [(-1, 9999, 0.8, 4)]
+
+
 def test_buckets_lose_no_pair(spark):
     rnd = random.Random(4)
     values = [rnd.uniform(-100, 100) for _ in range(80)] + [0.0, 20.0, -20.0, 40.0]
