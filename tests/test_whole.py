@@ -8,13 +8,14 @@ import random
 import re
 from itertools import product
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from agoraspark.functions import names, text
 from agoraspark.operators import aggregates, joins, ordering
 from agoraspark.plans import linkage, statistics
-from agoraspark.queries import QUERIES
+from agoraspark.queries import ORACLES, QUERIES
 from agoraspark.sources import html, tables
 
 DATA = "/root/testdata/sf0.001"
@@ -145,6 +146,22 @@ def test_people_who_agree_make_no_pairs(spark, monkeypatch):
     assert [tuple(r) for r in got] == [(-1, 9999, 0.8, 4)]
 
 
+@pytest.mark.parametrize("name", ["merge_pass_name_fuzzy", "merge_pass_const_fuzzy"])
+def test_fuzzy_passes_agree_with_sql_on_odd_parts(spark, tmp_path, name):
+    """A crowd that shares all but a token, ranks, nulls in every column, and mentions with one person alone."""
+    rnd = random.Random(8)
+    pick = lambda *x: rnd.choice([*x * 4, None])
+    crowd = [(i, f"{pick('small', 'old')} ring", "Brand#1", "KIND", pick(1, 2, 9), i + 0.5) for i in range(0, 400)]
+    rest = [(1000 + i, pick(f"small w{i // 2}", f"large w{i // 2}", f"x{i} w{i // 2}"), pick(f"Brand#{i // 2}"), pick("A", "B"), pick(5, 6), pick(i // 2 + 0.25)) for i in range(300)]
+    parts = spark.createDataFrame([*crowd, *rest], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in duck.execute(f"SELECT mention_id, person_id, score, years FROM ({ORACLES[name]})").fetchall()}
+    got = {r["mention_id"]: (r["person_id"], r["score"], r["years"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert len(want) > 10 and got == want
+
+
 def test_buckets_lose_no_pair(spark):
     rnd = random.Random(4)
     values = [rnd.uniform(-100, 100) for _ in range(80)] + [0.0, 20.0, -20.0, 40.0]
