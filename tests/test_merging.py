@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from agoraspark.plans import merging
+from agoraspark.plans import linkage, merging
+from agoraspark.queries import ORACLES
 
 
 def test_scores(spark):
@@ -48,3 +52,47 @@ def test_a_common_name_is_paired_by_kinds(spark):
     p = spark.range(4000).select(F.concat(F.lit("p"), F.lpad("id", 4, "0")).alias("slug"), F.lit("John Smith").alias("name"), (F.lit(1850) + F.col("id") % 2).cast("int").alias("born"), F.lit(1930).alias("died"), F.lit(None).cast("array<struct<place: string, s: int, e: int>>").alias("seats"))
     got = merging.name_key_pass(m, p)
     assert got.count() == 3000 and {(r["slug"], r["ambiguous"]) for r in got.select("slug", "ambiguous").distinct().collect()} == {("p0000", True)}
+
+
+def hot_parts(spark, folder):
+    """Many of one name and place, some alone in theirs, nulls."""
+    rnd = random.Random(9)
+    names = ["small ring"] * 60 + [f"n{i} s{i % 9}" for i in range(40)] + ["", None]
+    rows = [(i, rnd.choice(names), rnd.choice(["Brand#1"] * 5 + [f"Brand#{i % 7}", None]), "KIND", rnd.choice([*range(1, 51), None]), 1.0) for i in range(900)]
+    rows += [(2000 + i, "small ring", "Brand#9", "KIND", 20 * (i % 8), 1.0) for i in range(12)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{folder}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    return duck
+
+
+def most_rows(df):
+    """The rows that the largest operator of a query has made."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName().endswith("QueryStage"):
+            node = node.plan()
+        rows = node.metrics().get("numOutputRows")
+        found += [rows.get().value()] if rows.isDefined() else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return max(found)
+
+
+def agrees(spark, name, folder):
+    """The query gives what its SQL gives on hot_parts, and how many rows that are."""
+    duck = hot_parts(spark, folder)
+    df = getattr(linkage, name)(spark, str(folder))
+    columns = sorted(df.columns)
+    want = sorted(duck.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall(), key=repr)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == want
+    return df, len(want)
+
+
+def test_one_person_of_a_place_and_surname(spark, tmp_path):
+    """Pairs of all who share a place and a surname would be over ten thousand rows."""
+    df, n = agrees(spark, "merge_pass_const_unique", tmp_path)
+    assert n > 2 and most_rows(df) <= 8000
