@@ -96,3 +96,8 @@ def test_one_person_of_a_place_and_surname(spark, tmp_path):
     """Pairs of all who share a place and a surname would be over ten thousand rows."""
     df, n = agrees(spark, "merge_pass_const_unique", tmp_path)
     assert n > 2 and most_rows(df) <= 8000
+
+
+def test_titles_are_counted(spark, tmp_path):
+    df, n = agrees(spark, "merge_pass_lords_alias", tmp_path)
+    assert n > 50 and most_rows(df) <= 1000
