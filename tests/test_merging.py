@@ -101,3 +101,19 @@ def test_one_person_of_a_place_and_surname(spark, tmp_path):
 def test_titles_are_counted(spark, tmp_path):
     df, n = agrees(spark, "merge_pass_lords_alias", tmp_path)
     assert n > 50 and most_rows(df) <= 1000
+
+
+@pytest.mark.parametrize("name", ["merge_finalise_labels", "merge_append_hansard_only", "merge_fill_only_missing", "match_accept_filter"])
+def test_a_common_name_and_place_make_no_pairs(spark, tmp_path, name):
+    """A name and place that over half of all share: the cascade's joins make no more rows than its tables have keys and ages."""
+    df, n = agrees(spark, name, tmp_path)
+    assert n >= 2 and most_rows(df) <= 3000
+
+
+def test_the_cascade_knows_one_person_from_two(spark):
+    """Exact before place before surname, an unknown age, and people who stand twice."""
+    shape = "{} long, name string, surname string, place string, age int"
+    r = [(1, "a s", "s", "x", 10), (1, "a s", "s", "x", 30), (2, "a t", "t", "x", 10), (3, "a t", "t", "x", 20), (4, "b u", "u", "y", 5), (5, "c u", "u", "y", 6), (6, "d v", "v", "z", 9), (7, "d v", "v", "z", None)]
+    m = [(10, "a s", "s", "x", None), (11, "a t", "t", "x", 20), (12, "a t", "t", "x", 40), (13, "q u", "u", "q", 4), (14, "q u", "u", "q", 3), (15, "d v", "v", "z", None), (16, None, "v", None, 8), (17, None, None, None, None)]
+    got = linkage.cascade(spark.createDataFrame(m, shape.format("mention_id")), spark.createDataFrame(r, shape.format("person_id"))).collect()
+    assert {x[0]: tuple(x)[1:] for x in got} == {10: (1, "place", 0.9), 11: (3, "exact", 0.95), 13: (4, "ambiguous", 0.2), 14: (4, "surname", 0.85), 16: (6, "surname", 0.85)} and len(got) == 5
