@@ -1,8 +1,9 @@
-"""Joins on one string inside another, by short pieces that both must have.
+"""Joins on one string inside another, by pieces that both must have.
 
-A string of three letters or more can lie in a name only if its rarest three-letter piece does; shorter ones are pieces
-themselves. Names are entered under all their pieces of one to three letters, each once, and every distinct string is
-looked up under one piece, the one that fewest names have. What meets is compared; no product of the two sides is formed.
+Pieces have one of a few lengths, SIZES. A string lies in a name only if its rarest piece does, of the greatest length that it
+has room for: so a piece is over half of its string, up to the last of SIZES, and few names that have it lack the string. Names are entered under all
+their pieces of the lengths that strings ask for, each once, and every distinct string is looked up under one piece. What
+meets is compared; no product of the two sides is formed.
 
 Edge cases: letters are compared whatever their case; null and empty strings lie in nothing; wild marks stand for
 themselves; repeated strings are looked up once.
@@ -16,29 +17,32 @@ from pyspark.sql import functions as F
 from agoraspark.plans import cascade
 from agoraspark.registry import query
 
-PIECE = 3
+SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: What is no part of a surname, and officers who are no members.
 TITLES, OFFICES = ("Mr.", "Mrs.", "Miss", "Dr.", "Sir"), ("Deputy", "Speaker")
 
 
-def pieces(text: Column, size: int) -> Column:
+def pieces(text: Column, size: Column) -> Column:
     """The distinct pieces of so many letters."""
     last = F.length(text) - size + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
 
 
 def contained(strings: DataFrame, names: DataFrame, string: str, name: str) -> DataFrame:
     """(string, name): distinct strings with the distinct names that they lie in."""
     short = strings.where(F.length(string) > 0).select(F.col(string).alias("own")).distinct().withColumn("s", F.lower("own"))
     long = names.where(F.length(name) > 0).select(F.col(name).alias("full")).distinct().withColumn("t", F.lower("full"))
-    entered = long.select("full", "t", F.explode(F.concat(*[pieces(F.col("t"), k) for k in range(1, PIECE + 1)])).alias("piece"))
+    fitting = lambda x: F.filter(F.array(*map(F.lit, SIZES)), lambda k: k <= F.length(x))
+    short = short.withColumn("size", F.element_at(fitting("s"), -1))
+    entered = long.select("full", "t", F.explode(fitting("t")).alias("size")).join(F.broadcast(short.select("size").distinct()), "size")
+    entered = entered.select("full", "t", F.explode(pieces(F.col("t"), F.col("size"))).alias("piece"))
     often = entered.groupBy("piece").agg(F.count("*").alias("often"))
-    size, s = F.length("s"), F.col("s")
-    asked = short.select("own", "s", F.explode(F.when(size == 1, pieces(s, 1)).when(size == 2, pieces(s, 2)).otherwise(pieces(s, 3))).alias("piece"))
-    # A string with a piece that no name has lies in none: the missing piece is its rarest.
-    rare = asked.join(often, "piece", "left").groupBy("own", "s").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece")).alias("x"))
+    s = F.col("s")
+    asked = short.select("own", "s", F.explode(pieces(s, F.col("size"))).alias("piece"))
+    # A string with a piece that no name has lies in none: the missing piece is its rarest. Sides that grow are not broadcast.
+    rare = asked.join(often.hint("merge"), "piece", "left").groupBy("own", "s").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece")).alias("x"))
     rare = rare.where("x.often > 0").select("own", "s", F.col("x.piece").alias("piece"))
-    return rare.join(entered, "piece").where(F.contains("t", s)).select(F.col("own").alias(string), F.col("full").alias(name))
+    return rare.join(entered.hint("merge"), "piece").where(F.contains("t", s)).select(F.col("own").alias(string), F.col("full").alias(name))
 
 
 def surname(speaker: Column) -> Column:
@@ -56,13 +60,20 @@ def active_member(mentions: DataFrame, register: DataFrame) -> DataFrame:
 
     mentions: mention_id, speaker, year. register: person_id, person_name, gender, start_year, end_year."""
     asked = mentions.select("mention_id", "year", surname(F.col("speaker")).alias("surname")).where("surname is not null")
-    kinds = asked.select("surname", "year").distinct()
-    held = contained(kinds, register, "surname", "person_name")
-    r = register.select("person_name", "person_id", "gender", "start_year", "end_year").where("start_year <= end_year")
-    met = kinds.join(held, "surname").join(r, "person_name").where(F.col("year").between(F.col("start_year"), F.col("end_year")))
-    found = met.groupBy("surname", "year").agg(F.count("*").alias("stints"), F.min(F.struct("person_id", "person_name", "gender")).alias("one"))
+    # A surname has no blanks, so it lies in one word of a name, and words are fewer than names.
+    r = register.where("start_year <= end_year").groupBy("person_name", "start_year", "end_year")
+    r = r.agg(F.count("*").alias("n"), F.min(F.struct("person_id", "person_name", "gender")).alias("one"))
+    each = r.withColumn("words", F.array_distinct(F.split(F.lower("person_name"), r"\s+"))).select("*", F.explode("words").alias("word"))
+    kinds = asked.where("year is not null").groupBy("surname").agg(F.collect_set("year").alias("years"))
+    held = contained(kinds, each, "surname", "word").join(kinds.hint("merge"), "surname")
+    held = held.select("*", F.lower("surname").alias("low"), F.array_min("years").alias("from"), F.array_max("years").alias("to"))
+    met = held.join(each.hint("merge"), "word").where("`from` <= end_year and `to` >= start_year")
+    # A name with the surname in several words is met in the first of them.
+    met = met.where(F.get(F.filter("words", lambda w: F.contains(w, F.col("low"))), 0) == F.col("word"))
+    active = F.explode(F.filter("years", lambda y: y.between(F.col("start_year"), F.col("end_year"))))
+    found = met.select("surname", active.alias("year"), "n", "one").groupBy("surname", "year").agg(F.sum("n").alias("stints"), F.min("one").alias("one"))
     one = lambda c: F.when(F.col("stints") == 1, F.col(f"one.{c}")).alias(c)
-    out = asked.join(found, ["surname", "year"], "left").withColumn("stints", F.coalesce("stints", F.lit(0)))
+    out = asked.join(found.hint("merge"), ["surname", "year"], "left").withColumn("stints", F.coalesce("stints", F.lit(0)))
     return out.select("mention_id", "stints", one("person_id"), one("person_name"), one("gender"))
 
 

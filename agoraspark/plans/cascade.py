@@ -256,8 +256,7 @@ def register_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def mentions_of(spark: SparkSession, sf: str) -> DataFrame:
     """A speaker for every part, written in one of sixteen ways, of the time of the part's stint or just after it."""
-    p, k = table(spark, sf, "part"), F.col("p_partkey")
-    r = register_of(spark, sf).select("nth", "person_name", "start_year", "constituencies", F.col("chamber").alias("own_chamber"))
+    r, k = register_of(spark, sf), F.col("nth")
     name, surname = F.col("person_name"), F.split_part("person_name", F.lit(" "), F.lit(2))
     ways = [
         F.concat(F.lit("Mr. "), name), F.concat(F.lit("The Minister of Food (Mr. "), name, F.lit(")")), F.concat(F.lit("Mr. "), name, F.lit(" (by Private Notice).")),
@@ -268,7 +267,7 @@ def mentions_of(spark: SparkSession, sf: str) -> DataFrame:
     ]
     speaker = F.element_at(F.array(*[w.cast("string") for w in ways]), (k % 16 + 1).cast("int"))
     date = F.make_date((F.col("start_year") + k % 4).cast("int"), (k % 12 + 1).cast("int"), (k % 10 + 1).cast("int"))
-    return p.join(r, k == F.col("nth")).select(k.alias("mention_id"), speaker.alias("speaker"), date.alias("date"), F.when(k % 6 > 0, F.col("own_chamber")).alias("chamber"))
+    return r.select(k.alias("mention_id"), speaker.alias("speaker"), date.alias("date"), F.when(k % 6 > 0, F.col("chamber")).alias("chamber"))
 
 
 _OWN = "CASE WHEN p_partkey % 9 = 8 THEN p_partkey - 1 ELSE p_partkey END"

@@ -10,6 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from test_merging import most_rows
+
 from agoraspark.operators import containment, selection, windows
 from agoraspark.plans import incremental
 
@@ -90,6 +92,32 @@ def test_active_members(spark):
     assert got == {i: w for i, (_, _, w) in enumerate(cases) if w}
 
 
+def test_names_are_not_sent_to_the_driver(spark):
+    """Only the few lengths of pieces are broadcast: files of names are small on disk and large in memory."""
+    plan = containment.join_active_member_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == plan.count("BroadcastHashJoin [size#") <= 2 and "NestedLoop" not in plan
+
+
+def test_a_surname_in_two_words_of_a_name_is_one_stint(spark):
+    register = [("a", "Smith  Smithson Esmithe", "F", 1900, 1910), ("b", "ΟΔΟΣ Jones", "M", 1900, 1910), ("b", "ΟΔΟΣ Jones", "M", 1908, 1912), ("c", "", "M", 1900, 1910)]
+    asked = [("Mr. SMITH", 1905), ("Smith", 1911), ("οδος", 1905), ("Οδοσ", 1905), ("jonesx", 1905), ("J", 1909), ("n J", 1901)]
+    m = spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "mention_id int, speaker string, year int")
+    r = spark.createDataFrame(register, "person_id string, person_name string, gender string, start_year int, end_year int")
+    got = {x["mention_id"]: (x["stints"], x["person_id"]) for x in containment.active_member(m, r).collect()}
+    assert got == {0: (1, "a"), 1: (0, None), 2: (1, "b"), 3: (0, None), 4: (0, None), 5: (2, None), 6: (1, "b")}
+
+
+def test_long_strings_meet_few_names(spark):
+    """A letter pattern that all names share brings no string to a name that lacks it."""
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("ab") for _ in range(n))
+    names = {word(16) for _ in range(400)}
+    strings = {x[2:14] for x in names}
+    joined = containment.contained(spark.createDataFrame([(x,) for x in strings], "s string"), spark.createDataFrame([(x,) for x in names], "n string"), "s", "n")
+    assert sorted(map(tuple, joined.collect())) == sorted((s, n) for s in strings for n in names if s in n)
+    assert most_rows(joined) < 10_000
+
+
 def test_a_year_joins_the_totals(spark, tmp_path):
     """Adding a year reads that year's folder alone; totals equal a recount whatever the order; a year added again replaces itself."""
     rnd, rows = random.Random(8), []
